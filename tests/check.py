@@ -15,6 +15,7 @@ import __spark_entry__ as entry  # noqa: E402
 spark = (
     SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
     .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
+    .config("spark.ui.showConsoleProgress", "false")
     .config("spark.sql.session.timeZone", "UTC").getOrCreate()
 )
 spark.sparkContext.setLogLevel("ERROR")

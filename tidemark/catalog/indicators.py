@@ -314,7 +314,7 @@ VIEWS["cut"] = f"""
 
 @query(
     "cut_anchored_mq",
-    "sym ts:t direction anchor_ts:t anchor_bars:i price_pct:f6 oi_pct:f6 ratio:f4 label quality oi_source",
+    "sym ts:t direction anchor_ts:t anchor_bars:i price_pct:f6 oi_pct:f6 ratio:f9 label quality oi_source",
     "SELECT * FROM cut",
 )
 def _(spark, d):
@@ -351,7 +351,7 @@ VIEWS["mq"] = """
 
 @query(
     "money_quality",
-    "sym ts:t win price_pct:f3 oi_pct:f6 ratio:f4 label direction quality",
+    "sym ts:t win price_pct:f3 oi_pct:f6 ratio:f9 label direction quality",
     "SELECT * FROM mq",
 )
 def _(spark, d):
@@ -362,8 +362,8 @@ VIEWS["mqv"] = """
   SELECT *, CASE WHEN score > 0.4 THEN 'ALCISTA con plata nueva' WHEN score > 0.15 THEN 'Alcista débil / covering'
                  WHEN score < -0.4 THEN 'BAJISTA con plata nueva' WHEN score < -0.15 THEN 'Bajista débil / covering'
                  ELSE 'Lateral / rotación' END AS verdict
-  FROM (SELECT sym, ts, sum(CASE direction WHEN 'bullish' THEN 1 WHEN 'bearish' THEN -1 ELSE 0 END * weight *
-                            CASE quality WHEN 'high' THEN 1.0e0 WHEN 'medium' THEN 0.6e0 ELSE 0.3e0 END) / sum(weight) AS score
+  FROM (SELECT sym, ts, round(sum(CASE direction WHEN 'bullish' THEN 1 WHEN 'bearish' THEN -1 ELSE 0 END * weight *
+                            CASE quality WHEN 'high' THEN 1.0e0 WHEN 'medium' THEN 0.6e0 ELSE 0.3e0 END) / sum(weight), 9) AS score
         FROM mq GROUP BY sym, ts)"""
 
 

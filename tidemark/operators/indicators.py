@@ -223,7 +223,7 @@ def relative_return(bars: DataFrame, bench: DataFrame, keys: Sequence[str], n: i
         rows = add_ret(rows, w).withColumn("bret", F.log(F.col("btc") / F.lag("btc").over(w)))
         return rows.withColumn("rel", full_sum(w, "ret", n) - full_sum(w, "bret", n))
 
-    return row_frames(asof_join(bars, bench, [], ["btc"]), keys, ["ts"], add, back=n + 1)
+    return row_frames(asof_join(numbered(bars, keys, ["ts"]), bench, [], ["btc"]), keys, ["ts"], add, back=n + 1)
 
 
 FEATURES = [
@@ -236,7 +236,7 @@ def regime_features(
     n_vol: int = 24, n_skew: int = 20, n_z: int = 252,
 ) -> DataFrame:
     """The eight regime features per bar; rows with any null are dropped. ``funding``: ts, rate; ``bench``: ts, btc, vix."""
-    x = asof_join(asof_join(bars, funding, [], ["rate"]), bench, [], ["btc", "vix"])
+    x = asof_join(numbered(bars, keys, ["ts"]), [(funding, ["rate"]), (bench, ["btc", "vix"])], [])
     x = x.withColumn("__hl2", F.pow(F.log(F.col("high") / F.col("low")), F.lit(2)))
     buy, vol = F.col("taker_buy_base"), F.col("volume")
 
@@ -295,7 +295,7 @@ def vwap_band(bars: DataFrame, keys: Sequence[str], n: int = 24) -> DataFrame:
 
 def pct_change(bars: DataFrame, bench: DataFrame, keys: Sequence[str], n: int = 24) -> DataFrame:
     """n-bar percent change of close relative to the benchmark."""
-    x = asof_join(bars, bench, [], ["btc"]).withColumn("rel", div("close", "btc"))
+    x = asof_join(numbered(bars, keys, ["ts"]), bench, [], ["btc"]).withColumn("rel", div("close", "btc"))
 
     def add(rows, w):
         past = F.lag("rel", n).over(w)
@@ -448,9 +448,8 @@ def zone_anchor(bars: DataFrame, keys: Sequence[str], fast: Stoch, carry: Sequen
     k = F.col("fast_k")
     rows = rows.withColumn("direction", ladder((k >= 80, "short"), (k <= 20, "long")))
     here = F.struct(F.col("__rn").alias("rn"), F.col("ts").alias("ts"), *[F.col(c).alias(c) for c in carry])
-    for side in ("short", "long"):
-        outside = F.coalesce(F.col("direction") != side, F.lit(True))
-        rows = running_last(rows, keys, ["ts"], F.when(outside, here), f"__{side}")
+    outside = lambda side: F.when(F.coalesce(F.col("direction") != side, F.lit(True)), here)
+    rows = running_last(rows, keys, ["ts"], {"__short": outside("short"), "__long": outside("long")})
     a = F.when(F.col("direction") == "short", F.col("__short")).otherwise(F.col("__long"))
     return (
         rows.filter("direction IS NOT NULL")
@@ -578,13 +577,16 @@ def money_quality(bars: DataFrame, keys: Sequence[str], windows=MQ_WINDOWS) -> D
 
 
 def money_quality_verdict(mq: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Weighted direction times quality over the windows of a bar, and its verdict."""
+    """Weighted direction times quality over the windows of a bar, and its verdict.
+
+    The score is cut to nine digits first, so that the order of a sum cannot tip it over a limit.
+    """
     s = ladder((F.col("direction") == "bullish", 1), (F.col("direction") == "bearish", -1), otherwise=F.lit(0))
     q = ladder(*[(F.col("quality") == k, v) for k, v in MQ_QUALITY.items()])
     score = F.col("score")
     return (
         mq.groupBy(*keys, "ts")
-        .agg((F.sum(s * F.col("weight") * q) / F.sum("weight")).alias("score"))
+        .agg(F.round(F.sum(s * F.col("weight") * q) / F.sum("weight"), 9).alias("score"))
         .withColumn(
             "verdict",
             ladder(

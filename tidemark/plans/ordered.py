@@ -71,11 +71,12 @@ def row_frames(
 ) -> DataFrame:
     """Run ``add(rows, w)`` with a window ``w`` whose ROWS frames may reach ``back`` rows back and ``ahead`` rows on.
 
-    ``add`` sees ``__rn`` and ``__n`` and must keep every row. Stacked frames need the sum of their reaches.
+    ``add`` sees ``__rn`` and ``__n`` and must keep every row. Rows that are numbered already are not counted again.
+    Stacked frames need the sum of their reaches.
     """
     keys = list(keys)
     size = max(block_rows, back + ahead + 1)
-    rows = numbered(df, keys, order, slice_seconds)
+    rows = df if "__rn" in df.columns else numbered(df, keys, order, slice_seconds)
     home = F.floor((F.col("__rn") - 1) / F.lit(size))
     place = (F.col("__rn") - 1) % F.lit(size)
     copies = [home]
@@ -102,27 +103,27 @@ def running_last(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    value: Column,
-    name: str,
+    values: dict[str, Column],
     slice_seconds: int = BAR_SLICE,
 ) -> DataFrame:
-    """Add ``name``: the last non-null ``value`` at or before each row in the key's order."""
-    keys = list(keys)
-    rows = df.withColumn("__s", slice_of(order[0], slice_seconds)).withColumn("__v", value)
+    """Add each name in ``values``: its last non-null value at or before the row in the key's order."""
+    keys, names = list(keys), list(values)
+    v, e = {n: f"__v{i}" for i, n in enumerate(names)}, {n: f"__e{i}" for i, n in enumerate(names)}
+    rows = df.withColumn("__s", slice_of(order[0], slice_seconds)).withColumns({v[n]: values[n] for n in names})
     rank = F.struct(*[F.col(c) for c in order])
     ends = rows.groupBy(*keys, "__s").agg(
-        F.max_by("__v", F.when(F.col("__v").isNotNull(), rank)).alias("__e")
+        *[F.max_by(v[n], F.when(F.col(v[n]).isNotNull(), rank)).alias(e[n]) for n in names]
     )
     before = Window.partitionBy(*keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(*keys, "__s", F.last("__e", ignorenulls=True).over(before).alias("__e"))
+    carried = ends.select(*keys, "__s", *[F.last(e[n], ignorenulls=True).over(before).alias(e[n]) for n in names])
     inside = (
         Window.partitionBy(*keys, "__s").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
-        rows.withColumn("__v", F.last("__v", ignorenulls=True).over(inside))
+        rows.withColumns({v[n]: F.last(v[n], ignorenulls=True).over(inside) for n in names})
         .join(carried, [*keys, "__s"])
-        .withColumn(name, F.coalesce("__v", "__e"))
-        .drop("__s", "__v", "__e")
+        .withColumns({n: F.coalesce(v[n], e[n]) for n in names})
+        .drop("__s", *v.values(), *e.values())
     )
 
 
@@ -155,9 +156,9 @@ def running_sum(
 
 def asof_join(
     left: DataFrame,
-    right: DataFrame,
+    rights: DataFrame | Sequence[tuple[DataFrame, Sequence[str]]],
     keys: Sequence[str],
-    values: Sequence[str],
+    values: Sequence[str] = (),
     *,
     left_ts: str = "ts",
     right_ts: str = "ts",
@@ -166,27 +167,27 @@ def asof_join(
 ) -> DataFrame:
     """Left join on the last right row at or before the left time, per key.
 
-    The right side holds at most one row per key and time. ``keys`` may be empty: a series shared by all left rows.
+    Several right sides, given as (frame, values), are matched in the same pass. A right side holds at most one row
+    per key and time. ``keys`` may be empty: a series shared by all left rows.
     """
     keys = list(keys)
+    sides = [(rights, values)] if isinstance(rights, DataFrame) else list(rights)
     lcols = list(left.columns)
-    packed = [F.col(right_ts).alias("__rts"), *[F.col(v) for v in values]]
-    lhs = left.select(
-        *keys, F.col(left_ts).alias("__ts"), F.lit(1).alias("__side"), F.struct(*lcols).alias("__l")
+    both = left.select(
+        *keys, F.col(left_ts).alias("__ts"), F.lit(len(sides)).alias("__side"), F.struct(*lcols).alias("__l")
     )
-    rhs = right.select(
-        *keys,
-        F.col(right_ts).alias("__ts"),
-        F.lit(0).alias("__side"),
-        F.struct(*packed).alias("__r"),
+    for i, (right, names) in enumerate(sides):
+        packed = F.struct(F.col(right_ts).alias("__rts"), *[F.col(n) for n in names])
+        rhs = right.select(*keys, F.col(right_ts).alias("__ts"), F.lit(i).alias("__side"), packed.alias(f"__r{i}"))
+        both = both.unionByName(rhs, allowMissingColumns=True)
+    found = running_last(
+        both, keys, ["__ts", "__side"], {f"__m{i}": F.col(f"__r{i}") for i in range(len(sides))}, slice_seconds
     )
-    both = lhs.unionByName(rhs, allowMissingColumns=True)
-    found = running_last(both, keys, ["__ts", "__side"], F.col("__r"), "__m", slice_seconds)
     out = [F.col(f"__l.{c}").alias(c) for c in lcols]
     if right_time_as:
-        out.append(F.col("__m.__rts").alias(right_time_as))
-    out += [F.col(f"__m.{v}").alias(v) for v in values]
-    return found.filter(F.col("__side") == 1).select(*out)
+        out.append(F.col("__m0.__rts").alias(right_time_as))
+    out += [F.col(f"__m{i}.{n}").alias(n) for i, (_, names) in enumerate(sides) for n in names]
+    return found.filter(F.col("__side") == len(sides)).select(*out)
 
 
 def nearest_join(

@@ -9,15 +9,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.settle import settle
+
 AS_OF = "1998-01-01 00:00:00"
 SPOT = 1500.0
 
 
 class Views:
-    """Lazy views over one data folder."""
+    """Views over one data folder. ``bars``, ``rets`` and ``states`` are settled: they are read many times."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._kept: dict[str, DataFrame] = {}
+
+    def _once(self, name: str, make) -> DataFrame:
+        if name not in self._kept:
+            self._kept[name] = settle(make())
+        return self._kept[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -42,7 +50,7 @@ class Views:
             (1000 + F.avg("user_id")).alias("oi"),
             (1000 + F.avg(F.when(F.col("k") < 50, F.col("user_id")))).alias("oi_fine"),
         ]
-        return ticks_to_bars(self.ticks(), ["sym"], 3600, extra)
+        return self._once("bars", lambda: ticks_to_bars(self.ticks(), ["sym"], 3600, extra))
 
     def funding(self) -> DataFrame:
         start = F.timestamp_seconds(F.floor(F.unix_seconds("ts") / 28800) * 28800)
@@ -237,9 +245,11 @@ class Views:
     def rets(self) -> DataFrame:
         from ..operators.bars import log_returns
 
-        return log_returns(self.bars(), ["sym"], [1]).select("sym", "ts", "close", F.col("ret_1").alias("ret"))
+        cols = ["sym", "ts", "close", F.col("ret_1").alias("ret")]
+        return self._once("rets", lambda: log_returns(self.bars(), ["sym"], [1]).select(*cols))
 
     def states(self) -> DataFrame:
         from ..operators.regimes import tercile_states
 
-        return tercile_states(self.rets().filter(F.col("ret").isNotNull()), ["sym"], "ret")
+        rets = self.rets().filter(F.col("ret").isNotNull())
+        return self._once("states", lambda: tercile_states(rets, ["sym"], "ret"))
