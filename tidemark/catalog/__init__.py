@@ -1,4 +1,9 @@
-"""All named queries; importing a module here registers its queries."""
+"""All named queries; importing a module here registers its queries.
 
-from . import bars, indicators  # noqa: F401
+The order matters: a module's SQL views build on those of the modules before it.
+"""
+
+from . import bars  # noqa: F401
+from . import indicators  # noqa: F401
+from . import book_profile  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

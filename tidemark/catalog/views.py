@@ -63,7 +63,7 @@ VIEWS["bench"] = """
   FROM ticks GROUP BY ALL"""
 
 VIEWS["flows"] = """
-  SELECT concat('x', l_suppkey % 10) AS cex, l_shipdate AS ts,
+  SELECT concat('a', l_suppkey % 2) AS asset, concat('x', l_suppkey % 10) AS cex, l_shipdate AS ts,
          sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity ELSE 0 END) AS inflow,
          sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS outflow,
          sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity ELSE -l_quantity END) AS net,

@@ -108,11 +108,13 @@ class Views:
     def flows(self) -> DataFrame:
         inward = F.col("l_returnflag") != "R"
         li = self.lineitem()
-        last = li.agg(F.max("l_shipdate").alias("last"))
+        last = li.agg(F.max("l_shipdate")).scalar()
         signed = F.when(inward, F.col("l_extendedprice")).otherwise(-F.col("l_extendedprice"))
         return (
             li.groupBy(
-                F.concat(F.lit("x"), F.col("l_suppkey") % 10).alias("cex"), F.col("l_shipdate").alias("ts")
+                F.concat(F.lit("a"), F.col("l_suppkey") % 2).alias("asset"),
+                F.concat(F.lit("x"), F.col("l_suppkey") % 10).alias("cex"),
+                F.col("l_shipdate").alias("ts"),
             )
             .agg(
                 F.sum(F.when(inward, F.col("l_quantity")).otherwise(0.0)).alias("inflow"),
@@ -121,9 +123,8 @@ class Views:
                 F.sum(signed).alias("usd"),
                 F.count(F.lit(1)).alias("tx"),
             )
-            .join(F.broadcast(last))  # one row
-            .withColumn("net_usd", F.when(F.col("ts") < F.col("last"), F.col("usd")))
-            .drop("usd", "last")
+            .withColumn("net_usd", F.when(F.col("ts") < last, F.col("usd")))
+            .drop("usd")
         )
 
     def transfers(self) -> DataFrame:
