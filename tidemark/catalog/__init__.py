@@ -6,4 +6,5 @@ The order matters: a module's SQL views build on those of the modules before it.
 from . import bars  # noqa: F401
 from . import indicators  # noqa: F401
 from . import book_profile  # noqa: F401
+from . import options  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
