@@ -7,4 +7,5 @@ from . import bars  # noqa: F401
 from . import indicators  # noqa: F401
 from . import book_profile  # noqa: F401
 from . import options  # noqa: F401
+from . import flows  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -67,10 +67,10 @@ VIEWS["flows"] = """
          sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity ELSE 0 END) AS inflow,
          sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS outflow,
          sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity ELSE -l_quantity END) AS net,
-         CASE WHEN l_shipdate < (SELECT max(l_shipdate) FROM lineitem) THEN
+         CASE WHEN any_value(l_shipdate) < (SELECT max(l_shipdate) FROM lineitem) THEN
            sum(CASE WHEN l_returnflag <> 'R' THEN l_extendedprice ELSE -l_extendedprice END) END AS net_usd,
          count(*) AS tx
-  FROM lineitem GROUP BY ALL"""
+  FROM lineitem GROUP BY 1, 2, 3"""
 
 VIEWS["transfers"] = """
   SELECT l_shipdate AS ts, l_extendedprice AS value, l_orderkey AS block,
