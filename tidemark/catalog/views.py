@@ -47,12 +47,12 @@ VIEWS["funding"] = """
   FROM ticks GROUP BY ALL"""
 
 VIEWS["ls"] = """
-  SELECT venue, max(ts) AS ts, ratio, ratio / (1 + ratio) AS long_pct FROM (
+  SELECT venue, ts, ratio, ratio / (1 + ratio) AS long_pct FROM (
     SELECT venue, max(ts) AS ts,
            (1.0e0 + sum(CASE WHEN sym IN ('purchase', 'click') THEN k ELSE 0 END)) /
            (1.0e0 + sum(CASE WHEN sym IN ('purchase', 'click') THEN 0 ELSE k END)) AS ratio
     FROM (SELECT *, ['b', 'o', 'y', 'w'][user_id % 4 + 1] AS venue, date_trunc('hour', ts) AS h FROM ticks)
-    GROUP BY venue, h) GROUP BY ALL"""
+    GROUP BY venue, h)"""
 
 VIEWS["macro"] = """
   SELECT o_orderpriority AS label, o_orderdate AS ts, avg(o_totalprice) AS close FROM orders GROUP BY ALL"""
