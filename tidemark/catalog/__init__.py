@@ -9,4 +9,5 @@ from . import book_profile  # noqa: F401
 from . import options  # noqa: F401
 from . import flows  # noqa: F401
 from . import positioning  # noqa: F401
+from . import research  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
