@@ -10,4 +10,7 @@ from . import options  # noqa: F401
 from . import flows  # noqa: F401
 from . import positioning  # noqa: F401
 from . import research  # noqa: F401
+from . import regimes  # noqa: F401
+from . import joins  # noqa: F401
+from . import scoring  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -124,3 +124,11 @@ def accounting_number(x) -> Column:
     body = F.when(negative, F.regexp_extract(s, r"^\((.*)\)$", 1)).otherwise(s)
     v = body.try_cast("double")
     return F.when(raw.isNull(), None).when(blank, 0.0).when(negative, -v).otherwise(v)
+
+
+def correlation(x, y) -> Column:
+    """Aggregate: Pearson correlation over complete pairs, null (not an error) when either side is constant."""
+    a = F.when(c(y).isNotNull(), c(x).cast("double"))
+    b = F.when(c(x).isNotNull(), c(y).cast("double"))
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.covar_pop(a, b) / F.when(spread > 0, spread)

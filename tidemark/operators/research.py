@@ -8,11 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import div, ladder, sign
+from ..functions.exprs import correlation, div, ladder, sign
 from ..plans.ordered import asof_join, numbered, row_frames
 from ..plans.ranks import exact_quantiles, spearman
 from .indicators import (
-    TRIGGER_ZONES, Stoch, add_ret, add_stoch, add_vwap, band_position, cross, dedup_triggers, last_n, stoch_reach,
+    TRIGGER_ZONES, Stoch, add_ret, add_stoch, add_vwap, band_position, cross, dedup_triggers, last_n, rv,
+    stoch_reach,
 )
 
 
@@ -83,7 +84,7 @@ def autocorr(bars: DataFrame, keys: Sequence[str], lags: Sequence[int]) -> DataF
     rows = row_frames(bars, keys, ["ts"], add, back=max(lags) + 1)
     pairs = rows.select(*keys, "ret", F.inline("__p")).filter("past IS NOT NULL AND ret IS NOT NULL")
     return pairs.groupBy(*keys, "lag").agg(
-        F.corr("ret", "past").alias("acf"), F.corr(F.abs("ret"), F.abs("past")).alias("acf_abs"), F.count(F.lit(1)).alias("n")
+        correlation("ret", "past").alias("acf"), correlation(F.abs("ret"), F.abs("past")).alias("acf_abs"), F.count(F.lit(1)).alias("n")
     )
 
 
@@ -109,7 +110,7 @@ def autocorr_blocks(bars: DataFrame, keys: Sequence[str], horizons: Sequence[int
         rows.select(*keys, F.inline("__p"))
         .filter("r IS NOT NULL")
         .groupBy(*keys, "h")
-        .agg(F.corr("r", "past").alias("acf1"), F.count("r").alias("n"))
+        .agg(correlation("r", "past").alias("acf1"), F.count("r").alias("n"))
         .withColumn("reading", ladder((a < -0.03, "mean-reversion"), (a > 0.03, "momentum"), (a.isNotNull(), "random walk")))
     )
 
@@ -336,10 +337,12 @@ def factor_inputs(
     def add(rows, w):
         rows = add_stoch(rows, w, slow, "slow_k", "slow_d")
         rows = add_stoch(rows, w, fast, "fast_k", "fast_d")
-        rows = add_vwap(rows, w, day)
+        rows = add_ret(add_vwap(rows, w, day), w)
+        short, long = rv(w, 2, 1.0), rv(w, 24, 1.0)
         half = F.percentile("volume", F.lit(0.5)).over(last_n(w, med))
         return rows.withColumns(
             {
+                "vol_ratio": F.when(long > 0, short / long),
                 "fast_k_1": F.lag("fast_k").over(w),
                 "fast_d_1": F.lag("fast_d").over(w),
                 "ethbtc_chg": (div(F.col("__rel"), F.lag("__rel", day).over(w)) - 1) * 100,

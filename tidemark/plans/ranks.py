@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import correlation
+
 SKETCH = 10_000
 SLACK = 0.001
 SMALL = 4096
@@ -92,7 +94,7 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, min_n: int = 10
     ic = F.col("ic")
     return (
         ranked.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"), F.corr("__rx", "__ry").alias("ic"))
+        .agg(F.count(F.lit(1)).alias("n"), correlation("__rx", "__ry").alias("ic"))
         .withColumn("ic", F.when(F.col("n") >= min_n, ic))
         .withColumn("t_stat", F.when(F.abs(ic) < 1, ic * F.sqrt((F.col("n") - 2) / (1 - ic * ic))))
     )
