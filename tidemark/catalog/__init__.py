@@ -13,4 +13,6 @@ from . import research  # noqa: F401
 from . import regimes  # noqa: F401
 from . import joins  # noqa: F401
 from . import scoring  # noqa: F401
+from . import sources  # noqa: F401
+from . import sinks  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
