@@ -30,7 +30,7 @@ VIEWS["ticks"] = """
   SELECT event_type AS sym, ts, event_id AS seq, value AS px, user_id, user_id % 2 = 0 AS taker_buy,
          CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
          CAST(1 + CAST(json_extract_string(props, '$.k') AS BIGINT) AS DOUBLE) AS qty
-  FROM events"""
+  FROM events WHERE value > 0"""
 
 VIEWS["bars"] = """
   SELECT sym, h AS ts, first(px ORDER BY ts, seq) AS open, max(px) AS high, min(px) AS low,

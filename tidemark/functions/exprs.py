@@ -24,6 +24,11 @@ def div(a, b) -> Column:
     return c(a) / F.when(c(b) != 0, c(b))
 
 
+def log_ratio(a, b) -> Column:
+    """ln(a / b), null unless both are positive."""
+    return F.when((c(a) > 0) & (c(b) > 0), F.log(c(a) / c(b)))
+
+
 def sign(x) -> Column:
     return F.signum(c(x)).cast("int")
 

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import div
-from ..plans.ordered import asof_join, full, row_frames
+from ..functions.exprs import div, log_ratio
+from ..plans.ordered import asof_join, row_frames
 
 
 def start_of(ts: str, seconds: int | Column) -> Column:
@@ -59,7 +59,7 @@ def log_returns(bars: DataFrame, keys: Sequence[str], horizons: Sequence[int]) -
     """``ret_h`` = ln(close / close h bars ago), null while there is no such bar."""
 
     def add(rows, w):
-        return rows.withColumns({f"ret_{h}": F.log(F.col("close") / F.lag("close", h).over(w)) for h in horizons})
+        return rows.withColumns({f"ret_{h}": log_ratio("close", F.lag("close", h).over(w)) for h in horizons})
 
     return row_frames(bars, keys, ["ts"], add, back=max(horizons))
 

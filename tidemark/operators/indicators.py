@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.exprs import div, ladder
+from ..functions.exprs import div, ladder, log_ratio
 from ..plans.ordered import asof_join, full, numbered, row_frames, running_last
 
 HOURS_PER_YEAR = 24 * 365
@@ -104,7 +104,7 @@ def stoch_triggers(bars: DataFrame, keys: Sequence[str], slow: Stoch, fast: Stoc
 
 def add_ret(rows: DataFrame, w: WindowSpec) -> DataFrame:
     prev = F.lag("close").over(w)
-    return rows.withColumn("ret", F.when(prev > 0, F.log(F.col("close") / prev)))
+    return rows.withColumn("ret", log_ratio("close", prev))
 
 
 def rv(w: WindowSpec, n: int, annual: float = ANNUAL) -> Column:
@@ -182,7 +182,7 @@ def parkinson_vol(bars: DataFrame, keys: Sequence[str], n: int = 24) -> DataFram
     def add(rows, w):
         return rows.withColumn("parkinson", parkinson(w, n)).drop("__hl2")
 
-    squared = F.pow(F.log(F.col("high") / F.col("low")), F.lit(2))
+    squared = F.pow(log_ratio("high", "low"), F.lit(2))
     return row_frames(bars.withColumn("__hl2", squared), keys, ["ts"], add, back=n)
 
 
@@ -220,7 +220,7 @@ def relative_return(bars: DataFrame, bench: DataFrame, keys: Sequence[str], n: i
     """Sum of own log returns minus the benchmark's over n bars; ``bench`` has ``ts, btc``."""
 
     def add(rows, w):
-        rows = add_ret(rows, w).withColumn("bret", F.log(F.col("btc") / F.lag("btc").over(w)))
+        rows = add_ret(rows, w).withColumn("bret", log_ratio("btc", F.lag("btc").over(w)))
         return rows.withColumn("rel", full_sum(w, "ret", n) - full_sum(w, "bret", n))
 
     return row_frames(asof_join(numbered(bars, keys, ["ts"]), bench, [], ["btc"]), keys, ["ts"], add, back=n + 1)
@@ -237,11 +237,11 @@ def regime_features(
 ) -> DataFrame:
     """The eight regime features per bar; rows with any null are dropped. ``funding``: ts, rate; ``bench``: ts, btc, vix."""
     x = asof_join(numbered(bars, keys, ["ts"]), [(funding, ["rate"]), (bench, ["btc", "vix"])], [])
-    x = x.withColumn("__hl2", F.pow(F.log(F.col("high") / F.col("low")), F.lit(2)))
+    x = x.withColumn("__hl2", F.pow(log_ratio("high", "low"), F.lit(2)))
     buy, vol = F.col("taker_buy_base"), F.col("volume")
 
     def add(rows, w):
-        rows = add_ret(rows, w).withColumn("bret", F.log(F.col("btc") / F.lag("btc").over(w)))
+        rows = add_ret(rows, w).withColumn("bret", log_ratio("btc", F.lag("btc").over(w)))
         return rows.withColumns(
             {
                 "log_return": F.col("ret"),
@@ -325,7 +325,7 @@ def add_flow(rows: DataFrame, w: WindowSpec, n: int, prefix: str) -> DataFrame:
             f"{prefix}sell": sell,
             f"{prefix}delta": buy - sell,
             f"{prefix}ratio": F.when(sell > 0, buy / sell),
-            f"{prefix}chg_pct": (F.col("close") - first_open) / first_open * 100,
+            f"{prefix}chg_pct": div(F.col("close") - first_open, first_open) * 100,
             f"{prefix}delta_vs_vol": div((buy - sell) * 100, F.sum("volume").over(f)),
         }
     )
@@ -380,7 +380,7 @@ def forward_return(bars: DataFrame, keys: Sequence[str], horizons: Sequence[int]
     """``fwd_h`` = simple return to the h-th bar ahead, null near the end. A short trade's return is its negative."""
 
     def add(rows, w):
-        return rows.withColumns({f"fwd_{h}": F.lead("close", h).over(w) / F.col("close") - 1 for h in horizons})
+        return rows.withColumns({f"fwd_{h}": div(F.lead("close", h).over(w), "close") - 1 for h in horizons})
 
     return row_frames(bars, keys, ["ts"], add, ahead=max(horizons), keep_number=keep_number)
 
@@ -556,7 +556,7 @@ def add_mq(rows: DataFrame, w: WindowSpec, windows=MQ_WINDOWS) -> DataFrame:
             price = F.when(past_close > 0, (F.col("close") - past_close) / past_close * 100)
         else:
             opened = F.first("open").over(last_n(w, h))
-            price = (F.col("close") - opened) / opened * 100
+            price = div(F.col("close") - opened, opened) * 100
         part = F.struct(
             F.lit(name).alias("win"), F.lit(weight).alias("weight"), F.round(price, 3).alias("price_pct"),
             F.when(past_oi > 0, (F.col("oi") - past_oi) / past_oi * 100).alias("oi_pct"),

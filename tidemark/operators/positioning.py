@@ -22,7 +22,7 @@ def positions_book(positions: DataFrame, spot: float) -> DataFrame:
     """
     size = F.abs("szi")
     held = F.col("spot_eth") + F.col("mainnet_eth")
-    ratio = F.round(F.least(held / size, F.lit(1.0)), 3)
+    ratio = F.round(F.least(div(held, size), F.lit(1.0)), 3)
     short = F.col("side") == "SHORT"
     return (
         positions.filter("szi IS NOT NULL AND szi <> 0")
@@ -166,7 +166,7 @@ def perp_basis(perps: DataFrame, keys: Sequence[str], front: DataFrame | None =
     )
     if front is None:
         return rows
-    q = (F.col("mark") - F.col("perp_avg")) / F.col("perp_avg") * 100
+    q = div(F.col("mark") - F.col("perp_avg"), "perp_avg") * 100
     return rows.join(front, list(keys), "left").withColumns({"q_pct": q, "q_ann": q * (365.0 / F.col("dte"))})
 
 

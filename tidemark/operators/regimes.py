@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import ladder
+from ..functions.exprs import div, ladder
 from ..plans.ordered import row_frames, running_last, top_k
 from ..plans.ranks import exact_quantiles
 
@@ -115,7 +115,7 @@ def stationary(matrices: DataFrame, keys: Sequence[str], k: int, doublings: int
     )
     out = limit.select(*keys, "m", F.posexplode(share).alias("state", "share"))
     stay = F.get(F.get("m", F.col("state")), F.col("state"))
-    return out.select(*keys, "state", "share", (1 / (1 - stay)).alias("dwell"))
+    return out.select(*keys, "state", "share", div(F.lit(1.0), 1 - stay).alias("dwell"))
 
 
 def chi2_tail(x: Column, dof: int) -> Column:

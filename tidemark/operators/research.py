@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import correlation, div, ladder, sign
+from ..functions.exprs import correlation, div, ladder, log_ratio, sign
 from ..plans.ordered import asof_join, numbered, row_frames
 from ..plans.ranks import exact_quantiles, spearman
 from .indicators import (
@@ -25,7 +25,7 @@ def horizon_returns(bars: DataFrame, keys: Sequence[str], horizons: Sequence[int
 
     def add(rows, w):
         parts = [
-            F.struct(F.lit(h).alias("h"), F.log(F.col("close") / F.lag("close", h).over(w)).alias("r")) for h in horizons
+            F.struct(F.lit(h).alias("h"), log_ratio("close", F.lag("close", h).over(w)).alias("r")) for h in horizons
         ]
         return rows.withColumn("__p", F.array(*parts))
 
@@ -61,7 +61,7 @@ def tail_freq(rets: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Observed against normal frequency of extreme returns, and left against right tail."""
     by = [*keys, "h"]
     stats = rets.groupBy(*by).agg(F.avg("r").alias("m"), F.stddev_pop("r").alias("s"))
-    z = rets.join(stats, by).withColumn("z", (F.col("r") - F.col("m")) / F.col("s"))
+    z = rets.join(stats, by).withColumn("z", div(F.col("r") - F.col("m"), "s"))
     share = lambda cond: F.avg(F.when(cond, 1.0).otherwise(0.0))
     out = z.groupBy(*by).agg(
         F.count("z").alias("n"), *[share(F.abs("z") > k).alias(f"obs_{k}") for k in NORMAL_TAILS],
@@ -95,7 +95,7 @@ def autocorr_blocks(bars: DataFrame, keys: Sequence[str], horizons: Sequence[int
     def add(rows, w):
         parts = []
         for h in horizons:
-            r = lambda k, h=h: F.log(F.lag("close", k).over(w) / F.lag("close", k + h).over(w))
+            r = lambda k, h=h: log_ratio(F.lag("close", k).over(w), F.lag("close", k + h).over(w))
             parts.append(
                 F.when(
                     (F.col("__rn") - 1 - h) % h == 0,
@@ -286,7 +286,7 @@ def issuance_lead_ic(daily: DataFrame, close: DataFrame, days: Sequence[int], ro
     prices = close.withColumn("series", F.lit("all"))
 
     def fwd(rows, w):
-        return rows.withColumns({f"ret_{n}h": F.lead("close", n).over(w) / F.col("close") - 1 for n in days})
+        return rows.withColumns({f"ret_{n}h": div(F.lead("close", n).over(w), "close") - 1 for n in days})
 
     def rolled(rows, w):
         return rows.withColumn("net_roll", F.when(F.col("__rn") >= roll, F.sum("net").over(last_n(w, roll))))
@@ -347,7 +347,7 @@ def factor_inputs(
                 "fast_d_1": F.lag("fast_d").over(w),
                 "ethbtc_chg": (div(F.col("__rel"), F.lag("__rel", day).over(w)) - 1) * 100,
                 "vol_rel": F.when((F.col("__rn") >= med) & (half > 0), F.col("volume") / half),
-                **{f"fwd_{h}": F.lead("close", h).over(w) / F.col("close") - 1 for h in horizons},
+                **{f"fwd_{h}": div(F.lead("close", h).over(w), "close") - 1 for h in horizons},
             }
         )
 

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clamp, correlation, half_up, ladder, sign
+from ..functions.exprs import clamp, correlation, div, half_up, ladder, sign
 
 PERIODS = ["5m", "15m", "1h", "4h", "12h", "1d", "15d"]
 # Weight of each factor per period, in the order of PERIODS.
@@ -365,7 +365,7 @@ def live_inputs(
             {
                 **{f"fast_{x}_{i}": F.lag(f"fast_{x}", i).over(w) for x in "kd" for i in (1, 2)},
                 "oi_chg": F.when((F.col("__rn") >= 2) & (past != 0), (F.col("__oi") - past) / past * 100),
-                "chg_24": (F.col("close") / F.lag("close", day).over(w) - 1) * 100,
+                "chg_24": (div("close", F.lag("close", day).over(w)) - 1) * 100,
                 "ethbtc_chg": (F.col("__rel") / F.nullif(F.lag("__rel", day).over(w), F.lit(0.0)) - 1) * 100,
                 "vol_ratio_live": F.when(F.col("rv_24") > 0, F.col("rv_4") / F.col("rv_24")),
                 "iv_spread": F.col("rv_168") - F.col("rv_24"),

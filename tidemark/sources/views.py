@@ -32,7 +32,7 @@ class Views:
 
     def ticks(self) -> DataFrame:
         k = F.get_json_object("props", "$.k").cast("bigint")
-        return self.table("events").select(
+        return self.table("events").filter("value > 0").select(  # a trade has a price
             F.col("event_type").alias("sym"),
             F.col("ts").cast("timestamp").alias("ts"),
             F.col("event_id").alias("seq"),
