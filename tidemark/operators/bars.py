@@ -14,14 +14,17 @@ from ..plans.ordered import asof_join, row_frames
 def start_of(ts: str, seconds: int | Column) -> Column:
     """Start of the bar a time falls in; bars are counted from the epoch."""
     s = F.lit(seconds) if isinstance(seconds, int) else seconds
-    return F.timestamp_seconds(F.floor(F.unix_seconds(ts) / s) * s)
+    return F.timestamp_seconds(F.unix_seconds(ts) - F.pmod(F.unix_seconds(ts), s))
 
 
 def ticks_to_bars(
     ticks: DataFrame, keys: Sequence[str], seconds: int, extra: Sequence[Column] = ()
 ) -> DataFrame:
-    """OHLCV per key and bar; one shuffle, partially aggregated before it. Empty bars do not appear."""
-    when = F.struct("ts", "seq")
+    """OHLCV per key and bar; one shuffle, partially aggregated before it. Empty bars do not appear.
+
+    Time and tie-break are packed into one decimal: a struct would make Spark sort every input split to aggregate it.
+    """
+    when = F.unix_micros("ts").cast("decimal(38,0)") * F.lit(10**18).cast("decimal(19,0)") + F.col("seq")
     return (
         ticks.groupBy(*keys, start_of("ts", seconds).alias("bar"))
         .agg(

@@ -460,7 +460,9 @@ def hmm_fit_grid(
         ]
         return pd.DataFrame(rows, columns=[*keys, *[c.split()[0] for c in MODEL_SCHEMA.split(", ")]])
 
-    return grid_rows.groupBy(*keys, "k").applyInPandas(fit, f"{schema}, {MODEL_SCHEMA}")
+    # a fixed partition count: the groups are few and heavy, and adaptive coalescing would put them into one task
+    parts = 4 * features.sparkSession.sparkContext.defaultParallelism
+    return grid_rows.repartition(parts, *keys, "k").groupBy(*keys, "k").applyInPandas(fit, f"{schema}, {MODEL_SCHEMA}")
 
 
 def best_models(models: DataFrame, keys: Sequence[str]) -> DataFrame:

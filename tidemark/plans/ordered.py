@@ -6,9 +6,12 @@ pieces first and move only what a frame needs across the cuts:
 * ``row_frames``   fixed ROWS frames: blocks of consecutive rows plus a halo of neighbours (exact, gaps allowed);
 * ``numbered``     global row numbers and row counts per key, from per-slice counts;
 * ``running_last`` last non-null value so far: one value per (key, time slice) is carried into the next slices;
-* ``running_sum``  the same idea for cumulative sums;
 * ``asof_join`` / ``nearest_join``  built on the above.
 
+Cutting costs shuffles that a small input does not need. When the optimizer's size estimate of the input is below
+``spark.tidemark.small.bytes`` (default 32 MB, 0 turns it off), no key can be larger than that, and the same frames run
+as plain windows per key. The estimate of a table is its file size; joins multiply it, so a doubtful input is cut.
+
 A *slice* is a fixed stretch of time, so the only per-key windows left run over one row per (key, slice), a number
 fixed by the calendar and not by the row count. Key columns must not be null.
 """
@@ -25,6 +28,18 @@ BAR_SLICE = 30 * DAY
 BLOCK_ROWS = 8192
 
 
+SMALL = "spark.tidemark.small.bytes"
+
+
+def small(df: DataFrame) -> bool:
+    """Is the whole input proven small enough for one task?"""
+    limit = int(df.sparkSession.conf.get(SMALL, str(32 * 1024 * 1024)))
+    if limit <= 0:
+        return False
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= limit
+
+
 def slice_of(ts: str | Column, seconds: int) -> Column:
     """Number of the fixed time slice a timestamp falls in."""
     return F.floor(F.unix_seconds(F.col(ts) if isinstance(ts, str) else ts) / F.lit(seconds))
@@ -38,8 +53,12 @@ def numbered(
     ``order[0]`` is the timestamp, the rest are tie-breaks.
     """
     keys = list(keys)
-    sliced = df.withColumn("__s", slice_of(order[0], slice_seconds))
     by_key = Window.partitionBy(*keys)
+    if small(df):
+        return df.withColumns(
+            {"__rn": F.row_number().over(by_key.orderBy(*order)), "__n": F.count(F.lit(1)).over(by_key)}
+        )
+    sliced = df.withColumn("__s", slice_of(order[0], slice_seconds))
     counts = sliced.groupBy(*keys, "__s").agg(F.count(F.lit(1)).alias("__c"))
     before = by_key.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
@@ -75,6 +94,10 @@ def row_frames(
     Stacked frames need the sum of their reaches.
     """
     keys = list(keys)
+    if small(df):
+        rows = df if "__rn" in df.columns else numbered(df, keys, order)
+        out = add(rows, Window.partitionBy(*keys).orderBy(*order))
+        return out if keep_number else out.drop("__rn", "__n")
     size = max(block_rows, back + ahead + 1)
     rows = df if "__rn" in df.columns else numbered(df, keys, order, slice_seconds)
     home = F.floor((F.col("__rn") - 1) / F.lit(size))
@@ -108,6 +131,9 @@ def running_last(
 ) -> DataFrame:
     """Add each name in ``values``: its last non-null value at or before the row in the key's order."""
     keys, names = list(keys), list(values)
+    if small(df):
+        so_far = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({n: F.last(values[n], ignorenulls=True).over(so_far) for n in names})
     v, e = {n: f"__v{i}" for i, n in enumerate(names)}, {n: f"__e{i}" for i, n in enumerate(names)}
     rows = df.withColumn("__s", slice_of(order[0], slice_seconds)).withColumns({v[n]: values[n] for n in names})
     rank = F.struct(*[F.col(c) for c in order])
@@ -127,33 +153,6 @@ def running_last(
     )
 
 
-def running_sum(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    value: Column,
-    name: str,
-    slice_seconds: int = BAR_SLICE,
-) -> DataFrame:
-    """Add ``name``: the sum of ``value`` up to and including each row in the key's order."""
-    keys = list(keys)
-    rows = df.withColumn("__s", slice_of(order[0], slice_seconds)).withColumn("__v", value)
-    totals = rows.groupBy(*keys, "__s").agg(F.sum("__v").alias("__t"))
-    before = Window.partitionBy(*keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        *keys, "__s", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__t")
-    )
-    inside = (
-        Window.partitionBy(*keys, "__s").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return (
-        rows.withColumn("__v", F.sum("__v").over(inside))
-        .join(carried, [*keys, "__s"])
-        .withColumn(name, F.coalesce(F.col("__v"), F.lit(0)) + F.col("__t"))
-        .drop("__s", "__v", "__t")
-    )
-
-
 def asof_join(
     left: DataFrame,
     rights: DataFrame | Sequence[tuple[DataFrame, Sequence[str]]],
