@@ -397,6 +397,18 @@ def _smooth(logb: np.ndarray, pi: np.ndarray, a: np.ndarray):
     return np.log(sc).sum(1) + top[..., 0].sum(1), post, pairs
 
 
+def _seed_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -> np.ndarray:
+    """Starting means: spread-out points, then a few rounds of moving each to the mean of its nearest rows."""
+    c = x[rng.integers(len(x))][None]
+    while len(c) < k:
+        d = ((x[:, None] - c[None]) ** 2).sum(-1).min(1) + 1e-12
+        c = np.vstack([c, x[rng.choice(len(x), p=d / d.sum())]])
+    for _ in range(rounds):
+        near = ((x[:, None] - c[None]) ** 2).sum(-1).argmin(1)
+        c = np.array([x[near == i].mean(0) if (near == i).any() else c[i] for i in range(k)])
+    return c
+
+
 def _em(x: np.ndarray, k: int, seeds: Sequence[int], n_iter: int, tol: float, floor: float = 1e-3):
     """EM for several random starts side by side; every start keeps its last parameters."""
     t, d = x.shape
@@ -404,7 +416,7 @@ def _em(x: np.ndarray, k: int, seeds: Sequence[int], n_iter: int, tol: float, fl
     mu, pi, a = np.empty((r, k, d)), np.full((r, k), 1 / k), np.full((r, k, k), 1 / k)
     for s, seed in enumerate(seeds):
         rng = np.random.default_rng(seed)
-        mu[s] = x[rng.choice(t, k, replace=False)]
+        mu[s] = _seed_means(x, k, rng)
         a[s] = 0.8 * np.eye(k) + 0.2 * rng.dirichlet(np.ones(k), k)
         a[s] /= a[s].sum(1, keepdims=True)
     var = np.tile(x.var(0) + floor, (r, k, 1))
