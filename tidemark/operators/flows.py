@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import div, ladder
-from ..plans.ordered import row_frames
+from ..plans.ordered import row_frames, top_k
 
 LAG_S = 90 * 60
 
@@ -28,13 +28,12 @@ def late_bucket(flows: DataFrame, keys: Sequence[str], bucket_s: int, age_s: int
     ``age_s`` is the age of the newest bucket's end when the data was read. A single bucket is never provisional.
     """
     stamps = flows.groupBy(*keys, "ts").agg(F.sum("tx").alias("tx"))
-    top = stamps.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_set("ts"), asc=False), 1, 2).alias("__t"))
-    partial = F.lit(age_s < lag_s) & (F.size("__t") > 1)
-    return top.select(
-        *keys,
-        F.get("__t", F.lit(0)).alias("max_ts"),
+    top = top_k(stamps, keys, [F.desc("ts")], 2)
+    partial = F.lit(age_s < lag_s) & (F.count(F.lit(1)) > 1)
+    return top.groupBy(*keys).agg(
+        F.max("ts").alias("max_ts"),
         partial.alias("is_partial"),
-        F.when(partial, F.get("__t", F.lit(1))).otherwise(F.get("__t", F.lit(0))).alias("settled_ts"),
+        F.when(partial, F.min("ts")).otherwise(F.max("ts")).alias("settled_ts"),
     )
 
 
@@ -167,14 +166,20 @@ def flow_labels(scored: DataFrame) -> DataFrame:
 # -- transfers ---------------------------------------------------------------------------------------------------
 
 
-def tag_sides(transfers: DataFrame, addresses: DataFrame, mark: str) -> DataFrame:
-    """``src_<mark>`` and ``dst_<mark>``: is that end in the address set? Two left joins; Spark broadcasts a small set."""
-    ids = addresses.select("address").distinct()
+def tag_sides(transfers: DataFrame, sets: dict[str, DataFrame]) -> DataFrame:
+    """``src_<set>`` and ``dst_<set>``: is that end in the address set?
+
+    All sets become one table of marks, so there is one join per end. Spark broadcasts the table while it is small;
+    beyond that a wallet with most of the transfers is split by adaptive skew handling, as the left side of a left join.
+    """
+    marks = None
+    for name, ids in sets.items():
+        one = ids.select("address", *[F.lit(n == name).alias(n) for n in sets])
+        marks = one if marks is None else marks.unionByName(one)
+    marks = marks.groupBy("address").agg(*[F.bool_or(n).alias(n) for n in sets])
     for end in ("src", "dst"):
-        side = ids.select(F.col("address").alias(end), F.lit(True).alias(f"{end}_{mark}"))
-        transfers = transfers.join(side, end, "left").withColumn(
-            f"{end}_{mark}", F.coalesce(f"{end}_{mark}", F.lit(False))
-        )
+        side = marks.select(F.col("address").alias(end), *[F.col(n).alias(f"{end}_{n}") for n in sets])
+        transfers = transfers.join(side, end, "left").na.fill(False, [f"{end}_{n}" for n in sets])
     return transfers
 
 

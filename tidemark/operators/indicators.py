@@ -264,7 +264,7 @@ def standardize(rows: DataFrame, train: DataFrame, keys: Sequence[str], names: S
     stats = train.groupBy(*keys).agg(
         *[F.avg(n).alias(f"{n}__m") for n in names], *[F.stddev_samp(n).alias(f"{n}__s") for n in names]
     )
-    joined = rows.join(stats, list(keys)) if keys else rows.crossJoin(stats)
+    joined = rows.join(stats, list(keys))
     z = {n: (F.col(n) - F.col(f"{n}__m")) / F.when(F.col(f"{n}__s") == 0, 1.0).otherwise(F.col(f"{n}__s")) for n in names}
     return joined.withColumns(z).select(*rows.columns)
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import div, ladder
 from ..plans.ordered import row_frames, running_last, top_k
 from ..plans.ranks import exact_quantiles
+from .indicators import last_rows
 
 # -- Markov chains -------------------------------------------------------------------------------------------------
 
@@ -443,15 +444,17 @@ def _em(x: np.ndarray, k: int, seeds: Sequence[int], n_iter: int, tol: float, fl
 
 def hmm_fit_grid(
     features: DataFrame, keys: Sequence[str], names: Sequence[str], ks: Sequence[int], seeds: Sequence[int],
-    n_iter: int = 200, tol: float = 1e-4, min_rows: int = 1000,
+    n_iter: int = 200, tol: float = 1e-4, min_rows: int = 1000, months: int = 18,
 ) -> DataFrame:
     """Model table: one row per key, number of states and seed.
 
-    A group is one key and window, as long as the window the caller cut (18 months of 4h bars: 3,285 rows); windows,
-    keys and state counts fit in parallel, restarts of one group side by side in numpy. Training rows are
-    standardized by their own mean and sample deviation.
+    Each key is fitted on its newest ``months``, so a group is never longer than that window (18 months of 4h bars:
+    3,285 rows). Windows, keys and state counts fit in parallel, restarts of one group side by side in numpy. Training
+    rows are standardized by their own mean and sample deviation.
     """
     keys, names, seeds = list(keys), list(names), list(seeds)
+    newest = features.groupBy(*keys).agg(F.max("ts").alias("__last"))
+    features = features.join(newest, keys).filter(F.col("ts") >= F.add_months("__last", -months)).drop("__last")
     grid_rows = features.select(*keys, "ts", *names).withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
     fields = [f for f in features.schema.fields if f.name in keys]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sorted(fields, key=lambda f: keys.index(f.name)))
@@ -528,11 +531,10 @@ DECODE_SCHEMA = (
 )
 
 
-def hmm_decode(features: DataFrame, models: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """Viterbi state and smoothed posterior per bar under each key's model.
-
-    A group is the stretch of bars to classify (the caller bounds it; a year of 4h bars is 2,190 rows).
-    """
+def hmm_decode(
+    features: DataFrame, models: DataFrame, keys: Sequence[str], names: Sequence[str], bars: int = 2190
+) -> DataFrame:
+    """Viterbi state and smoothed posterior per bar under each key's model, over the key's newest ``bars`` rows."""
     keys, names = list(keys), list(names)
     fields = {f.name: f.dataType.simpleString() for f in features.schema.fields}
     schema = ", ".join(f"{c} {fields[c]}" for c in keys) + ", " + DECODE_SCHEMA
@@ -559,8 +561,9 @@ def hmm_decode(features: DataFrame, models: DataFrame, keys: Sequence[str], name
         out["posterior"] = list(post)
         return out[cols]
 
-    left = features.select(*keys, "ts", *names).groupBy(*keys)
-    return left.cogroup(models.groupBy(*keys)).applyInPandas(decode, schema)
+    parts = 4 * features.sparkSession.sparkContext.defaultParallelism
+    left = last_rows(features, keys, bars).select(*keys, "ts", *names).repartition(parts, *keys)
+    return left.groupBy(*keys).cogroup(models.repartition(parts, *keys).groupBy(*keys)).applyInPandas(decode, schema)
 
 
 def current_regime(decoded: DataFrame, models: DataFrame, keys: Sequence[str], k: int, horizons=(1, 6, 24, 48)) -> DataFrame:

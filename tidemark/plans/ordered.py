@@ -128,8 +128,12 @@ def running_last(
     order: Sequence[str],
     values: dict[str, Column],
     slice_seconds: int = BAR_SLICE,
+    slice_ends: DataFrame | None = None,
 ) -> DataFrame:
-    """Add each name in ``values``: its last non-null value at or before the row in the key's order."""
+    """Add each name in ``values``: its last non-null value at or before the row in the key's order.
+
+    ``slice_ends`` may bring the last value of every (key, slice) when the caller knows a cheaper way to it.
+    """
     keys, names = list(keys), list(values)
     if small(df):
         so_far = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -137,9 +141,12 @@ def running_last(
     v, e = {n: f"__v{i}" for i, n in enumerate(names)}, {n: f"__e{i}" for i, n in enumerate(names)}
     rows = df.withColumn("__s", slice_of(order[0], slice_seconds)).withColumns({v[n]: values[n] for n in names})
     rank = F.struct(*[F.col(c) for c in order])
-    ends = rows.groupBy(*keys, "__s").agg(
-        *[F.max_by(v[n], F.when(F.col(v[n]).isNotNull(), rank)).alias(e[n]) for n in names]
-    )
+    if slice_ends is None:
+        ends = rows.groupBy(*keys, "__s").agg(
+            *[F.max_by(v[n], F.when(F.col(v[n]).isNotNull(), rank)).alias(e[n]) for n in names]
+        )
+    else:
+        ends = slice_ends.withColumnsRenamed({n: e[n] for n in names})
     before = Window.partitionBy(*keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(*keys, "__s", *[F.last(e[n], ignorenulls=True).over(before).alias(e[n]) for n in names])
     inside = (
@@ -175,13 +182,19 @@ def asof_join(
     both = left.select(
         *keys, F.col(left_ts).alias("__ts"), F.lit(len(sides)).alias("__side"), F.struct(*lcols).alias("__l")
     )
+    # last right row per slice, from the right sides alone; of the left side only its slices are needed
+    ends = left.select(*keys, slice_of(left_ts, slice_seconds).alias("__s")).distinct()
     for i, (right, names) in enumerate(sides):
         packed = F.struct(F.col(right_ts).alias("__rts"), *[F.col(n) for n in names])
         rhs = right.select(*keys, F.col(right_ts).alias("__ts"), F.lit(i).alias("__side"), packed.alias(f"__r{i}"))
         both = both.unionByName(rhs, allowMissingColumns=True)
-    found = running_last(
-        both, keys, ["__ts", "__side"], {f"__m{i}": F.col(f"__r{i}") for i in range(len(sides))}, slice_seconds
-    )
+        last = right.groupBy(*keys, slice_of(right_ts, slice_seconds).alias("__s")).agg(
+            F.max_by(packed, right_ts).alias(f"__m{i}")
+        )
+        ends = ends.unionByName(last, allowMissingColumns=True)
+    found_cols = {f"__m{i}": F.col(f"__r{i}") for i in range(len(sides))}
+    ends = ends.groupBy(*keys, "__s").agg(*[F.any_value(m, ignoreNulls=True).alias(m) for m in found_cols])
+    found = running_last(both, keys, ["__ts", "__side"], found_cols, slice_seconds, ends)
     out = [F.col(f"__l.{c}").alias(c) for c in lcols]
     if right_time_as:
         out.append(F.col("__m0.__rts").alias(right_time_as))
