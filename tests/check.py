@@ -1,6 +1,7 @@
 """Compare registered queries with their SQL: python tests/check.py sf0.001 [name ...]"""
 
 import os
+import re
 import sys
 import time
 import traceback
@@ -25,6 +26,12 @@ q, o = entry.queries(), entry.oracle_sql()
 wanted = sys.argv[2:]
 names = [n for n in q if not wanted or n in wanted or any(w.endswith("*") and n.startswith(w[:-1]) for w in wanted)]
 bad = 0
+if os.environ.get("SMALL"):  # 0: take the cut-up plans even for small inputs
+    spark.conf.set("spark.tidemark.small.bytes", os.environ["SMALL"])
+FLAGS = {
+    "cartesian": r"CartesianProduct", "nested loop": r"BroadcastNestedLoopJoin", "python": r"(FlatMap|Map|Arrow|Batch)[A-Za-z]*(Pandas|Python|Eval)",
+    "one-task window": r"Exchange SinglePartition[^\n]*\n[^\n]*\n?[^\n]*Window",
+}
 for n in names:
     t = time.time()
     try:
@@ -39,6 +46,12 @@ for n in names:
         why = note = "ERROR " + str(e).strip().replace("\n", " ")[:600]
         if os.environ.get("TB"):
             traceback.print_exc()
+    if os.environ.get("PLAN") and why is None:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        found = [k for k, v in FLAGS.items() if re.search(v, plan)]
+        if re.search(r"Window \[.*\], \[(?!\w)", plan):
+            found.append("window without key")
+        note += f" {plan.count('Exchange')} exchanges" + (f" FLAGS {found}" if found else "")
     bad += why is not None
     print(f"{n:28s} {time.time() - t:6.2f}s {note}", flush=True)
 print("bad:", bad, "of", len(names))

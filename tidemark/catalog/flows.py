@@ -35,7 +35,7 @@ def fl(v: Views):
     "SELECT *, abs(net_usd) / volume_usd * 100 AS flow_vol_pct FROM fl_win",
 )
 def _(spark, d):
-    return op.flow_windows(fl(Views(spark, d)), ["asset"], WINDOWS, DAY, AGE, VOLUMES)
+    return op.flow_windows(op.fill_usd(Views(spark, d).kept("flows"), SPOT), ["asset"], WINDOWS, DAY, AGE, VOLUMES)
 
 
 @query(
@@ -81,7 +81,7 @@ Z = "asset net:f2 samples:i mean:f6 std:f6 z:f9 percentile:f6 magnitude"
 
 
 def scored(v: Views):
-    return op.rolling_flow_z(fl(v), ["asset"], DAY)
+    return op.rolling_flow_z(op.fill_usd(v.kept("flows"), SPOT), ["asset"], DAY)
 
 
 @query("rolling_flow_z", Z, "SELECT * FROM fl_z")
@@ -148,7 +148,7 @@ VIEWS["res_avg"] = """
 
 
 def balances(v: Views):
-    return op.token_map(v.reserves())
+    return op.token_map(v.kept("reserves"))
 
 
 def vs_avg(v: Views):
@@ -190,17 +190,14 @@ def _(spark, d):
 )
 def _(spark, d):
     v = Views(spark, d)
-    now = balances(v).groupBy("venue").agg(F.max_by(F.struct("eth", "stable"), "ts").alias("x"))
-    venues = v.flows().groupBy("asset").agg(F.count_distinct("cex").alias("venues"))
+    held = balances(v).groupBy("venue").agg(F.max_by(F.struct("eth", "stable"), "ts").alias("x"))
+    now = held.agg(F.struct(F.sum("x.eth").alias("eth"), F.sum("x.stable").alias("stable"))).scalar()
+    venues = v.kept("flows").groupBy("asset").agg(F.count_distinct("cex").alias("venues"))
     return (
         scored(v)
         .join(venues, "asset")
-        .withColumns(
-            {
-                "reserves_eth": now.agg(F.sum("x.eth")).scalar(),
-                "reserves_stable": now.agg(F.sum("x.stable")).scalar(),
-            }
-        )
+        .withColumn("now", now)
+        .withColumns({"reserves_eth": F.col("now.eth"), "reserves_stable": F.col("now.stable")})
         .withColumn("flow_pct", F.when(F.col("reserves_eth") > 0, F.abs("net") / F.col("reserves_eth") * 100))
     )
 

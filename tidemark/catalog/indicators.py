@@ -140,7 +140,7 @@ FEATURE_COLS = "sym ts:t " + " ".join(f"{f}:f6" for f in op.FEATURES)
 
 
 def features(v: Views):
-    return op.regime_features(v.bars(), v.funding().filter("venue = 'v0'"), v.bench(), ["sym"], n_z=100)
+    return op.regime_features(v.bars(), v.kept("funding").filter("venue = 'v0'"), v.kept("bench"), ["sym"], n_z=100)
 
 
 @query("regime_features", FEATURE_COLS, "SELECT * FROM features")

@@ -25,7 +25,7 @@ def _(spark, d):
     left = v.lineitem().join(v.orders(), F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_orderpriority").alias("label"), F.col("l_shipdate").alias("ts"), "l_orderkey", "l_linenumber"
     )
-    return asof_join(left, v.macro(), ["label"], ["close"], right_time_as="quote_ts")
+    return asof_join(left, v.kept("macro"), ["label"], ["close"], right_time_as="quote_ts")
 
 
 @query(

@@ -216,12 +216,12 @@ RETAIL = ["b", "o", "y"]
 
 @query("join_nearest_tolerance", "ts:t venue long_pct:f9", "SELECT * FROM ls_al")
 def _(spark, d):
-    return op.ls_aligned(Views(spark, d).ls(), RETAIL, 1800)
+    return op.ls_aligned(Views(spark, d).kept("ls"), RETAIL, 1800)
 
 
 @query("ls_aggregate", "ts:t long_pct:f9 venues:i ratio:f9", "SELECT * FROM ls_agg")
 def _(spark, d):
-    return op.ls_aggregate(Views(spark, d).ls(), RETAIL, 1800)
+    return op.ls_aggregate(Views(spark, d).kept("ls"), RETAIL, 1800)
 
 
 @query(
@@ -233,7 +233,7 @@ def _(spark, d):
        JOIN (SELECT venue, min(ts) AS t0, first(long_pct ORDER BY ts) AS oldest FROM ls GROUP BY venue) f ON f.venue = a.venue""",
 )
 def _(spark, d):
-    return op.ls_deltas(Views(spark, d).ls(), ["venue"])
+    return op.ls_deltas(Views(spark, d).kept("ls"), ["venue"])
 
 
 VIEWS["ls_div"] = """
@@ -250,7 +250,7 @@ VIEWS["ls_div"] = """
          FROM ls_div, (SELECT ts AS now_ts, value AS now FROM ls_div ORDER BY ts DESC LIMIT 1) WHERE ts < now_ts GROUP BY ALL)""",
 )
 def _(spark, d):
-    return op.ls_divergence(Views(spark, d).ls(), RETAIL, "w", 1800)
+    return op.ls_divergence(Views(spark, d).kept("ls"), RETAIL, "w", 1800)
 
 
 VIEWS["conf"] = f"""

@@ -171,7 +171,7 @@ def scored(v: Views):
 
 
 def slong(v: Views):
-    return settle(op.by_horizon(scored(v), ["sym", "score"], HOURS))
+    return op.by_horizon(scored(v), ["sym", "score"], HOURS)
 
 
 @query("join_asof_offset", "sym seq:i ts:t score:i ret_1h:f9 ret_4h:f9 ret_12h:f9 ret_24h:f9 prev_1h:f9", "SELECT * FROM scored")
@@ -241,8 +241,8 @@ def _(spark, d):
     from .flows import issuance
 
     v = Views(spark, d)
-    close = v.macro().filter("label = '1-URGENT'").select(F.col("ts").alias("day"), "close")
-    return op.issuance_lead_ic(settle(issuance(v)), settle(close), [1, 3, 7, 14])
+    close = v.kept("macro").filter("label = '1-URGENT'").select(F.col("ts").alias("day"), "close")
+    return op.issuance_lead_ic(issuance(v), close, [1, 3, 7, 14])
 
 
 # -- events --------------------------------------------------------------------------------------------------------
@@ -271,8 +271,8 @@ EH = [4, 12, 24]
 
 
 def inputs(v: Views):
-    rate = v.funding().filter("venue = 'v0'").withColumn("rate", F.col("rate") * 20)
-    return op.factor_inputs(v.bars(), rate, v.bench(), ["sym"], SHORT["slow"], SHORT["fast"], EH)
+    rate = v.kept("funding").filter("venue = 'v0'").withColumn("rate", F.col("rate") * 20)
+    return op.factor_inputs(v.bars(), rate, v.kept("bench"), ["sym"], SHORT["slow"], SHORT["fast"], EH)
 
 
 def events(v: Views):

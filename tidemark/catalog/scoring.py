@@ -98,10 +98,10 @@ VIEWS["st_in"] = f"""
 
 
 def live(v: Views):
-    ls = v.ls()
+    ls = v.kept("ls")
     sides = [
-        (v.funding().filter("venue = 'v0'").withColumn("rate", F.col("rate") * 20), ["rate"]),
-        (v.bench(), ["btc"]),
+        (v.kept("funding").filter("venue = 'v0'").withColumn("rate", F.col("rate") * 20), ["rate"]),
+        (v.kept("bench"), ["btc"]),
         (ls.filter("venue = 'b'").withColumnRenamed("ratio", "retail"), ["retail"]),
         (ls.filter("venue = 'w'").withColumnRenamed("ratio", "top"), ["top"]),
     ]

@@ -254,7 +254,8 @@ def reserves_daily(balances: DataFrame) -> DataFrame:
 def reserves_vs_avg(daily: DataFrame, balances: DataFrame, as_of: Column, windows: Sequence[int]) -> DataFrame:
     """Latest totals against their mean over the last n days."""
     latest = balances.groupBy("venue").agg(F.max_by(F.struct("eth", "stable"), "ts").alias("x"))
-    eth, stable = latest.agg(F.sum("x.eth")).scalar(), latest.agg(F.sum("x.stable")).scalar()
+    now = latest.agg(F.struct(F.sum("x.eth").alias("eth"), F.sum("x.stable").alias("stable"))).scalar()
+    eth, stable = now["eth"], now["stable"]
     marks = [F.when(F.col("day") >= F.date_sub(F.to_date(as_of), n), F.lit(n)) for n in windows]
     return (
         daily.withColumn("days", F.explode(F.array_compact(F.array(*marks))))

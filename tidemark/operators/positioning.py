@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import bucket, clamp, div, ladder
 from ..plans.ordered import asof_join, nearest_join, row_frames
+from ..plans.settle import settle
 
 # Cover of a short by spot from which it counts as fully or partly hedged, and the spot share of a
 # long from which it counts as a doubled bet.
@@ -243,12 +244,14 @@ def ls_divergence(ls: DataFrame, retail: Sequence[str], whale: str, tolerance_s:
     """
     agg = ls_aggregate(ls, retail, tolerance_s).select("ts", F.col("long_pct").alias("retail"))
     whales = ls.filter(F.col("venue") == whale).select("ts", F.col("long_pct").alias("whale"))
-    series = nearest_join(agg, whales, [], ["ts"], "whale", 1800).filter("whale IS NOT NULL").select(
-        "ts", (F.col("retail") - F.col("whale")).alias("value")
+    agg = settle(agg)  # read for the match and for its result, as is the series below
+    series = settle(
+        nearest_join(agg, whales, [], ["ts"], "whale", 1800).filter("whale IS NOT NULL").select(
+            "ts", (F.col("retail") - F.col("whale")).alias("value")
+        )
     )
-    now = F.max(F.struct("ts", "value"))
-    last_ts, last = series.agg(now["ts"]).scalar(), series.agg(now["value"]).scalar()
-    hist = series.withColumns({"now_ts": last_ts, "now": last}).filter("ts < now_ts")
+    last = series.agg(F.max(F.struct("ts", "value"))).scalar()
+    hist = series.withColumn("__l", last).withColumns({"now_ts": F.col("__l.ts"), "now": F.col("__l.value")}).filter("ts < now_ts")
     n, sd = F.col("n"), F.col("sd")
     return (
         hist.groupBy("now_ts", "now")

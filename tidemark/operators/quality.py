@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import c, div
+from ..plans.settle import settle
 
 
 def yield_bound(v, max_pct: float) -> Column:
@@ -34,7 +35,7 @@ def latest(series: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataF
 
 def duplicate_series(series: DataFrame, part: str, total: str, value: str, limit: float = 0.02) -> DataFrame:
     """Parts whose latest value is within the limit of the total's: the source is repeating the total."""
-    now = latest(series, [part], [value])
+    now = settle(latest(series, [part], [value]))
     whole = now.filter(F.col(part) == total).agg(F.max(value)).scalar()
     return now.filter(F.col(part) != total).withColumn("total", whole).withColumn(
         "duplicate", F.coalesce(F.abs(div(F.col(value), F.col("total")) - 1) < limit, F.lit(False))
@@ -67,7 +68,7 @@ def band(name, lo: float, hi: float) -> Column:
 
 def distinct_from_total(deltas: DataFrame, part: str, total: str, value: str, pct: str) -> DataFrame:
     """Do parts move on their own? Their percent change must differ from the total's; how many go its way; coverage."""
-    now = latest(deltas, [part], [value, pct])
+    now = settle(latest(deltas, [part], [value, pct]))
     is_total = F.col(part) == total
     whole_pct = now.filter(is_total).agg(F.max(pct)).scalar()
     rows = now.withColumn("__p", whole_pct)

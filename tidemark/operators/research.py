@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import correlation, div, ladder, log_ratio, sign
-from ..plans.ordered import asof_join, numbered, row_frames
+from ..plans.ordered import asof_join, numbered, row_frames, settle_large
 from ..plans.ranks import exact_quantiles, spearman
 from .indicators import (
     TRIGGER_ZONES, Stoch, add_ret, add_stoch, add_vwap, band_position, cross, dedup_triggers, last_n, rv,
@@ -148,6 +148,7 @@ def magnitude_calibration(
     rows = labelled.select(
         *keys, "h", F.abs("r").alias("a"), F.explode(F.array(F.col("s"), F.lit("ALL"))).alias("state")
     )
+    rows = settle_large(rows)
     q = exact_quantiles(rows, by, "a", CUTS)
     std = rows.groupBy(*by).agg(F.stddev_pop("a").alias("std_abs_ret"))
     return q.join(std, by).filter(F.col("n") >= min_n)

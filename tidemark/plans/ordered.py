@@ -23,6 +23,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .settle import settle
+
 DAY = 86400
 BAR_SLICE = 30 * DAY
 BLOCK_ROWS = 8192
@@ -40,6 +42,11 @@ def small(df: DataFrame) -> bool:
     return int(str(size)) <= limit
 
 
+def settle_large(df: DataFrame) -> DataFrame:
+    """Settle an intermediate result that is about to be read twice, unless it is small."""
+    return df if small(df) else settle(df)
+
+
 def slice_of(ts: str | Column, seconds: int) -> Column:
     """Number of the fixed time slice a timestamp falls in."""
     return F.floor(F.unix_seconds(F.col(ts) if isinstance(ts, str) else ts) / F.lit(seconds))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import correlation
+from .settle import settle
 
 SKETCH = 10_000
 SLACK = 0.001
@@ -85,9 +86,12 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> D
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, min_n: int = 10) -> DataFrame:
-    """Rank correlation per key with its t statistic; null below ``min_n`` pairs."""
+    """Rank correlation per key with its t statistic; null below ``min_n`` pairs.
+
+    The pairs are settled first: they are read for the ranks of either side and for the correlation.
+    """
     keys = list(keys)
-    rows = df.select(*keys, x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    rows = settle(df.select(*keys, x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull()))
     ranked = rows.join(average_ranks(rows, keys, x, "__rx"), [*keys, x]).join(
         average_ranks(rows, keys, y, "__ry"), [*keys, y]
     )

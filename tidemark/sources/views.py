@@ -27,6 +27,10 @@ class Views:
             self._kept[name] = settle(make())
         return self._kept[name]
 
+    def kept(self, name: str) -> DataFrame:
+        """A view settled on first use, for operators that read their input more than once."""
+        return self._once(name, getattr(self, name))
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
