@@ -496,7 +496,8 @@ def hmm_rolling(
     """Best model per key and rolling window; only windows the key's data fills to the end."""
     spans = features.groupBy(*keys).agg(F.max("ts").alias("__last"))
     end = F.unix_seconds(F.lit(first).cast("timestamp")) + F.col("window") * step_s + length_s
-    rows = rolling_windows(features, first, length_s, step_s).join(spans, list(keys)).filter(F.unix_seconds("__last") >= end)
+    rows = rolling_windows(features, first, length_s, step_s).join(spans, list(keys))
+    rows = rows.filter(F.unix_seconds("__last") >= end).drop("__last")
     return best_models(hmm_fit_grid(rows, [*keys, "window"], names, [k], seeds, min_rows=min_rows), [*keys, "window"])
 
 
