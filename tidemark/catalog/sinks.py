@@ -46,7 +46,7 @@ def _(spark, d):
 @query(
     "sink_micro",
     "snap:t mid:f4 total_bid:f2 total_ask:f2 n_bids:i n_asks:i best_bid_qty:f2 n_bid_walls:i n_ask_walls:i",
-    """SELECT snap, mid, total_bid, total_ask, least(nb, 30) AS n_bids, least(na, 30) AS n_asks, bq AS best_bid_qty, least(wb, 30) AS n_bid_walls, least(wa, 30) AS n_ask_walls
+    """SELECT snap, mid, total_bid, total_ask, least(nb, 30) AS n_bids, least(na, 30) AS n_asks, bq AS best_bid_qty, least(coalesce(wb, 0), 30) AS n_bid_walls, least(coalesce(wa, 0), 30) AS n_ask_walls
        FROM book_sum JOIN (SELECT snap, count_if(side = 'bid') AS nb, count_if(side = 'ask') AS na, first(qty ORDER BY price DESC) FILTER (side = 'bid') AS bq FROM clusters GROUP BY snap) USING (snap)
        LEFT JOIN (SELECT snap, count_if(side = 'bid') AS wb, count_if(side = 'ask') AS wa FROM walls GROUP BY snap) USING (snap)""",
 )
@@ -59,12 +59,12 @@ def _(spark, d):
     path = scratch(spark, "micro")
     sinks.write_daily(rows, path, "snap")
     size = lambda x: F.json_array_length(x)
-    empty = lambda x: F.when(F.col("bid_walls_json").isNotNull() | F.col("ask_walls_json").isNotNull(), F.coalesce(size(x), F.lit(0)))
+    some = lambda x: F.coalesce(size(x), F.lit(0))
     return sinks.read_daily(spark, path).withColumns(
         {
             "n_bids": size("bids_json"), "n_asks": size("asks_json"),
             "best_bid_qty": F.get_json_object("bids_json", "$[0].qty").cast("double"),
-            "n_bid_walls": empty("bid_walls_json"), "n_ask_walls": empty("ask_walls_json"),
+            "n_bid_walls": some("bid_walls_json"), "n_ask_walls": some("ask_walls_json"),
         }
     )
 
@@ -100,8 +100,9 @@ def _(spark, d):
     f = features(Views(spark, d))
     m = rg.best_models(rg.hmm_fit_grid(f, KEY, FEATURES, [4], SEEDS[:2], n_iter=50, tol=1e-2, min_rows=MIN_ROWS), KEY)
     path = scratch(spark, "models")
-    sinks.write_models(m.withColumn("fit_date", F.to_date("last_ts")), path)
-    return spark.read.parquet(path)
+    m = m.withColumn("fit_date", F.to_date("last_ts"))
+    sinks.write_models(m, path)
+    return spark.read.schema(m.schema).parquet(path)
 
 
 # -- batch twins of the streaming jobs -----------------------------------------------------------------------------
