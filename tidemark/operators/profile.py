@@ -63,13 +63,15 @@ def volume_profile_struct(bars: DataFrame, keys: Sequence[str], size, share: flo
     )
     in_va = F.coalesce(F.round(F.col("cum") - share * F.col("total"), 6) < 0, F.lit(True))
     thin = F.col("vol") < F.col("mean") * 0.3
+    high_first = w.orderBy(F.when(thin, 0).otherwise(1), F.desc("price"))
+    ranked = ranked.withColumn("__thin", F.when(thin & (F.row_number().over(high_first) <= 3), F.col("price")))
     out = ranked.groupBy(*keys).agg(
         F.min_by("price", "rk").alias("poc"),
         F.max("vol").alias("poc_vol"),
         F.max(F.when(in_va, F.col("price"))).alias("vah"),
         F.min(F.when(in_va, F.col("price"))).alias("val"),
         F.sort_array(F.collect_list(F.when(F.col("rk") <= 5, F.struct("rk", "price"))))["price"].alias("hvn"),
-        F.slice(F.sort_array(F.collect_list(F.when(thin, F.col("price"))), asc=False), 1, 3).alias("lvn"),
+        F.sort_array(F.collect_list("__thin"), asc=False).alias("lvn"),
     )
     step = F.lit(size) if isinstance(size, float) else F.col(size)
     c = F.col("last_close")
