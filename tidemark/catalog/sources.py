@@ -4,7 +4,7 @@ from ..functions.exprs import parse_date
 from ..operators import flows as fw
 from ..operators import options as opt
 from ..operators import quality as q
-from ..plans.settle import shared_folder
+from ..plans.settle import application_folder
 from ..sources import payloads as pl
 from ..sources.views import Views
 from .flows import deltas, supply
@@ -17,7 +17,7 @@ from .views import VIEWS
 def scratch(spark, name: str) -> str:
     import uuid
 
-    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def ms(col="ts"):

@@ -6,24 +6,36 @@ expensive scan to one pass and lets a lost executor restart from the table inste
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the session names none."""
+    """The folder named by spark.checkpoint.dir; where the session names none, one inside its warehouse.
+
+    Both are shared by all executors of a cluster. Nothing is ever put in a machine's own temporary folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="tidemark-")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_settled"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def application_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; the file system removes it when the application ends."""
+    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.mkdirs(path):
+        files.deleteOnExit(path)
+    return folder
+
+
 def settle(df: DataFrame) -> DataFrame:
     """``df`` written as parquet and read back."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{application_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
