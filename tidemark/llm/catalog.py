@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard
+from . import jaccard, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,15 +33,15 @@ NEAR_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
-s AS (
-  SELECT doc_id, CASE WHEN len(words) = 0 OR words IS NULL THEN []
-    WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS grams
-  FROM w),
-g AS (SELECT doc_id, unnest(grams) AS gram FROM s),
-n AS (SELECT doc_id, CAST(len(grams) AS BIGINT) AS n FROM s),
+p AS (SELECT doc_id, len(words) AS k, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+q AS (SELECT doc_id, k, i, concat_ws(' ', word, lead(word, 1) OVER d, lead(word, 2) OVER d, lead(word, 3) OVER d, lead(word, 4) OVER d) AS gram
+  FROM p WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT DISTINCT doc_id, gram FROM q WHERE i + 4 <= k OR i = 1),
+n AS (SELECT w.doc_id, count(g.gram) AS n FROM w LEFT JOIN g USING (doc_id) GROUP BY w.doc_id),
+m AS (SELECT doc_id, gram, count(*) OVER (PARTITION BY gram) AS c FROM g),
+h AS (SELECT doc_id, gram FROM m WHERE c > 1),
 links AS (
-  SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  SELECT a.doc_id AS a, b.doc_id AS b FROM h a JOIN h b ON a.gram = b.gram AND a.doc_id <> b.doc_id
   JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
   GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 75 * (na.n + nb.n - count(*))),
 reach AS (SELECT doc_id, doc_id AS other FROM n UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a)
@@ -51,3 +52,19 @@ SELECT n.doc_id, n.n AS n_shingles, min(r.other) AS component_id FROM n JOIN rea
 @query("op1_ngram_jaccard_join", NEAR_SQL)
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+TOP_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+  FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op4_exact_top_k_search", TOP_SQL)
+def exact_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
