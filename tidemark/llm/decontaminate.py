@@ -213,7 +213,7 @@ def with_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", item
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(merged, arrow)], names=[*keep, out])
 
         rows = in_batches(found.select(*keep, out, F.col(text_col).cast("string").alias("__text")))
-        found = rows.mapInArrow(run, docs.select(*keep).schema.add(out, kind))
+        found = rows.mapInArrow(run, found.select(*keep, out).schema)
     return found
 
 
