@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, decontaminate, jaccard, language, pieces, repeats, secrets, topk
+from . import bytebpe, decontaminate, jaccard, language, lmscore, pieces, quality, repeats, secrets, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +101,21 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_suffix_array_dedup")
 def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op2_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades 0 (toxic), 1 (low quality), 2 (good), learned from labels of documents that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    rated = labels.filter(~language.held_out()).select("doc_id", grade.alias("grade"))
+    model = quality.fit(rated, docs, "doc_id", "text", "grade", 3)
+    return quality.graded(docs.select("doc_id", "text"), model).select(
+        "doc_id", language.held_out().alias("held_out"), "expected_grade", "tail_prob", (F.col("tail_prob") >= 0.5).alias("keep"))
+
+
+@query("op7_lm_scoring")
+def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled good and not toxic."""
+    target = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
+    return lmscore.cross_entropy_difference(table(spark, sf_dir, "documents"), target)
