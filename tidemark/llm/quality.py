@@ -17,7 +17,7 @@ from .decontaminate import _words
 
 DIMENSION = 1 << 16
 SAMPLE = 6000  # rated texts a model is fitted on at most, spread evenly over the grades
-STEPS = 250
+STEPS = 400
 
 
 def _features(data: np.ndarray, offsets: np.ndarray):
@@ -49,11 +49,15 @@ def _scores(column, weights: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def _fit(text, feature, value, grade: np.ndarray, grades: int):
-    """Weights and thresholds, by gradient steps with momentum on the weighted negative log-likelihood."""
+def _fit(text, feature, value, grade: np.ndarray, grades: int, rated: np.ndarray):
+    """Weights and thresholds, by gradient steps with momentum on the weighted negative log-likelihood.
+
+    rated: how many texts have each grade. A grade weighs the square root of that, between its share of the ratings and
+    an equal share, however many of its texts the sample holds.
+    """
     n = len(grade)
     size = np.bincount(grade, minlength=grades)
-    share = (1 / np.sqrt(np.maximum(size, 1)))[grade]
+    share = (np.sqrt(rated) / np.maximum(size, 1))[grade]
     share /= share.sum()
     w, speed = np.zeros(DIMENSION), np.zeros(DIMENSION)
     t = np.arange(grades - 1) - (grades - 2) / 2.0
@@ -84,6 +88,7 @@ def fit(rated: DataFrame, docs: DataFrame, id_col: str, text_col: str, grade_col
     sizes = {r[0]: r[1] for r in ids.groupBy("grade").count().collect()}  # a row a grade
     if not sizes:
         return np.zeros(DIMENSION), np.arange(grades - 1) - (grades - 2) / 2.0
+    rated_n = np.array([float(sizes.get(g, 0)) for g in range(grades)])
     each = max(1, SAMPLE // len(sizes))
     order = F.xxhash64("id")
     share = F.create_map(*[F.lit(x) for g, n in sizes.items() for x in (g, min(1.0, 1.3 * each / n + 20 / n))])
@@ -98,7 +103,7 @@ def fit(rated: DataFrame, docs: DataFrame, id_col: str, text_col: str, grade_col
         for lo, hi, data, offsets in slices(table.column("text")):
             text, feature, value = _features(data, offsets)
             parts.append((text + lo, feature, value))
-        w, t = _fit(*(np.concatenate(x) for x in zip(*parts)), np.array(table.column("grade").to_pylist()), grades)
+        w, t = _fit(*(np.concatenate(x) for x in zip(*parts)), np.array(table.column("grade").to_pylist()), grades, rated_n)
         return pa.table({"w": pa.array([np.concatenate([w, t]).tobytes()], pa.binary())})
 
     row = texts.join(chosen, "id").select(F.lit(0).alias("g"), "id", "text", "grade").groupBy("g").applyInArrow(run, "w binary").first()
