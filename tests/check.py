@@ -16,7 +16,7 @@ import __spark_entry__ as entry  # noqa: E402
 spark = (
     SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
     .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
-    .config("spark.ui.showConsoleProgress", "false")
+    .config("spark.ui.showConsoleProgress", "false").config("spark.checkpoint.dir", "/tmp/tidemark-checks")
     .config("spark.sql.session.timeZone", "UTC").getOrCreate()
 )
 spark.sparkContext.setLogLevel("ERROR")
@@ -26,8 +26,6 @@ q, o = entry.queries(), entry.oracle_sql()
 wanted = sys.argv[2:]
 names = [n for n in q if not wanted or n in wanted or any(w.endswith("*") and n.startswith(w[:-1]) for w in wanted)]
 bad = 0
-if os.environ.get("SMALL"):  # 0: take the cut-up plans even for small inputs
-    spark.conf.set("spark.tidemark.small.bytes", os.environ["SMALL"])
 FLAGS = {
     "cartesian": r"CartesianProduct", "nested loop": r"BroadcastNestedLoopJoin", "python": r"(FlatMap|Map|Arrow|Batch)[A-Za-z]*(Pandas|Python|Eval)",
     "one-task window": r"Exchange SinglePartition[^\n]*\n[^\n]*\n?[^\n]*Window",

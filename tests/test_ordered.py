@@ -30,37 +30,30 @@ def bars(spark):
     return settle(spark.createDataFrame(rows, cols))
 
 
-@pytest.fixture
-def cut(spark):
-    spark.conf.set(od.SMALL, "0")
-    yield
-    spark.conf.unset(od.SMALL)
+def plain_numbered(df, keys, order, slice_seconds=None):
+    w = Window.partitionBy(*keys)
+    return df.withColumns({"__rn": F.row_number().over(w.orderBy(*order)), "__n": F.count(F.lit(1)).over(w)})
 
 
-def rows_of(df):
-    def cell(x):
-        return round(x, 7) if isinstance(x, float) else x
+def plain_frames(df, keys, order, add, *, keep_number=False, **_):
+    rows = df if "__rn" in df.columns else plain_numbered(df, keys, order)
+    out = add(rows, Window.partitionBy(*keys).orderBy(*order))
+    return out if keep_number else out.drop("__rn", "__n")
 
-    return sorted([tuple(cell(x) for x in r) for r in df.select(*sorted(df.columns)).collect()], key=repr)
 
+def plain_last(df, keys, order, values, *_):
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns({n: F.last(v, ignorenulls=True).over(w) for n, v in values.items()})
 
-def both(spark, make):
-    plain = rows_of(make())
-    spark.conf.set(od.SMALL, "0")
-    try:
-        return plain, rows_of(make())
-    finally:
-        spark.conf.unset(od.SMALL)
 
+def rows_of(df):
+    def cell(x):
+        return round(x, 7) if isinstance(x, float) else x
 
-def test_small_is_decided_by_size(spark, bars):
-    assert od.small(bars)
-    spark.conf.set(od.SMALL, "0")
-    assert not od.small(bars)
-    spark.conf.unset(od.SMALL)
+    return sorted([tuple(cell(x) for x in r) for r in df.select(*sorted(df.columns)).collect()], key=repr)
 
 
-def test_row_frames_blocks(spark, bars, cut):
+def test_row_frames_blocks(spark, bars):
     def add(r, w):
         return r.withColumns(
             {
@@ -89,9 +82,12 @@ def test_row_frames_blocks(spark, bars, cut):
         lambda b: ind.forward_return(b, ["sym"], [1, 24]),
     ],
 )
-def test_cut_plan_equals_plain(spark, bars, make):
-    plain, cut_up = both(spark, lambda: make(bars))
-    assert plain == cut_up and plain
+def test_cut_plan_equals_plain(bars, make, monkeypatch):
+    """The same operators on one window per key, as for a series that fits one task."""
+    cut_up = rows_of(make(bars))
+    for name, plain in (("numbered", plain_numbered), ("row_frames", plain_frames), ("running_last", plain_last)):
+        monkeypatch.setattr(ind, name, plain)
+    assert rows_of(make(bars)) == cut_up and cut_up
 
 
 def test_asof_equals_brute_force(spark, bars):
@@ -103,11 +99,9 @@ def test_asof_equals_brute_force(spark, bars):
     for r in bars.select("sym", "ts").collect():
         hits = [(t, v) for s, t, v in quotes if s == r.sym and t <= r.ts]
         want[(r.sym, r.ts)] = max(hits)[1] if hits else None
-    for size in ("0", "33554432"):
-        spark.conf.set(od.SMALL, size)
-        got = od.asof_join(bars.select("sym", "ts"), right, ["sym"], ["q"])
+    for seconds in (od.BAR_SLICE, 7 * od.DAY):
+        got = od.asof_join(bars.select("sym", "ts"), right, ["sym"], ["q"], slice_seconds=seconds)
         assert {(r.sym, r.ts): r.q for r in got.collect()} == want
-    spark.conf.unset(od.SMALL)
 
 
 def test_asof_equal_times_match(spark):

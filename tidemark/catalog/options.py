@@ -215,24 +215,23 @@ def _(spark, d):
 
 @query(
     "iv_rv_spread",
-    "und dte:i iv:f6 rv:f6 spread:f6 ratio:f6",
+    "sym und dte:i iv:f6 rv:f6 spread:f6 ratio:f6",
     """SELECT *, iv - rv AS spread, iv / rv AS ratio FROM (
          SELECT und, first(iv ORDER BY dte) AS iv, min(dte) AS dte FROM term WHERE dte BETWEEN 3 AND 21 GROUP BY und)
-       JOIN (SELECT CASE WHEN sym = 'view' THEN 'u0' ELSE 'u1' END AS und, stddev_samp(ret) * sqrt(8760) * 100 AS rv
-             FROM nrets WHERE sym IN ('view', 'click') AND nn - rn < 24 GROUP BY sym HAVING count(ret) = 24) USING (und)""",
+       JOIN (SELECT sym, concat('u', length(sym) % 2) AS und, stddev_samp(ret) * sqrt(8760) * 100 AS rv
+             FROM nrets WHERE nn - rn < 24 GROUP BY sym HAVING count(ret) = 24) USING (und)""",
 )
 def _(spark, d):
     v = Views(spark, d)
-    bars = v.bars().filter("sym IN ('view', 'click')")
-    und = F.when(F.col("sym") == "view", "u0").otherwise("u1")
-    rv = ind.realized_vol(bars, ["sym"], (4, 24)).groupBy(und.alias("und")).agg(F.max_by("rv_24", "ts").alias("rv"))
+    und = F.concat(F.lit("u"), F.length("sym") % 2)  # every symbol has the options of one underlying
+    rv = ind.realized_vol(v.bars(), ["sym"], (4, 24)).groupBy("sym", und.alias("und")).agg(F.max_by("rv_24", "ts").alias("rv"))
     return op.iv_rv_spread(op.iv_term_structure(v.options(), ["und"], as_of(), SPOT), rv.filter("rv IS NOT NULL"), ["und"])
 
 
 VIEWS["symbols"] = """
   SELECT DISTINCT concat(CASE WHEN l_suppkey % 2 = 0 THEN 'ETH' ELSE 'BTC' END, '-', strftime(l_shipdate, '%-d'), upper(strftime(l_shipdate, '%b')), strftime(l_shipdate, '%y'),
          CASE WHEN l_linenumber = 1 THEN '' ELSE concat('-', 500 + 50 * (l_partkey % 41), '-', CASE WHEN l_linestatus = 'O' THEN 'C' ELSE 'P' END) END) AS instrument
-  FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-01-01'"""
+  FROM lineitem"""
 
 
 def symbols(v: Views):
@@ -243,7 +242,6 @@ def symbols(v: Views):
     )
     return (
         v.lineitem()
-        .filter("l_shipdate >= TIMESTAMP '2000-01-01'")
         .select(
             F.concat(
                 F.when(F.col("l_suppkey") % 2 == 0, "ETH").otherwise("BTC"), F.lit("-"),

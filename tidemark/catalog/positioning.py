@@ -129,7 +129,7 @@ VIEWS["fut_b"] = """
   SELECT *, CASE WHEN count(*) OVER p >= 3 THEN avg(CASE WHEN rank <= 3 THEN basis_ann END) OVER p END AS term_mid FROM (
     SELECT *, basis_pct * (365.0e0 / dte) AS basis_ann, row_number() OVER (PARTITION BY und ORDER BY dte) AS rank FROM (
       SELECT *, (epoch(expiry - TIMESTAMP '1998-01-01') + 28800) / 86400.0e0 AS dte, mark - 1500 AS basis_abs, (mark - 1500) / 1500 * 100 AS basis_pct
-      FROM futures)) WINDOW p AS (PARTITION BY und)"""
+      FROM futures WHERE epoch(expiry - TIMESTAMP '1998-01-01') + 28800 > 0 AND mark <> 0)) WINDOW p AS (PARTITION BY und)"""
 BASIS = "und expiry:t mark:f6 dte:f6 basis_abs:f6 basis_pct:f9 basis_ann:f9 oi:f2 rank:i term_mid:f9"
 
 

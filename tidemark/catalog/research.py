@@ -225,24 +225,24 @@ def _(spark, d):
     return op.baseline_lift(scored(Views(spark, d)), ["sym"], HOURS)
 
 
-VIEWS["day_close"] = "SELECT ts AS day, " + ", ".join(
-    f"lead(close, {n}) OVER (ORDER BY ts) / close - 1 AS ret_{n}" for n in (1, 3, 7, 14)
-) + " FROM macro WHERE label = '1-URGENT'"
+VIEWS["day_close"] = "SELECT label, ts AS day, " + ", ".join(
+    f"lead(close, {n}) OVER (PARTITION BY label ORDER BY ts) / close - 1 AS ret_{n}" for n in (1, 3, 7, 14)
+) + " FROM macro"
 VIEWS["iss_roll"] = """
   SELECT day, 'daily' AS kind, net AS x FROM iss UNION ALL
   SELECT day, 'rolling' AS kind, sum(net) OVER (ORDER BY day ROWS 6 PRECEDING) AS x FROM iss QUALIFY row_number() OVER (ORDER BY day) >= 7"""
 VIEWS["lead_rows"] = " UNION ALL ".join(
-    f"SELECT kind, {n} AS h, x, ret_{n} AS ret FROM iss_roll JOIN day_close USING (day)" for n in (1, 3, 7, 14)
+    f"SELECT label, kind, {n} AS h, x, ret_{n} AS ret FROM iss_roll JOIN day_close USING (day)" for n in (1, 3, 7, 14)
 )
 
 
-@query("issuance_lead_ic", "kind h:i n:i ic:f6 t_stat:f6", _ic_sql("lead_rows", "kind, h", "x", "ret", 20))
+@query("issuance_lead_ic", "label kind h:i n:i ic:f6 t_stat:f6", _ic_sql("lead_rows", "label, kind, h", "x", "ret", 20))
 def _(spark, d):
     from .flows import issuance
 
     v = Views(spark, d)
-    close = v.kept("macro").filter("label = '1-URGENT'").select(F.col("ts").alias("day"), "close")
-    return op.issuance_lead_ic(issuance(v), close, [1, 3, 7, 14])
+    close = v.kept("macro").select("label", F.col("ts").alias("day"), "close")
+    return op.issuance_lead_ic(issuance(v), close, ["label"], [1, 3, 7, 14])
 
 
 # -- events --------------------------------------------------------------------------------------------------------

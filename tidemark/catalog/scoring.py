@@ -15,7 +15,7 @@ W_COLS = ["funding", "oi", "oi_price", "taker", "ls", "vol", "iv_rv", "ethbtc",
 VIEWS["weights"] = (
     "SELECT * FROM (VALUES "
     + ", ".join(
-        f"('{p}', '{op.FLOW_WINDOW[i]}', '{op.MQ_WINDOW[i]}', " + ", ".join(str(op.WEIGHTS[k][i]) for k in W_COLS) + ")"
+        f"('{p}', '{op.FLOW_WINDOW[i]}', '{op.MQ_WINDOW[i]}', " + ", ".join(str(op.WEIGHTS[p][k]) for k in W_COLS) + ")"
         for i, p in enumerate(op.PERIODS)
     )
     + ") AS t(period, flow_win, mq_win, " + ", ".join(f"w_{k}" for k in W_COLS) + ")"

@@ -85,40 +85,40 @@ def _(spark, d):
     return pl.share_ratio(raw, ["venue"])
 
 
-INST = """concat('ETH-', upper(strftime(expiry, '%d%b%y')), '-', CAST(CAST(strike AS BIGINT) AS VARCHAR), '-', CASE WHEN is_call THEN 'C' ELSE 'P' END)"""
+INST = """concat(CASE WHEN und = 'u0' THEN 'ETH-' ELSE 'BTC-' END, upper(strftime(expiry, '%d%b%y')), '-', CAST(CAST(strike AS BIGINT) AS VARCHAR), '-', CASE WHEN is_call THEN 'C' ELSE 'P' END)"""
 
 
 def unioned(v: Views):
-    o = v.options().filter("und = 'u0'")
+    o = v.options().withColumn("coin", F.when(F.col("und") == "u0", "ETH").otherwise("BTC"))
     cp = F.when(F.col("is_call"), "C").otherwise("P")
     k = F.col("strike").cast("bigint").cast("string")
     day = F.upper(F.date_format("expiry", "ddMMMyy"))
     part = lambda m: o.filter((F.col("strike") / 50) % 3 == m)
-    a = part(0).select(F.concat_ws("-", F.lit("ETH"), day, k, cp).alias("instrument_name"), text("oi").alias("open_interest"), text("iv").alias("mark_iv"))
+    a = part(0).select(F.concat_ws("-", "coin", day, k, cp).alias("instrument_name"), text("oi").alias("open_interest"), text("iv").alias("mark_iv"))
     b = part(1).select(
-        F.concat_ws("-", F.lit("ETH"), day, k, cp, F.lit("USDT")).alias("symbol"), text("oi").alias("openInterest"),
+        F.concat_ws("-", "coin", day, k, cp, F.lit("USDT")).alias("symbol"), text("oi").alias("openInterest"),
         (F.col("iv") / 100).cast("string").alias("markIv"),
     )
-    inst = F.concat_ws("-", F.lit("ETH-USD"), F.date_format("expiry", "yyMMdd"), k, cp).alias("instId")
+    inst = F.concat_ws("-", F.concat("coin", F.lit("-USD")), F.date_format("expiry", "yyMMdd"), k, cp).alias("instId")
     c = part(2)
     oi = c.select(inst, text("oi").alias("oi"))
     iv = c.select(inst, (F.col("iv") / 100).cast("string").alias("markVol"))
     return pl.options_union(a, b, oi, iv)
 
 
-@query("src_options_union", "instrument oi:f2 iv:f6", f"SELECT {INST} AS instrument, oi, iv FROM options WHERE und = 'u0'")
+@query("src_options_union", "instrument oi:f2 iv:f6", f"SELECT {INST} AS instrument, oi, iv FROM options")
 def _(spark, d):
     return unioned(Views(spark, d))
 
 
 @query(
     "union_venues",
-    "expiry:t strike:f2 is_call n:i oi:f2",
-    "SELECT expiry + INTERVAL 100 YEAR + INTERVAL 8 HOUR AS expiry, strike, is_call, count(*) AS n, sum(oi) AS oi FROM options WHERE und = 'u0' GROUP BY ALL",
+    "und expiry:t strike:f2 is_call n:i oi:f2",
+    "SELECT CASE WHEN und = 'u0' THEN 'ETH' ELSE 'BTC' END AS und, expiry + INTERVAL 8 HOUR AS expiry, strike, is_call, count(*) AS n, sum(oi) AS oi FROM options GROUP BY ALL",
 )
 def _(spark, d):
     parsed = opt.symbol_parts(unioned(Views(spark, d)))
-    return parsed.groupBy("expiry", "strike", "is_call").agg(F.count(F.lit(1)).alias("n"), F.sum("oi").alias("oi"))
+    return parsed.groupBy("und", "expiry", "strike", "is_call").agg(F.count(F.lit(1)).alias("n"), F.sum("oi").alias("oi"))
 
 
 @query(
@@ -284,9 +284,9 @@ def _(spark, d):
     return contexts(Views(spark, d))
 
 
-@query("join_position_pairs", "ts:t name oi_usd:f4", "SELECT ts, name, oi_usd FROM ctx WHERE name = 'view'")
+@query("join_position_pairs", "ts:t name oi_usd:f4", "SELECT ts, name, oi_usd FROM ctx")
 def _(spark, d):
-    return contexts(Views(spark, d)).filter("name = 'view'")
+    return contexts(Views(spark, d)).select("ts", "name", "oi_usd")
 
 
 def contexts(v: Views):

@@ -93,13 +93,13 @@ VIEWS["options"] = """
          l_linestatus = 'O' AS is_call, sum(l_quantity) AS oi,
          30 + 500 * (sum(CAST(round(100 * l_discount) AS BIGINT)) / CAST(count(*) AS DOUBLE)) / 100 AS iv
   FROM lineitem
-  WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_shipdate < TIMESTAMP '1998-07-01'
+  WHERE l_shipdate >= TIMESTAMP '1998-01-01'
   GROUP BY ALL"""
 
 VIEWS["futures"] = """
   SELECT concat('u', o_custkey % 2) AS und, date_trunc('month', o_orderdate) AS expiry,
          1500 * (1 + avg(o_totalprice) / 1e8) AS mark, count(*) * 100.0e0 AS oi, sum(o_totalprice) AS volume
-  FROM orders WHERE o_orderdate >= TIMESTAMP '1998-02-01' GROUP BY ALL"""
+  FROM orders GROUP BY ALL"""
 
 VIEWS["positions"] = """
   SELECT concat('0x', lpad(CAST(c_custkey AS VARCHAR), 10, '0')) AS wallet, szi, 2000.0e0 AS entry_px,

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.exprs import div, ladder, log_ratio
-from ..plans.ordered import asof_join, full, numbered, row_frames, running_last, settle_large
+from ..plans.ordered import asof_join, full, numbered, row_frames, running_last
+from ..plans.settle import settle
 
 HOURS_PER_YEAR = 24 * 365
 ANNUAL = math.sqrt(HOURS_PER_YEAR) * 100
@@ -395,7 +396,7 @@ def dedup_triggers(triggers: DataFrame, keys: Sequence[str], gap: int, block: in
     """
     by = [*keys, "side"]
     size = max(block, gap)
-    triggers = settle_large(triggers)  # read for the blocks, the chain of blocks and the result
+    triggers = settle(triggers)  # read for the blocks, the chain of blocks and the result
     blk = F.floor(F.col("pos") / size)
     blocks = triggers.groupBy(*by, blk.alias("blk")).agg(F.sort_array(F.collect_list("pos")).alias("ps"))
     start = F.col("blk") * size
@@ -445,7 +446,7 @@ def zone_anchor(bars: DataFrame, keys: Sequence[str], fast: Stoch, carry: Sequen
     def add(rows, w):
         return add_stoch(rows, w, fast, "fast_k", "fast_d")
 
-    rows = settle_large(row_frames(bars, keys, ["ts"], add, back=stoch_reach([fast]), keep_number=True))
+    rows = settle(row_frames(bars, keys, ["ts"], add, back=stoch_reach([fast]), keep_number=True))
     k = F.col("fast_k")
     rows = rows.withColumn("direction", ladder((k >= 80, "short"), (k <= 20, "long")))
     here = F.struct(F.col("__rn").alias("rn"), F.col("ts").alias("ts"), *[F.col(c).alias(c) for c in carry])

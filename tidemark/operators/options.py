@@ -265,6 +265,7 @@ def symbol_parts(symbols: DataFrame, name: str = "instrument") -> DataFrame:
     s = F.col(name)
     part = lambda i: F.nullif(F.regexp_extract(s, pat, i), F.lit(""))
     day = F.try_to_timestamp(F.initcap(F.lower(part(2))), F.lit("dMMMyy"))
+    day = F.when(F.year(day) > 2068, F.add_months(day, -1200).cast("timestamp")).otherwise(day)  # 69 to 99 are 19xx
     expiry = F.when(part(2).isNotNull(), day + F.expr("INTERVAL 8 HOURS"))
     return symbols.withColumns(
         {"und": part(1), "expiry": expiry, "strike": part(3).try_cast("double"), "is_call": part(4) == "C"}

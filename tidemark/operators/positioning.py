@@ -329,10 +329,14 @@ def register_sql_functions(spark: SparkSession) -> None:
             text = f"({text}) * abs(x) + {k!r}D"
         return text
 
+    # the same three branches as functions.exprs.norm_cdf
+    density = "exp(-abs(x) * abs(x) / 2)"
+    near = f"{density} * ({poly(CDF_NUM)}) / ({poly(CDF_DEN)})"
+    far = f"{density} / (abs(x) + 1 / (abs(x) + 2 / (abs(x) + 3 / (abs(x) + 4 / (abs(x) + 0.65D))))) / 2.506628274631D"
+    tail = f"CASE WHEN abs(x) > 37 THEN 0D WHEN abs(x) < 7.07106781186547D THEN {near} ELSE {far} END"
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION tm_norm_cdf(x DOUBLE) RETURNS DOUBLE RETURN "
-        f"CASE WHEN abs(x) > 7D THEN CASE WHEN x > 0 THEN 1D ELSE 0D END WHEN x > 0 THEN 1D - exp(-x * x / 2) * ({poly(CDF_NUM)}) / "
-        f"({poly(CDF_DEN)}) ELSE exp(-x * x / 2) * ({poly(CDF_NUM)}) / ({poly(CDF_DEN)}) END"
+        f"CASE WHEN x > 0 THEN 1D - ({tail}) ELSE {tail} END"
     )
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION tm_bs_delta(s DOUBLE, k DOUBLE, t DOUBLE, r DOUBLE, sigma DOUBLE, is_call BOOLEAN) "

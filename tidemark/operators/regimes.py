@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import div, ladder
-from ..plans.ordered import row_frames, running_last, settle_large, top_k
+from ..plans.ordered import row_frames, running_last, top_k
+from ..plans.settle import settle
 from ..plans.ranks import exact_quantiles
 from .indicators import last_rows
 
@@ -214,7 +215,7 @@ def run_lengths(states: DataFrame, keys: Sequence[str], means: Sequence[str], to
     def add(rows, w):
         return rows.withColumn("__new", F.coalesce(F.lag("state").over(w) != F.col("state"), F.lit(True)))
 
-    rows = settle_large(row_frames(states, keys, ["ts"], add, back=1, keep_number=True))
+    rows = settle(row_frames(states, keys, ["ts"], add, back=1, keep_number=True))
     rows = running_last(rows, keys, ["ts"], {"run": F.when(F.col("__new"), F.col("__rn"))})
     runs = rows.groupBy(*keys, "state", "run").agg(
         F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("length"),
@@ -274,7 +275,7 @@ def transition_drift(states: DataFrame, keys: Sequence[str], k: int, first: str,
     spans = rows.groupBy(*keys).agg(F.max("ts").alias("last_ts"))
     win = rolling_windows(rows, first, length_s, step_s).join(spans, keys)
     end = F.unix_seconds(F.lit(first).cast("timestamp")) + F.col("window") * step_s + length_s
-    win = settle_large(win.filter(F.unix_seconds("last_ts") >= end))
+    win = settle(win.filter(F.unix_seconds("last_ts") >= end))
     n = (
         win.filter(F.unix_seconds("nxt_ts") < end)
         .groupBy(*keys, "window", F.col("state").alias("i"), F.col("nxt").alias("j"))

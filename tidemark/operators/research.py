@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import correlation, div, ladder, log_ratio, sign
-from ..plans.ordered import asof_join, numbered, row_frames, settle_large
+from ..plans.ordered import asof_join, numbered, row_frames
+from ..plans.settle import settle
 from ..plans.ranks import exact_quantiles, spearman
 from .indicators import (
     TRIGGER_ZONES, Stoch, add_ret, add_stoch, add_vwap, band_position, cross, dedup_triggers, last_n, rv,
@@ -148,7 +149,7 @@ def magnitude_calibration(
     rows = labelled.select(
         *keys, "h", F.abs("r").alias("a"), F.explode(F.array(F.col("s"), F.lit("ALL"))).alias("state")
     )
-    rows = settle_large(rows)
+    rows = settle(rows)
     q = exact_quantiles(rows, by, "a", CUTS)
     std = rows.groupBy(*by).agg(F.stddev_pop("a").alias("std_abs_ret"))
     return q.join(std, by).filter(F.col("n") >= min_n)
@@ -278,13 +279,12 @@ def baseline_lift(rows: DataFrame, keys: Sequence[str], hours: Sequence[int]) ->
     )
 
 
-def issuance_lead_ic(daily: DataFrame, close: DataFrame, days: Sequence[int], roll: int = 7) -> DataFrame:
-    """Does net issuance lead price? Rank correlation of daily and rolling net flow with forward returns.
+def issuance_lead_ic(daily: DataFrame, close: DataFrame, keys: Sequence[str], days: Sequence[int], roll: int = 7) -> DataFrame:
+    """Does net issuance lead price? Rank correlation, per price series, of daily and rolling net flow with returns ahead.
 
-    ``daily``: day, net; ``close``: day, close. One row per day: a calendar bounds both. Needs twenty days.
+    ``daily``: day, net; ``close``: keys, day, close. One row per day: a calendar bounds both. Needs twenty days.
     """
-    one = ["series"]
-    prices = close.withColumn("series", F.lit("all"))
+    keys = list(keys)
 
     def fwd(rows, w):
         return rows.withColumns({f"ret_{n}h": div(F.lead("close", n).over(w), "close") - 1 for n in days})
@@ -292,15 +292,15 @@ def issuance_lead_ic(daily: DataFrame, close: DataFrame, days: Sequence[int], ro
     def rolled(rows, w):
         return rows.withColumn("net_roll", F.when(F.col("__rn") >= roll, F.sum("net").over(last_n(w, roll))))
 
-    ahead = row_frames(prices, one, ["day"], fwd, ahead=max(days))
-    net = row_frames(daily.select("day", "net").withColumn("series", F.lit("all")), one, ["day"], rolled, back=roll)
-    both = net.join(ahead.drop("series"), "day")
+    ahead = row_frames(close.select(*keys, "day", "close"), keys, ["day"], fwd, ahead=max(days))
+    net = row_frames(daily.select("day", "net").withColumn("series", F.lit("all")), ["series"], ["day"], rolled, back=roll)
+    both = net.join(ahead, "day")
     parts = F.array(
         F.struct(F.lit("daily").alias("kind"), F.col("net").alias("x")),
         F.struct(F.lit("rolling").alias("kind"), F.col("net_roll").alias("x")),
     )
-    rows = both.select(F.inline(parts), *[f"ret_{n}h" for n in days])
-    return spearman(by_horizon(rows, ["kind", "x"], days), ["kind", "h"], "x", "ret", 20)
+    rows = both.select(*keys, F.inline(parts), *[f"ret_{n}h" for n in days])
+    return spearman(by_horizon(rows, [*keys, "kind", "x"], days), [*keys, "kind", "h"], "x", "ret", 20)
 
 
 # -- event study ---------------------------------------------------------------------------------------------------

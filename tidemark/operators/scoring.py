@@ -13,21 +13,36 @@ from pyspark.sql import functions as F
 from ..functions.exprs import clamp, correlation, div, half_up, ladder, sign
 
 PERIODS = ["5m", "15m", "1h", "4h", "12h", "1d", "15d"]
-# Weight of each factor per period, in the order of PERIODS.
+# Weight of each factor, a row per period.
 WEIGHTS = {
-    "funding": [0, 0, 1, 1, 2, 2, 2],
-    "oi": [0, 0, 1, 1, 1, 2, 2],
-    "oi_price": [0, 0, 1, 1, 1, 1, 1],
-    "taker": [2, 2, 1, 1, 1, 1, 0],
-    "ls": [1, 1, 1, 1, 1, 1, 1],
-    "vol": [0, 0, 0, 1, 1, 1, 1],
-    "iv_rv": [0, 0, 0, 0, 1, 1, 2],
-    "ethbtc": [0, 0, 0, 1, 1, 1, 2],
-    "gamma": [0, 0, 1, 1, 1, 2, 2],
-    "vp": [1, 1, 1, 1, 1, 1, 1],
-    "stoch": [1, 1, 1, 2, 2, 2, 2],
-    "mq": [1, 1, 2, 2, 2, 1, 0],
-    "setup": [3, 3, 3, 4, 3, 2, 0],
+    "5m": {
+        "funding": 0, "oi": 0, "oi_price": 0, "taker": 2, "ls": 1, "vol": 0, "iv_rv": 0,
+        "ethbtc": 0, "gamma": 0, "vp": 1, "stoch": 1, "mq": 1, "setup": 3,
+    },
+    "15m": {
+        "funding": 0, "oi": 0, "oi_price": 0, "taker": 2, "ls": 1, "vol": 0, "iv_rv": 0,
+        "ethbtc": 0, "gamma": 0, "vp": 1, "stoch": 1, "mq": 1, "setup": 3,
+    },
+    "1h": {
+        "funding": 1, "oi": 1, "oi_price": 1, "taker": 1, "ls": 1, "vol": 0, "iv_rv": 0,
+        "ethbtc": 0, "gamma": 1, "vp": 1, "stoch": 1, "mq": 2, "setup": 3,
+    },
+    "4h": {
+        "funding": 1, "oi": 1, "oi_price": 1, "taker": 1, "ls": 1, "vol": 1, "iv_rv": 0,
+        "ethbtc": 1, "gamma": 1, "vp": 1, "stoch": 2, "mq": 2, "setup": 4,
+    },
+    "12h": {
+        "funding": 2, "oi": 1, "oi_price": 1, "taker": 1, "ls": 1, "vol": 1, "iv_rv": 1,
+        "ethbtc": 1, "gamma": 1, "vp": 1, "stoch": 2, "mq": 2, "setup": 3,
+    },
+    "1d": {
+        "funding": 2, "oi": 2, "oi_price": 1, "taker": 1, "ls": 1, "vol": 1, "iv_rv": 1,
+        "ethbtc": 1, "gamma": 2, "vp": 1, "stoch": 2, "mq": 1, "setup": 2,
+    },
+    "15d": {
+        "funding": 2, "oi": 2, "oi_price": 1, "taker": 0, "ls": 1, "vol": 1, "iv_rv": 2,
+        "ethbtc": 2, "gamma": 2, "vp": 1, "stoch": 2, "mq": 0, "setup": 0,
+    },
 }
 # Which flow and money-quality window a period reads.
 FLOW_WINDOW = ["1h", "1h", "1h", "4h", "12h", "24h", "24h"]
@@ -45,7 +60,7 @@ def by_period(rows: DataFrame) -> DataFrame:
     parts = [
         F.struct(
             F.lit(p).alias("period"), F.lit(FLOW_WINDOW[i]).alias("flow_win"), F.lit(MQ_WINDOW[i]).alias("mq_win"),
-            *[F.lit(v[i]).alias(f"w_{k}") for k, v in WEIGHTS.items()],
+            *[F.lit(w).alias(f"w_{k}") for k, w in WEIGHTS[p].items()],
         )
         for i, p in enumerate(PERIODS)
     ]
@@ -227,7 +242,7 @@ def state_score(inputs: DataFrame) -> DataFrame:
     rows = rows.withColumns({"taker": taker, "mq_now": F.try_element_at("mq", F.col("mq_win"))})
     r, o, p24 = F.col("rate"), F.col("oi_chg"), F.col("chg_24")
     g, h = F.col("retail"), F.col("top")
-    w = {k: F.col(f"w_{k}") for k in WEIGHTS}
+    w = {k: F.col(f"w_{k}") for k in WEIGHTS[PERIODS[0]]}
     rows = rows.withColumns(
         {
             "c1": funding_points(),

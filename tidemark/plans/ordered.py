@@ -8,9 +8,7 @@ pieces first and move only what a frame needs across the cuts:
 * ``running_last`` last non-null value so far: one value per (key, time slice) is carried into the next slices;
 * ``asof_join`` / ``nearest_join``  built on the above.
 
-Cutting costs shuffles that a small input does not need. When the optimizer's size estimate of the input is below
-``spark.tidemark.small.bytes`` (default 32 MB, 0 turns it off), no key can be larger than that, and the same frames run
-as plain windows per key. The estimate of a table is its file size; joins multiply it, so a doubtful input is cut.
+The plan is the same for every size of the input.
 
 A *slice* is a fixed stretch of time, so the only per-key windows left run over one row per (key, slice), a number
 fixed by the calendar and not by the row count. Key columns must not be null.
@@ -23,30 +21,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .settle import settle
-
 DAY = 86400
 BAR_SLICE = 30 * DAY
 BLOCK_ROWS = 8192
 
 
-SMALL = "spark.tidemark.small.bytes"
-
-
-def small(df: DataFrame) -> bool:
-    """Is the whole input proven small enough for one task?"""
-    limit = int(df.sparkSession.conf.get(SMALL, str(32 * 1024 * 1024)))
-    if limit <= 0:
-        return False
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= limit
-
-
-def settle_large(df: DataFrame) -> DataFrame:
-    """Settle an intermediate result that is about to be read twice, unless it is small."""
-    return df if small(df) else settle(df)
-
-
 def slice_of(ts: str | Column, seconds: int) -> Column:
     """Number of the fixed time slice a timestamp falls in."""
     return F.floor(F.unix_seconds(F.col(ts) if isinstance(ts, str) else ts) / F.lit(seconds))
@@ -61,10 +40,6 @@ def numbered(
     """
     keys = list(keys)
     by_key = Window.partitionBy(*keys)
-    if small(df):
-        return df.withColumns(
-            {"__rn": F.row_number().over(by_key.orderBy(*order)), "__n": F.count(F.lit(1)).over(by_key)}
-        )
     sliced = df.withColumn("__s", slice_of(order[0], slice_seconds))
     counts = sliced.groupBy(*keys, "__s").agg(F.count(F.lit(1)).alias("__c"))
     before = by_key.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
@@ -101,10 +76,6 @@ def row_frames(
     Stacked frames need the sum of their reaches.
     """
     keys = list(keys)
-    if small(df):
-        rows = df if "__rn" in df.columns else numbered(df, keys, order)
-        out = add(rows, Window.partitionBy(*keys).orderBy(*order))
-        return out if keep_number else out.drop("__rn", "__n")
     size = max(block_rows, back + ahead + 1)
     rows = df if "__rn" in df.columns else numbered(df, keys, order, slice_seconds)
     home = F.floor((F.col("__rn") - 1) / F.lit(size))
@@ -142,9 +113,6 @@ def running_last(
     ``slice_ends`` may bring the last value of every (key, slice) when the caller knows a cheaper way to it.
     """
     keys, names = list(keys), list(values)
-    if small(df):
-        so_far = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({n: F.last(values[n], ignorenulls=True).over(so_far) for n in names})
     v, e = {n: f"__v{i}" for i, n in enumerate(names)}, {n: f"__e{i}" for i, n in enumerate(names)}
     rows = df.withColumn("__s", slice_of(order[0], slice_seconds)).withColumns({v[n]: values[n] for n in names})
     rank = F.struct(*[F.col(c) for c in order])

@@ -163,7 +163,7 @@ class Views:
         cents = F.round(100 * F.col("l_discount")).cast("bigint")
         return (
             self.lineitem()
-            .filter("l_shipdate >= TIMESTAMP '1998-01-01' AND l_shipdate < TIMESTAMP '1998-07-01'")
+            .filter("l_shipdate >= TIMESTAMP '1998-01-01'")
             .groupBy(
                 F.concat(F.lit("u"), F.col("l_suppkey") % 2).alias("und"),
                 F.col("l_shipdate").alias("expiry"),
@@ -179,7 +179,6 @@ class Views:
     def futures(self) -> DataFrame:
         return (
             self.orders()
-            .filter("o_orderdate >= TIMESTAMP '1998-02-01'")
             .groupBy(
                 F.concat(F.lit("u"), F.col("o_custkey") % 2).alias("und"),
                 F.date_trunc("month", "o_orderdate").alias("expiry"),
