@@ -77,7 +77,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     parts = []
     for a in arrays:
         kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.int64) if k is np.int64 or not len(a) or a.max() <= np.iinfo(k).max)
-        body = a.astype(kind).view(np.uint8).reshape(len(a), -1).T.tobytes()  # byte planes compress better
+        body = a.astype(kind).view(np.uint8).reshape(len(a), np.dtype(kind).itemsize).T.tobytes()  # byte planes compress better
         parts.append(np.array([np.dtype(kind).itemsize, len(a)], np.int64).tobytes() + body)
     return zstandard.compress(b"".join(parts), 3)
 

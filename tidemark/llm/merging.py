@@ -1,9 +1,9 @@
 """Byte-pair merges on many sequences at once, as ragged numpy arrays.
 
 All sequences lie end to end in one array of symbols. A round finds every sequence's lowest-rank pair and merges its
-occurrences, left to right, in all sequences simultaneously; finished sequences leave. If merging all occurrences in a
-sequence would give a pair of lower rank than the one just merged, only the first is merged in that round, so the order
-is that of merging one pair at a time.
+occurrences, left to right, in all sequences simultaneously; finished sequences leave. If merging the occurrences of a
+sequence would give, at any moment, a pair of lower rank than theirs, only the first is merged in that round, so the
+order is that of merging one pair at a time.
 """
 
 from __future__ import annotations
@@ -114,7 +114,10 @@ def merge_sequences(sym: np.ndarray, lengths: np.ndarray, table: PairTable) -> t
         moved = _merge(sym, seq, at, hit, table)
         limit = np.full(n, NONE)
         limit[seq] = best
-        early = np.unique(moved[1][moved[3] & (table.rank[moved[2]] < limit[moved[1]])])
+        early = moved[1][moved[3] & (table.rank[moved[2]] < limit[moved[1]])]
+        chain = np.flatnonzero(hit[:-2] & hit[2:] & (seq[:-2] == seq[2:]))  # for a moment the first meets an unmerged next
+        low = table.rank[table.find(table.merged[at[chain]], sym[chain + 2])] < best[chain]
+        early = np.unique(np.concatenate([early, seq[chain[low]]]))
         if len(early):
             at_hit = np.flatnonzero(hit)
             first = np.ones(len(at_hit), bool)
