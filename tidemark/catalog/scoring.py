@@ -1,11 +1,15 @@
 from pyspark.sql import functions as F
 
 from ..operators import indicators as ind
+from ..operators import options as opt
+from ..operators import profile as pf
 from ..operators import scoring as op
 from ..operators.bars import resample
 from ..plans.settle import settle
-from ..sources.views import Views
+from ..sources.views import SPOT, Views
+from .book_profile import PERIODS as PROFILES
 from .indicators import FAST_ZONE, SHORT, _pre, _rv, stoch_cols
+from .options import as_of, by_strike
 from .registry import query
 from .research import inputs
 from .views import VIEWS
@@ -15,10 +19,10 @@ W_COLS = ["funding", "oi", "oi_price", "taker", "ls", "vol", "iv_rv", "ethbtc",
 VIEWS["weights"] = (
     "SELECT * FROM (VALUES "
     + ", ".join(
-        f"('{p}', '{op.FLOW_WINDOW[i]}', '{op.MQ_WINDOW[i]}', " + ", ".join(str(op.WEIGHTS[p][k]) for k in W_COLS) + ")"
+        f"('{p}', '{op.FLOW_WINDOW[i]}', '{op.MQ_WINDOW[i]}', '{op.PROFILE[i]}', " + ", ".join(str(op.WEIGHTS[p][k]) for k in W_COLS) + ")"
         for i, p in enumerate(op.PERIODS)
     )
-    + ") AS t(period, flow_win, mq_win, " + ", ".join(f"w_{k}" for k in W_COLS) + ")"
+    + ") AS t(period, flow_win, mq_win, vp_period, " + ", ".join(f"w_{k}" for k in W_COLS) + ")"
 )
 
 
@@ -82,19 +86,37 @@ def _(spark, d):
 # -- live ----------------------------------------------------------------------------------------------------------
 
 VIEWS["st_in"] = f"""
-  SELECT *, CASE WHEN vwap_std IS NULL OR vwap IS NULL OR vwap_std = 0 THEN 'unknown' WHEN close > vwap + vwap_std THEN 'above_va'
-                 WHEN close < vwap - vwap_std THEN 'below_va' ELSE 'in_va' END AS position, vwap AS flip, f1_ratio AS spot_ratio,
-         CASE WHEN rn >= 2 THEN (oi_usd - past_oi) / past_oi * 100 END AS oi_chg, rv_4 / nullif(rv_24, 0) AS vol_ratio_live, rv_168 - rv_24 AS iv_spread
+  SELECT y.*, sp.spot_ratio, lv.flip, lv.call_wall, lv.put_wall, lv.max_pain, lv.iv_spread,
+         CASE WHEN rn >= 2 THEN (oi_usd - past_oi) / past_oi * 100 END AS oi_chg, rv_4 / nullif(rv_24, 0) AS vol_ratio_live
   FROM (SELECT x.*, coalesce(lag(oi_usd, 48) OVER w, first(oi_usd) OVER w) AS past_oi, (close / lag(close, 24) OVER w - 1) * 100 AS chg_24,
           (close / nullif(btc, 0) / nullif(lag(close / nullif(btc, 0), 24) OVER w, 0) - 1) * 100 AS ethbtc_chg,
-          lag(fast_k, 1) OVER w AS k1, lag(fast_k, 2) OVER w AS k2, {_rv(4)} AS rv_4, {_rv(24)} AS rv_24, {_rv(168)} AS rv_168,
-          CASE WHEN rn >= 24 THEN sum((high + low + close) / 3 * volume) OVER {_pre(24)} / sum(volume) OVER {_pre(24)} END AS vwap,
-          CASE WHEN rn >= 24 THEN stddev_samp(close) OVER {_pre(24)} END AS vwap_std,
+          lag(fast_k, 1) OVER w AS k1, lag(fast_k, 2) OVER w AS k2, {_rv(4)} AS rv_4, {_rv(24)} AS rv_24,
           {", ".join(f"sum(taker_buy_base) OVER {_pre(n)} / nullif(sum(greatest(volume - taker_buy_base, 0)) OVER {_pre(n)}, 0) AS f{n}_ratio" for n in (1, 4, 12, 24))}
         FROM (SELECT s.*, s.oi * s.close AS oi_usd, b.ret, b.rate * 20 AS rate, b.btc, lb.ratio AS retail, lw.ratio AS top
               FROM stoch_short s JOIN (SELECT sym, ts, ret, rate, btc FROM bbars) b USING (sym, ts)
               ASOF LEFT JOIN (SELECT * FROM ls WHERE venue = 'b') lb ON s.ts >= lb.ts ASOF LEFT JOIN (SELECT * FROM ls WHERE venue = 'w') lw ON s.ts >= lw.ts) x
-        WINDOW w AS (PARTITION BY sym ORDER BY ts))"""
+        WINDOW w AS (PARTITION BY sym ORDER BY ts)) y
+  LEFT JOIN spot_flow sp ON sp.sym = y.sym AND sp.ts = y.ts LEFT JOIN sym_levels lv ON lv.sym = y.sym"""
+# the views it reads come before it
+VIEWS["spot_flow"] = """
+  SELECT sym, date_trunc('hour', ts) AS ts, sum(CASE WHEN k % 2 = 0 THEN qty ELSE 0 END) / nullif(sum(CASE WHEN k % 2 = 0 THEN 0 ELSE qty END), 0) AS spot_ratio
+  FROM ticks WHERE user_id % 4 = 0 GROUP BY ALL"""
+VIEWS["pains"] = """
+  SELECT und, expiry, first(strike ORDER BY pay, strike) AS max_pain FROM (
+    SELECT t.und, t.expiry, t.strike, sum(CASE WHEN o.is_call THEN greatest(t.strike - o.strike, 0) ELSE greatest(o.strike - t.strike, 0) END * o.oi) AS pay
+    FROM (SELECT DISTINCT und, expiry, strike FROM expo) t JOIN expo o ON o.und = t.und AND o.expiry = t.expiry GROUP BY ALL)
+  GROUP BY und, expiry"""
+VIEWS["sym_levels"] = """
+  SELECT s.sym, f.flip, wl.call_wall, wl.put_wall, pn.max_pain, i.iv - s.rv AS iv_spread
+  FROM (SELECT sym, concat('u', length(sym) % 2) AS und, CASE WHEN count(ret) FILTER (nn - rn < 24) = 24
+               THEN stddev_samp(ret) FILTER (nn - rn < 24) * sqrt(8760) * 100 END AS rv FROM nrets GROUP BY sym) s
+  LEFT JOIN (SELECT und, first(iv ORDER BY dte) AS iv FROM term WHERE dte BETWEEN 3 AND 21 GROUP BY und) i USING (und)
+  LEFT JOIN flip f USING (und)
+  LEFT JOIN (SELECT und, (first(strike ORDER BY call_oi DESC, strike) FILTER (strike > 1500)) AS call_wall,
+                    (first(strike ORDER BY put_oi DESC, strike) FILTER (strike < 1500)) AS put_wall
+             FROM by_strike WHERE strike BETWEEN 1200 AND 1800 GROUP BY und) wl USING (und)
+  LEFT JOIN (SELECT und, first(max_pain ORDER BY expiry) AS max_pain FROM pains GROUP BY und) pn USING (und)"""
+VIEWS["st_in"] = VIEWS.pop("st_in")
 
 
 def live(v: Views):
@@ -105,7 +127,26 @@ def live(v: Views):
         (ls.filter("venue = 'b'").withColumnRenamed("ratio", "retail"), ["retail"]),
         (ls.filter("venue = 'w'").withColumnRenamed("ratio", "top"), ["top"]),
     ]
-    return op.live_inputs(v.bars(), sides, ["sym"], SHORT["slow"], SHORT["fast"])
+    inputs = op.live_inputs(v.bars(), sides, ["sym"], SHORT["slow"], SHORT["fast"])
+    und = F.concat(F.lit("u"), F.length("sym") % 2)  # every symbol has the options of one underlying
+    rv = ind.realized_vol(v.bars(), ["sym"], (4, 24)).groupBy("sym", und.alias("und")).agg(F.max_by("rv_24", "ts").alias("rv"))
+    per = by_strike(v)
+    pain = opt.max_pain(v.options(), ["und"], as_of()).groupBy("und").agg(F.min_by("max_pain", "expiry").alias("max_pain"))
+    levels = opt.gamma_flip(per, ["und"]).select("und", "flip").join(
+        opt.option_walls(per, ["und"], SPOT).select("und", "call_wall", "put_wall"), "und", "left").join(pain, "und", "left")
+    spread = opt.iv_rv_spread(opt.iv_term_structure(v.options(), ["und"], as_of(), SPOT), rv.filter("rv IS NOT NULL"), ["und"])
+    profile = pf.volume_profile_struct(pf.period_rows(v.bars(), ["sym"], PROFILES), ["sym", "period", "size"], "size")
+    return op.with_levels(
+        inputs, ["sym"], spot_flow(v), rv.select("sym", "und").join(levels, "und").drop("und"),
+        spread.select("sym", F.col("spread").alias("iv_spread")), profile.select("sym", "period", "position"),
+    )
+
+
+def spot_flow(v: Views):
+    """Taker ratio of spot trades per hour; a quarter of the users trades spot."""
+    buys, sells = (F.sum(F.when((F.col("k") % 2 == 0) == side, F.col("qty")).otherwise(0.0)) for side in (True, False))
+    return v.ticks().filter("user_id % 4 = 0").groupBy("sym", F.date_trunc("hour", "ts").alias("ts")).agg(
+        (buys / F.nullif(sells, F.lit(0.0))).alias("spot_ratio"))
 
 
 SIG = """CASE WHEN rate > 0.0003 THEN 'bearish' WHEN rate > 0.0001 THEN 'caution' WHEN rate < -0.0003 THEN 'bullish' WHEN rate < -0.0001 THEN 'caution' ELSE 'neutral' END AS funding_sig,
@@ -194,9 +235,10 @@ VIEWS["st_score"] = f"""
          SELECT *, {C_FUND} AS c1, CASE WHEN oi_chg > 8 AND rate > 0.0001 THEN -w_oi WHEN oi_chg > 8 AND rate < -0.0001 THEN w_oi ELSE 0 END
              + CASE WHEN oi_chg > 5 AND chg_24 > 2 THEN w_oi_price WHEN oi_chg > 5 AND chg_24 < -2 THEN -w_oi_price ELSE 0 END AS c2,
            {c_taker('1.15', '1.05', '0.85', '0.95')} AS b3, CASE WHEN retail > 1.4 AND top < 1.15 THEN -w_ls WHEN retail < 0.7 AND top > 0.85 THEN w_ls ELSE 0 END AS b4
-         FROM (SELECT s.*, w.*, m.direction AS mq_dir, m.quality AS mq_q, vp.percentile AS vol_pct,
+         FROM (SELECT s.*, w.*, coalesce(p.position, p8.position) AS position, m.direction AS mq_dir, m.quality AS mq_q, vp.percentile AS vol_pct,
                  CASE flow_win WHEN '1h' THEN f1_ratio WHEN '4h' THEN f4_ratio WHEN '12h' THEN f12_ratio ELSE f24_ratio END AS taker
                FROM st_setup s CROSS JOIN weights w LEFT JOIN mq m ON m.sym = s.sym AND m.ts = s.ts AND m.win = w.mq_win
+               LEFT JOIN vp_periods p ON p.sym = s.sym AND p.period = w.vp_period LEFT JOIN vp_periods p8 ON p8.sym = s.sym AND p8.period = '8d'
                LEFT JOIN vol_pct vp ON vp.sym = s.sym))))))))))"""
 VIEWS["vol_pct"] = """
   SELECT sym, CASE WHEN count(*) >= 5 THEN count_if(rv <= rv_now) * 100.0e0 / count(*) END AS percentile
@@ -225,8 +267,10 @@ VIEWS["st_level"] = f"""
     CASE WHEN clean THEN 'CLEANSING' WHEN score >= 3 THEN CASE WHEN vol_pct <= 30 THEN 'UP_IDEAL' WHEN vol_pct >= 75 THEN 'UP_TIRED' ELSE 'UP' END
          WHEN score <= -3 THEN CASE WHEN vol_pct <= 30 THEN 'DOWN_IDEAL' WHEN vol_pct >= 75 THEN 'DOWN_TIRED' ELSE 'DOWN' END
          WHEN score = 2 THEN 'MILD_UP' WHEN score = -2 THEN 'MILD_DOWN' WHEN abs(score) = 1 THEN 'SLIGHT' ELSE 'NONE' END AS conclusion,
-    concat_ws(',', CASE WHEN close <= flip AND score <= -3 THEN 'BELOW_FLIP_DOWN' END, CASE WHEN close <= flip AND score >= 3 THEN 'BELOW_FLIP_UP' END,
-      CASE WHEN close > flip AND score >= 3 THEN 'ABOVE_FLIP_UP' END, CASE WHEN close > flip AND score <= -3 THEN 'ABOVE_FLIP_DOWN' END) AS notes,
+    concat_ws(',', CASE WHEN position = 'at_poc' AND abs(score) <= 2 THEN 'AT_POC' END, CASE WHEN close <= flip AND score <= -3 THEN 'BELOW_FLIP_DOWN' END, CASE WHEN close <= flip AND score >= 3 THEN 'BELOW_FLIP_UP' END,
+      CASE WHEN close > flip AND score >= 3 THEN 'ABOVE_FLIP_UP' END, CASE WHEN close > flip AND score <= -3 THEN 'ABOVE_FLIP_DOWN' END,
+      CASE WHEN (call_wall - close) / close * 100 < 3 THEN 'CALL_WALL' END, CASE WHEN abs((put_wall - close) / close * 100) < 3 THEN 'PUT_WALL' END,
+      CASE WHEN abs((max_pain - close) / close * 100) < 4 THEN 'MAX_PAIN' END) AS notes,
     concat_ws(',', CASE WHEN rate > 0.0002 AND taker > 1.1 THEN 'LONGS_PAYING_TAKERS_BUYING' END, CASE WHEN rate < -0.0002 AND taker < 0.9 THEN 'SHORTS_PAYING_TAKERS_SELLING' END,
       CASE WHEN oi_chg < -10 AND vol_pct > 70 THEN 'LIQUIDATION_CASCADE' END, CASE WHEN vol_ratio_live < 0.7 AND oi_chg > 5 THEN 'COILED' END) AS warnings
   FROM (SELECT *, coalesce(oi_chg < -8 AND abs(score) <= 1, false) AS clean FROM st_score)"""
@@ -261,7 +305,8 @@ VIEWS["tf_bars"] = """
           FROM bars, (VALUES (3600::BIGINT), (7200), (14400)) AS d(tf_s)) GROUP BY ALL)"""
 VIEWS["tf_stoch"] = stoch_cols("SELECT * EXCLUDE (tf_s) FROM tf_bars", TF)
 VIEWS["tf_setup"] = setup_sql(
-    "(SELECT *, lag(fast_k, 1) OVER w AS k1, lag(fast_k, 2) OVER w AS k2, NULL AS cut_direction, NULL AS cut_quality FROM tf_stoch WINDOW w AS (PARTITION BY sym ORDER BY ts))"
+    """(SELECT t.*, lag(t.fast_k, 1) OVER w AS k1, lag(t.fast_k, 2) OVER w AS k2, c.direction AS cut_direction, c.quality AS cut_quality
+        FROM tf_stoch t LEFT JOIN cut c ON c.sym = t.s0 AND c.ts = t.ts WINDOW w AS (PARTITION BY t.sym ORDER BY t.ts))"""
 )
 VIEWS["tf_day"] = "SELECT * FROM tf_setup QUALIFY row_number() OVER (PARTITION BY sym, date_trunc('day', ts) ORDER BY ts DESC) = 1"
 
@@ -275,10 +320,12 @@ VIEWS["tf_day"] = "SELECT * FROM tf_setup QUALIFY row_number() OVER (PARTITION B
        WHERE c.tf = '3600' AND c.setup_dir IS NOT NULL GROUP BY ALL""",
 )
 def _(spark, d):
-    b = resample(Views(spark, d).bars(), ["sym"], [3600, 7200, 14400]).withColumn("tf", F.col("tf_s").cast("string"))
-    none = F.lit(None).cast("string")
+    hourly = Views(spark, d).bars()
+    b = resample(hourly, ["sym"], [3600, 7200, 14400]).withColumn("tf", F.col("tf_s").cast("string"))
+    cut = ind.cut_anchored_mq(hourly, ["sym"], FAST_ZONE).select(
+        "sym", "ts", F.col("direction").alias("cut_direction"), F.col("quality").alias("cut_quality"))
     s = ind.stochastics(settle(b), ["sym", "tf"], TF["slow"], TF["fast"], lags=2)
-    s = op.setup_columns(s.withColumns({"cut_direction": none, "cut_quality": none}))
+    s = op.setup_columns(s.join(cut, ["sym", "ts"], "left"))
     day = F.date_trunc("day", "ts").alias("day")
     cols = ["setup_state", "setup_dir", "setup_quality"]
     last = s.groupBy("sym", day, "tf").agg(F.max_by(F.struct(*cols), "ts").alias("x")).select("sym", "day", "tf", "x.*")

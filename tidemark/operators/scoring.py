@@ -47,6 +47,11 @@ WEIGHTS = {
 # Which flow and money-quality window a period reads.
 FLOW_WINDOW = ["1h", "1h", "1h", "4h", "12h", "24h", "24h"]
 MQ_WINDOW = ["1h", "4h", "12h", "24h", "3d", "7d", "14d"]
+# The volume profile's look-back a period reads, and the one that stands in where it is missing.
+PROFILE = ["4h", "12h", "24h", "7d", "7d", "30d", "45d"]
+PROFILE_ELSE = "8d"
+# How near (percent) a wall and the strike of most pain must be to be noted.
+NEAR_WALL, NEAR_PAIN = 3, 4
 FLOW_HOURS = {"1h": 1, "4h": 4, "12h": 12, "24h": 24}
 # Typical sizes of taker and long/short readings, and the limits of the intensity factor.
 TYPICAL_TAKER, TYPICAL_LS, MOD_LO, MOD_HI = 0.05, 0.30, 0.5, 1.5
@@ -60,6 +65,7 @@ def by_period(rows: DataFrame) -> DataFrame:
     parts = [
         F.struct(
             F.lit(p).alias("period"), F.lit(FLOW_WINDOW[i]).alias("flow_win"), F.lit(MQ_WINDOW[i]).alias("mq_win"),
+            F.lit(PROFILE[i]).alias("vp_period"),
             *[F.lit(w).alias(f"w_{k}") for k, w in WEIGHTS[p].items()],
         )
         for i, p in enumerate(PERIODS)
@@ -235,9 +241,13 @@ def state_score(inputs: DataFrame) -> DataFrame:
     """Twelve factors per bar and period, in order; ``score`` and ``score_pre`` are clamped to +-10.
 
     ``inputs``: rate oi_chg chg_24 f1_ratio f4_ratio f12_ratio f24_ratio retail top vol_ratio_live iv_spread ethbtc_chg
-    flip close position, both stochastics, the setup columns, ``mq`` (map window -> direction, quality) and ``verdict``.
+    flip close, both stochastics, the setup columns, ``mq`` (map window -> direction, quality), ``profile`` (map
+    look-back -> position) and ``verdict``.
     """
     rows = by_period(inputs)
+    rows = rows.withColumn(
+        "position", F.coalesce(F.try_element_at("profile", F.col("vp_period")), F.try_element_at("profile", F.lit(PROFILE_ELSE)))
+    )
     taker = ladder(*[(F.col("flow_win") == n, F.col(f"f{h}_ratio")) for n, h in FLOW_HOURS.items()])
     rows = rows.withColumns({"taker": taker, "mq_now": F.try_element_at("mq", F.col("mq_win"))})
     r, o, p24 = F.col("rate"), F.col("oi_chg"), F.col("chg_24")
@@ -302,11 +312,15 @@ CONTRIBUTIONS = ["c1", "c2", "c3", "c4", "c5", "c6", "c7", "c8", "c9", "c10", "c
 
 
 def state_level(scored: DataFrame) -> DataFrame:
-    """Level, conclusion code, notes and regime warnings of a scored row (needs ``vol_pct``)."""
+    """Level, conclusion code, notes and regime warnings of a scored row.
+
+    Needs ``vol_pct`` and the option levels ``call_wall put_wall max_pain``.
+    """
     s, v, o, r, t = (F.col(c) for c in ("score", "vol_pct", "oi_chg", "rate", "taker"))
     calm, hot = F.coalesce(v <= 30, F.lit(False)), F.coalesce(v >= 75, F.lit(False))
     cleansing = F.coalesce((o < -8) & (F.abs(s) <= 1), F.lit(False))
     above, below = F.col("close") > F.col("flip"), F.col("close") <= F.col("flip")
+    away = lambda level: (F.col(level) - F.col("close")) / F.col("close") * 100
     codes = lambda *cs: F.array_join(F.array_compact(F.array(*[F.when(c, n) for c, n in cs])), ",")
     return scored.withColumns(
         {
@@ -319,6 +333,8 @@ def state_level(scored: DataFrame) -> DataFrame:
             "notes": codes(
                 ((F.col("position") == "at_poc") & (F.abs(s) <= 2), "AT_POC"), (below & (s <= -3), "BELOW_FLIP_DOWN"),
                 (below & (s >= 3), "BELOW_FLIP_UP"), (above & (s >= 3), "ABOVE_FLIP_UP"), (above & (s <= -3), "ABOVE_FLIP_DOWN"),
+                (away("call_wall") < NEAR_WALL, "CALL_WALL"), (F.abs(away("put_wall")) < NEAR_WALL, "PUT_WALL"),
+                (F.abs(away("max_pain")) < NEAR_PAIN, "MAX_PAIN"),
             ),
             "warnings": codes(
                 ((r > 0.0002) & (t > 1.1), "LONGS_PAYING_TAKERS_BUYING"), ((r < -0.0002) & (t < 0.9), "SHORTS_PAYING_TAKERS_SELLING"),
@@ -359,10 +375,10 @@ def live_inputs(
 ) -> DataFrame:
     """Everything the live score reads at a bar, in one as-of pass and one framed pass.
 
-    ``slow_sides`` bring rate, btc, retail and top. The flip level is the day's volume-weighted price unless joined later.
+    ``slow_sides`` bring rate, btc, retail and top.
     """
     from ..plans.ordered import asof_join, numbered, row_frames
-    from .indicators import add_flow, add_ret, add_stoch, add_vwap, band_position, rv, stoch_reach
+    from .indicators import add_flow, add_ret, add_stoch, rv, stoch_reach
 
     keys = list(keys)
     firsts = bars.groupBy(*keys).agg(F.min_by(F.col("oi") * F.col("close"), "ts").alias("__first_oi"))
@@ -371,11 +387,11 @@ def live_inputs(
 
     def add(rows, w):
         rows = add_stoch(add_stoch(rows, w, slow, "slow_k", "slow_d"), w, fast, "fast_k", "fast_d")
-        rows = add_ret(add_vwap(rows, w, day), w)
+        rows = add_ret(rows, w)
         for n in FLOW_HOURS.values():
             rows = add_flow(rows, w, n, f"f{n}_")
         past = F.coalesce(F.lag("__oi", oi_steps).over(w), "__first_oi")
-        rows = rows.withColumns({f"rv_{n}": rv(w, n) for n in (4, 24, 168)})
+        rows = rows.withColumns({f"rv_{n}": rv(w, n) for n in (4, 24)})
         return rows.withColumns(
             {
                 **{f"fast_{x}_{i}": F.lag(f"fast_{x}", i).over(w) for x in "kd" for i in (1, 2)},
@@ -383,13 +399,28 @@ def live_inputs(
                 "chg_24": (div("close", F.lag("close", day).over(w)) - 1) * 100,
                 "ethbtc_chg": (F.col("__rel") / F.nullif(F.lag("__rel", day).over(w), F.lit(0.0)) - 1) * 100,
                 "vol_ratio_live": F.when(F.col("rv_24") > 0, F.col("rv_4") / F.col("rv_24")),
-                "iv_spread": F.col("rv_168") - F.col("rv_24"),
             }
         )
 
     reach = max(stoch_reach([slow, fast]) + 2, 169, oi_steps, day)
     rows = row_frames(x, keys, ["ts"], add, back=reach, keep_number=True)
-    return rows.withColumns({"position": band_position(), "flip": F.col("vwap"), "spot_ratio": F.col("f1_ratio")})
+    return rows
+
+
+def with_levels(
+    inputs: DataFrame, keys: Sequence[str], spot: DataFrame, options: DataFrame, spread: DataFrame, profile: DataFrame,
+) -> DataFrame:
+    """Join what the live score reads from elsewhere.
+
+    ``spot``: keys, ts, spot_ratio (takers on the spot market, same bar); ``options``: keys, flip, call_wall, put_wall,
+    max_pain; ``spread``: keys, iv_spread; ``profile``: keys, period, position. The last three have a few rows per key.
+    """
+    keys = list(keys)
+    shape = profile.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("period", "position"))).alias("profile"))
+    out = inputs.join(spot, [*keys, "ts"], "left")
+    for side in (options, spread, shape):
+        out = out.join(side, keys, "left")
+    return out
 
 
 def with_quality(inputs: DataFrame, mq: DataFrame, verdict: DataFrame, cut: DataFrame, keys: Sequence[str]) -> DataFrame:
