@@ -104,6 +104,20 @@ def test_asof_equals_brute_force(spark, bars):
         assert {(r.sym, r.ts): r.q for r in got.collect()} == want
 
 
+def test_grid_asof_equals_brute_force(spark):
+    """One key holds nine tenths of the rows; the right side has gaps, and the left runs past both of its ends."""
+    rng = random.Random(5)
+    minute = lambda m: T0 + dt.timedelta(minutes=m)
+    quotes = [(s, T0 + dt.timedelta(hours=h), float(h)) for s in ("hot", "b") for h in sorted(rng.sample(range(200), 60))]
+    rows = [("hot" if rng.random() < 0.9 else rng.choice("bc"), minute(rng.randrange(-600, 15000)), i) for i in range(2000)]
+    left = spark.createDataFrame(rows, "sym string, ts timestamp, i int")
+    right = spark.createDataFrame(quotes, "sym string, ts timestamp, q double")
+    got = {r.i: (r.at, r.q) for r in od.grid_asof_join(left, right, ["sym"], ["q"], 3600, right_time_as="at").collect()}
+    for s, t, i in rows:
+        hits = [(u, v) for k, u, v in quotes if k == s and u <= t]
+        assert got[i] == (max(hits) if hits else (None, None))
+
+
 def test_asof_equal_times_match(spark):
     a = spark.createDataFrame([("x", T0)], "sym string, ts timestamp")
     b = spark.createDataFrame([("x", T0, 1.0)], "sym string, ts timestamp, q double")

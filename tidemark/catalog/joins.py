@@ -4,7 +4,7 @@ from ..operators import book as bk
 from ..operators import levels as lv
 from ..operators import options as opt
 from ..operators import profile as pf
-from ..plans.ordered import asof_join, top_k
+from ..plans.ordered import DAY, grid_asof_join, top_k
 from ..plans.settle import settle
 from ..sources.views import SPOT, Views
 from .options import by_strike
@@ -25,7 +25,7 @@ def _(spark, d):
     left = v.lineitem().join(v.orders(), F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_orderpriority").alias("label"), F.col("l_shipdate").alias("ts"), "l_orderkey", "l_linenumber"
     )
-    return asof_join(left, v.kept("macro"), ["label"], ["close"], right_time_as="quote_ts")
+    return grid_asof_join(left, v.kept("macro"), ["label"], ["close"], DAY, right_time_as="quote_ts")
 
 
 @query(

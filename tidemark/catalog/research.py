@@ -167,7 +167,7 @@ VIEWS["slong"] = " UNION ALL ".join(
 
 
 def scored(v: Views):
-    return op.attach_returns(v.state_log(), v.bars(), ["sym"], ["seq"], [-1, *HOURS])
+    return op.attach_returns(v.state_log(), v.bars(), ["sym"], [-1, *HOURS])
 
 
 def slong(v: Views):

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import correlation, div, ladder, log_ratio, sign
-from ..plans.ordered import asof_join, numbered, row_frames
+from ..plans.ordered import asof_join, grid_asof_join, numbered, row_frames
 from ..plans.settle import settle
 from ..plans.ranks import exact_quantiles, spearman
 from .indicators import (
@@ -205,22 +205,25 @@ def magnitude_label(moves: DataFrame) -> DataFrame:
 
 
 def attach_returns(
-    log: DataFrame, bars: DataFrame, keys: Sequence[str], row_id: Sequence[str], hours: Sequence[int]
+    log: DataFrame, bars: DataFrame, keys: Sequence[str], hours: Sequence[int], bar_seconds: int = 3600,
 ) -> DataFrame:
     """For every log row the simple return from the close at its time to the close h hours on (negative h: back).
 
-    All target times are matched in one as-of pass: each row is spread over its offsets and gathered again.
+    Bars start on a grid of ``bar_seconds``. The closes of all target times of a bar are looked up once per bar slot of the
+    log, not once per log row; rows then meet their slot by equality, so a hot key is neither sorted nor regrouped.
     """
-    keys, row_id = list(keys), list(row_id)
+    keys = list(keys)
     offsets = sorted({0, *hours})
-    rows = log.filter("ts IS NOT NULL").withColumn("h", F.explode(F.array(*[F.lit(h) for h in offsets])))
-    rows = rows.withColumn("__t", F.timestamp_micros(F.unix_micros("ts") + F.col("h") * F.lit(3_600_000_000)))
-    found = asof_join(rows, bars.select(*keys, "ts", "close"), keys, ["close"], left_ts="__t")
-    rest = [c for c in log.columns if c not in (*keys, *row_id)]
-    wide = found.groupBy(*keys, *row_id).agg(
-        *[F.any_value(c).alias(c) for c in rest],
-        *[F.max(F.when(F.col("h") == h, F.col("close"))).alias(f"c_{i}") for i, h in enumerate(offsets)],
+    rows = log.filter("ts IS NOT NULL").withColumn("__slot", F.floor(F.unix_seconds("ts") / F.lit(bar_seconds)))
+    if any(h * 3600 % bar_seconds for h in offsets):
+        raise ValueError("offsets must be whole bars")
+    slots = rows.select(*keys, "__slot").distinct().withColumn("h", F.explode(F.array(*[F.lit(h) for h in offsets])))
+    slots = slots.withColumn("__t", F.timestamp_seconds(F.col("__slot") * bar_seconds + F.col("h") * 3600))
+    found = grid_asof_join(slots, bars.select(*keys, "ts", "close"), keys, ["close"], bar_seconds, left_ts="__t")
+    closes = found.groupBy(*keys, "__slot").agg(
+        *[F.max(F.when(F.col("h") == h, F.col("close"))).alias(f"c_{i}") for i, h in enumerate(offsets)]
     )
+    wide = rows.join(closes, [*keys, "__slot"], "left").drop("__slot")
     base = F.col(f"c_{offsets.index(0)}")
     out = {}
     for i, h in enumerate(offsets):

@@ -177,6 +177,40 @@ def asof_join(
     return found.filter(F.col("__side") == len(sides)).select(*out)
 
 
+def grid_asof_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    values: Sequence[str],
+    step_seconds: int,
+    *,
+    left_ts: str = "ts",
+    right_ts: str = "ts",
+    right_time_as: str | None = None,
+) -> DataFrame:
+    """As-of join with a right side whose times lie on a grid (bars, daily series), one row per key and time at most.
+
+    Each right row is repeated over the slots up to the next one, so the match is an equality of key and slot: left rows
+    are neither sorted nor numbered, and a hot key is an ordinary skewed join. What is repeated is bounded by the
+    calendar. Left rows after a key's last slot take that slot.
+    """
+    keys = list(keys)
+    slot = lambda c: F.floor(F.unix_seconds(c) / F.lit(step_seconds))
+    held = {n: f"__g{i}" for i, n in enumerate(values)}
+    rows = right.select(
+        *keys, slot(F.col(right_ts)).alias("__s"), F.col(right_ts).alias("__rt"), *[F.col(n).alias(g) for n, g in held.items()]
+    )
+    by_key = Window.partitionBy(*keys).orderBy("__s")  # one row per slot
+    spans = rows.withColumn("__e", F.coalesce(F.lead("__s").over(by_key) - 1, F.col("__s")))
+    filled = spans.withColumn("__s", F.explode(F.sequence("__s", "__e"))).drop("__e")
+    last = rows.groupBy(*keys).agg(F.max("__s").alias("__last"))
+    placed = left.join(last, keys, "left").withColumn("__s", F.least(slot(F.col(left_ts)), F.col("__last")))
+    out = [F.col(c) for c in left.columns]
+    if right_time_as:
+        out.append(F.col("__rt").alias(right_time_as))
+    return placed.join(filled, [*keys, "__s"], "left").select(*out, *[F.col(g).alias(n) for n, g in held.items()])
+
+
 def nearest_join(
     left: DataFrame,
     right: DataFrame,
