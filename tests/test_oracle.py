@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 # thirty days hold too few bars per key at this size for a fit or a bootstrap to be required to give rows
-MAY_BE_EMPTY = {"hmm_fit_grid", "hmm_rolling", "hmm_decode", "seed_stability", "sink_model_snapshot", "block_bootstrap"}
+MAY_BE_EMPTY = {"hmm_fit_grid", "hmm_rolling", "hmm_decode", "seed_stability", "current_regime", "sink_model_snapshot", "block_bootstrap"}
 
 
 @pytest.fixture(scope="module")

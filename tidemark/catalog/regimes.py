@@ -224,12 +224,13 @@ def _(spark, d):
 
 SEEDS = [1, 8, 15, 22]
 MIN_ROWS = 300
+FIT_MONTHS = 18  # a model is fitted on its key's newest months; decoding covers all bars
 MODEL = "sym k:i seed:i n_obs:i loglik:f3 iterations:i"
 
 
 def fitted(v: Views, ks=(4,), seeds=SEEDS):
     f = settle(features(v))
-    return f, settle(op.hmm_fit_grid(f, KEY, FEATURES, list(ks), seeds, n_iter=100, tol=1e-3, min_rows=MIN_ROWS))
+    return f, settle(op.hmm_fit_grid(f, KEY, FEATURES, list(ks), seeds, n_iter=100, tol=1e-3, min_rows=MIN_ROWS, months=FIT_MONTHS))
 
 
 @query("hmm_fit_grid", MODEL)
@@ -249,6 +250,17 @@ def _(spark, d):
     return op.hmm_decode(f, op.best_models(m, KEY), KEY, FEATURES)
 
 
+HORIZONS = [1, 6, 24, 48]
+
+
+@query("current_regime", "sym ts:t smoothed:i confidence:f4 entropy:f4 dwell:f4 n_obs:i " + " ".join(f"p{h}_{s}:f4" for h in HORIZONS for s in range(4)))
+def _(spark, d):
+    f, m = fitted(Views(spark, d))
+    best = settle(op.best_models(m, KEY))
+    now = op.current_regime(op.hmm_decode(f, best, KEY, FEATURES), best, KEY, 4, HORIZONS)
+    return now.withColumns({f"p{h}_{s}": F.get(f"forecast_{h}", F.lit(s)) for h in HORIZONS for s in range(4)})
+
+
 @query("seed_stability", "sym seeds:i best:f3 worst:f3 near_best:f4 max_std:f4 labels:i passes")
 def _(spark, d):
     return op.seed_stability(fitted(Views(spark, d))[1], KEY, FEATURES)

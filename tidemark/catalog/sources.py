@@ -251,7 +251,20 @@ def _(spark, d):
               CASE WHEN szi IS NOT NULL THEN margin_type END AS margin_type, spot_eth, mainnet_eth FROM positions""",
 )
 def _(spark, d):
-    p = Views(spark, d).positions()
+    return pl.wallet_state(bundles(Views(spark, d).positions()))
+
+
+@query(
+    "src_wallet_balances",
+    "wallet ueth:f6 usdc:f2 hype:f2 mainnet_eth:f6",
+    "SELECT wallet, spot_eth AS ueth, 10 AS usdc, 0 AS hype, mainnet_eth FROM positions",
+)
+def _(spark, d):
+    return pl.wallet_balances(bundles(Views(spark, d).positions()))
+
+
+def bundles(p):
+    """Positions as raw wallet payloads."""
     position = F.struct(
         F.lit("ETH").alias("coin"), text("szi").alias("szi"), text("entry_px").alias("entryPx"), text("liq_px").alias("liquidationPx"),
         F.struct(F.col("lev").alias("value"), F.col("margin_type").alias("type")).alias("leverage"), F.lit("0").alias("unrealizedPnl"),
@@ -272,7 +285,7 @@ def _(spark, d):
         ).alias("spot"),
         F.col("mainnet_eth").alias("mainnetEth"),
     )
-    return pl.wallet_state(p.select("wallet", F.to_json(bundle).alias("payload")))
+    return p.select("wallet", F.to_json(bundle).alias("payload"))
 
 
 VIEWS["ctx"] = """

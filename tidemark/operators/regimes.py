@@ -534,9 +534,9 @@ DECODE_SCHEMA = (
 
 
 def hmm_decode(
-    features: DataFrame, models: DataFrame, keys: Sequence[str], names: Sequence[str], bars: int = 2190
+    features: DataFrame, models: DataFrame, keys: Sequence[str], names: Sequence[str], bars: int | None = None
 ) -> DataFrame:
-    """Viterbi state and smoothed posterior per bar under each key's model, over the key's newest ``bars`` rows."""
+    """Viterbi state and smoothed posterior per bar under each key's model; with ``bars``, of its newest rows only."""
     keys, names = list(keys), list(names)
     fields = {f.name: f.dataType.simpleString() for f in features.schema.fields}
     schema = ", ".join(f"{c} {fields[c]}" for c in keys) + ", " + DECODE_SCHEMA
@@ -564,7 +564,7 @@ def hmm_decode(
         return out[cols]
 
     parts = 4 * features.sparkSession.sparkContext.defaultParallelism
-    left = last_rows(features, keys, bars).select(*keys, "ts", *names).repartition(parts, *keys)
+    left = (features if bars is None else last_rows(features, keys, bars)).select(*keys, "ts", *names).repartition(parts, *keys)
     return left.groupBy(*keys).cogroup(models.repartition(parts, *keys).groupBy(*keys)).applyInPandas(decode, schema)
 
 

@@ -227,6 +227,18 @@ def wallet_state(raw: DataFrame, coin: str = "ETH", token: str = "UETH", payload
     )
 
 
+def wallet_balances(raw: DataFrame, coins: Sequence[str] = ("UETH", "USDC", "HYPE"), payload: str = "payload") -> DataFrame:
+    """Wallet bundles to one row per wallet: the total of each named coin (0 if missing, the last if listed twice) and mainnet ETH."""
+    b = raw.select("wallet", F.from_json(payload, WALLET).alias("b"))
+    listed = F.coalesce("b.spot.balances", F.array().cast("array<struct<coin:string,total:string>>"))
+
+    def total(coin: str):
+        return F.aggregate(listed, F.lit(0.0), lambda a, x: F.when(
+            F.upper(x["coin"]) == coin, F.coalesce(x["total"].try_cast("double"), F.lit(0.0))).otherwise(a))
+
+    return b.select("wallet", *[total(c).alias(c.lower()) for c in coins], F.coalesce("b.mainnetEth", F.lit(0.0)).alias("mainnet_eth"))
+
+
 def asset_contexts(raw: DataFrame, keys: Sequence[str], names: str, contexts: str) -> DataFrame:
     """Two arrays matched by position, names and their contexts; zipped in place, without a join."""
     rows = raw.select(*keys, F.inline(F.arrays_zip(F.col(names).alias("name"), F.col(contexts).alias("ctx"))))

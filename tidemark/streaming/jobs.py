@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..plans.ordered import BAR_SLICE, asof_join, row_frames, slice_of
+from ..plans.ordered import asof_join, row_frames, slice_of
 from ..plans.settle import settle
 
 
@@ -72,6 +72,7 @@ def first_per_minute(rows: DataFrame, keys: Sequence[str], order: Sequence[str])
     return out.select(*keys, "minute", "x.*")
 
 
+HOUR = 3600
 THROTTLE = "key string, ts timestamp, seq bigint, score int"
 
 
@@ -105,6 +106,7 @@ def throttle_batch(rows: DataFrame, keys: Sequence[str], seconds: int = 300) ->
     """Batch twin of ``throttle_change`` on any number of rows per key.
 
     A row whose score differs from its predecessor's is always emitted, and so is one that follows a longer pause.
+    Rows are numbered in slices of an hour, so a key with very many rows a day spreads over many tasks.
     Between those heads, an emitted row's successor is the first one more than ``seconds`` later, at most two such
     spans away. Emitted rows are those reached from the heads; doubling the jump length finds them in a number of
     joins that grows with the logarithm of the longest chain.
@@ -116,7 +118,7 @@ def throttle_batch(rows: DataFrame, keys: Sequence[str], seconds: int = 300) ->
     def add(r, w):
         return r.withColumns({"__s": F.lag("score").over(w), "__t": F.lag("us").over(w)})
 
-    marked = row_frames(base, keys, ["ts", "seq"], add, back=1, slice_seconds=86400, keep_number=True)
+    marked = row_frames(base, keys, ["ts", "seq"], add, back=1, slice_seconds=HOUR, keep_number=True)
     head = F.col("__s").isNull() | (F.col("__s") != F.col("score")) | (F.col("us") - F.col("__t") > gap)
     marked = settle(marked.withColumn("head", head).select(*keys, "__rn", "us", "head"))
     # first row more than a span later, looked for in hour-sized blocks with a halo of two spans
@@ -136,12 +138,12 @@ def throttle_batch(rows: DataFrame, keys: Sequence[str], seconds: int = 300) ->
     from ..plans.ordered import running_last
 
     runs = running_last(
-        marked.withColumn("__ts", ts), keys, ["__ts", "__rn"], {"run": F.when(F.col("head"), F.col("__rn"))}, BAR_SLICE
+        marked.withColumn("__ts", ts), keys, ["__ts", "__rn"], {"run": F.when(F.col("head"), F.col("__rn"))}, HOUR
     ).select(*keys, F.col("__rn").alias("rn"), "run")
     a, b = runs.withColumnsRenamed({"rn": "at", "run": "ra"}), runs.withColumnsRenamed({"rn": "to", "run": "rb"})
     hops = hops.join(a, [*keys, "at"]).join(b, [*keys, "to"]).filter("ra = rb").select(*keys, "at", "to")
     kept = reach(marked.filter("head").select(*keys, F.col("__rn").alias("at")), hops, keys)
-    numbered = row_frames(base, keys, ["ts", "seq"], lambda r, w: r, slice_seconds=86400, keep_number=True)
+    numbered = row_frames(base, keys, ["ts", "seq"], lambda r, w: r, slice_seconds=HOUR, keep_number=True)
     return numbered.join(kept.withColumnRenamed("at", "__rn"), [*keys, "__rn"], "left_semi").select(*keys, "ts", "seq", "score")
 
 
