@@ -146,7 +146,19 @@ def _(spark, d):
     return jobs.first_per_minute(Views(spark, d).ticks(), ["sym"], ["ts", "seq"])
 
 
-@query("st_throttle_change", "period ts:t seq:i score:i")
+@query(
+    "st_throttle_change",
+    "period ts:t seq:i score:i",
+    """WITH RECURSIVE rows_in AS (
+         SELECT period, ts, seq, floor(score / 6.0e0) AS score, epoch_us(ts) AS us, row_number() OVER (PARTITION BY period ORDER BY ts, seq) AS rn FROM state_log),
+       turns AS (SELECT *, CASE WHEN lag(score) OVER (PARTITION BY period ORDER BY rn) IS DISTINCT FROM score THEN rn END AS turn FROM rows_in),
+       jumps AS (SELECT period, rn, least(
+           min(turn) OVER (PARTITION BY period ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING),
+           min(rn) OVER (PARTITION BY period ORDER BY us RANGE BETWEEN 1800000001 FOLLOWING AND UNBOUNDED FOLLOWING)) AS nxt FROM turns),
+       hit AS (SELECT DISTINCT period, CAST(1 AS BIGINT) AS rn FROM rows_in
+         UNION ALL SELECT j.period, j.nxt FROM hit JOIN jumps j USING (period, rn) WHERE j.nxt IS NOT NULL)
+       SELECT period, ts, seq, score FROM hit JOIN rows_in USING (period, rn)""",
+)
 def _(spark, d):
     return jobs.throttle_batch(Views(spark, d).state_log().withColumn("score", F.floor(F.col("score") / 6)), ["period"], 1800)
 
