@@ -35,7 +35,7 @@ SEND_ROWS = 2_000_000  # postings a task holds before it sends them
 SEEN = 500_000  # sets a task remembers in order not to send a copy again
 BLOCK = 1024  # nodes of a tile's block
 CELL_GROUPS = 4096
-FIRST_PAIRS = 8  # pairs a node first sends from a block of a tile that spans components
+FIRST_PAIRS = 64  # pairs first tested between two components of a tile
 
 
 def parity_bitmap(values: np.ndarray) -> bytes:
@@ -238,9 +238,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return in_batches(rows.select("a", "b", "ta", "tb")).mapInArrow(run, "a long, b long, linked boolean")
 
 
-def _cell_pairs(node, comp, band, own, n, bits, within: bool, percent: int, most: int) -> list[tuple[int, int, bool]]:
-    """Pairs of different components whose bitmaps allow a link; within: a block with itself, else only across two."""
-    found = []
+def _cell_pairs(node, comp, band, own, n, bits, within: bool, percent: int, most: int) -> tuple[list, bool]:
+    """Pairs whose bitmaps allow a link between two components, and whether some were held back.
+
+    Of each two components the ``most`` likeliest pairs are given: one link joins them. within: a block with itself.
+    """
+    lists = []
     width = np.array([len(x) // 8 for x in bits])
     for v in np.unique(band):
         at = np.flatnonzero((band == v) | (band == v + 1))
@@ -253,20 +256,29 @@ def _cell_pairs(node, comp, band, own, n, bits, within: bool, percent: int, most
             ok = (comp[at] != comp[i]) & ((band[at] > v) | (node[at] > node[i]))
             if not within:
                 ok &= own[at] != own[i]
-            far = np.bitwise_count(m ^ m[k]).sum(axis=1, dtype=np.int64)
-            common = np.minimum((size + n[i] - far) // 2, np.minimum(size, n[i]))
-            ok &= 100 * common >= percent * (size + n[i] - common)
             ok = np.flatnonzero(ok)
-            best = ok[np.lexsort((node[at][ok], far[ok]))][:most]
-            found += [(min(node[i], x), max(node[i], x), len(ok) > most) for x in node[at][best]]
-    return found
+            far = np.bitwise_count(m[ok] ^ m[k]).sum(axis=1, dtype=np.int64)
+            common = np.minimum((size[ok] + n[i] - far) // 2, np.minimum(size[ok], n[i]))
+            union = size[ok] + n[i] - common
+            may = 100 * common >= percent * union
+            j = at[ok[may]]
+            lists.append(np.stack([np.full(len(j), i), j, (union - common)[may]]))
+    i, j, far = np.concatenate(lists, axis=1) if lists else np.zeros((3, 0), np.int64)
+    a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+    x, y = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
+    order = np.lexsort((b, a, far, y, x))
+    new = np.ones(len(order), bool)
+    new[1:] = (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])
+    begin = np.flatnonzero(new)
+    place = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
+    keep = order[place < most]
+    return list(zip(a[keep].tolist(), b[keep].tolist())), len(keep) < len(order)
 
 
 def _between(open_tiles: DataFrame, sets: DataFrame, percent: int, most: int) -> DataFrame:
-    """(a, b, cut): pairs between components of a tile whose bitmaps allow a link.
+    """(a, b, tile): pairs between components of a tile, and tiles (with no pair) that held some back.
 
-    A node gives its ``most`` likeliest pairs of a block; ``cut`` says that it has more. A tile of many nodes is cut
-    into blocks of about ``BLOCK`` nodes, and each pair of blocks is a cell of its own.
+    A tile of many nodes is cut into blocks of about ``BLOCK`` nodes, and each pair of blocks is a cell of its own.
     """
     blocks = open_tiles.groupBy("tile").agg(F.ceil(F.count("node") / BLOCK).alias("blocks"))
     cells = (
@@ -279,15 +291,17 @@ def _between(open_tiles: DataFrame, sets: DataFrame, percent: int, most: int) ->
     )
 
     def run(key, table):
-        found: list[tuple[int, int, bool]] = []
-        for (_, x, y), c in table.to_pandas().groupby(["tile", "x", "y"], sort=False):
+        found, cut = set(), set()
+        for (tile, x, y), c in table.to_pandas().groupby(["tile", "x", "y"], sort=False):
             arrays = (c[k].to_numpy() for k in ("node", "comp", "band", "own", "n", "bits"))
-            found += _cell_pairs(*arrays, x == y, percent, most)
-        a, b, cut = zip(*found) if found else ((), (), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "cut": pa.array(cut, pa.bool_())})
+            pairs, more = _cell_pairs(*arrays, x == y, percent, most)
+            found.update(pairs)
+            if more:
+                cut.add(tile)
+        rows = [(a, b, None) for a, b in found] + [(None, None, t) for t in cut]
+        return pa.table({k: pa.array(x, pa.int64()) for k, x in zip(("a", "b", "tile"), list(zip(*rows)) or [()] * 3)})
 
-    return cells.groupBy("g").applyInArrow(run, "a long, b long, cut boolean").groupBy("a", "b").agg(
-        F.bool_or("cut").alias("cut"))
+    return cells.groupBy("g").applyInArrow(run, "a long, b long, tile long").distinct()
 
 
 def similar_sets(docs: DataFrame, id_col: str, text_col: str, percent: int = 75) -> tuple[DataFrame, DataFrame]:
@@ -305,23 +319,29 @@ def similar_sets(docs: DataFrame, id_col: str, text_col: str, percent: int = 75)
         .select(F.col("h.node").alias("a"), F.col("node").alias("b")).distinct()
     )
     pairs = settle(_bounded(pairs, sets, percent))
-    tested = links = None
-    most = FIRST_PAIRS
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    now = settle(_verified(pairs, _texts(docs, text_col, ends), percent))
+    tested, labels = now.select("a", "b"), components(now.filter("linked").select("a", "b"))
+    texts, most = None, FIRST_PAIRS
     while True:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        now = settle(_verified(pairs, _texts(docs, text_col, ends), percent))
-        tested = now.select("a", "b") if tested is None else settle(tested.union(now.select("a", "b")))
-        linked = now.filter("linked").select("a", "b")
-        labels = components(linked if links is None else links.union(linked))
-        links = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
         comp = tiles.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
-        mixed_tiles = comp.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-        found = settle(_between(comp.join(mixed_tiles.select("tile"), "tile", "left_semi"), sets, percent, most))
-        pairs = settle(found.join(tested, ["a", "b"], "left_anti").select("a", "b"))
-        if pairs.isEmpty():
-            if found.filter("cut").isEmpty():
-                return rows, labels
-        most *= 8
+        spread = comp.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+        left = settle(comp.join(spread.select("tile"), "tile", "left_semi"))
+        found = settle(_between(left, sets, percent, most))
+        pairs = settle(found.filter("tile IS NULL").select("a", "b").join(tested, ["a", "b"], "left_anti"))
+        # a tile that sent all its pairs is settled by their tests; joining components makes no new pair
+        tiles = settle(left.join(found.filter("tile IS NOT NULL").select("tile"), "tile", "left_semi").select("tile", "node", "band"))
+        done = tiles.isEmpty()
+        if not pairs.isEmpty():
+            if texts is None:  # later rounds only meet nodes of tiles that held pairs back
+                ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).union(tiles.select("node")).distinct()
+                texts = settle(_texts(docs, text_col, ends))
+            now = settle(_verified(pairs, texts, percent))
+            links = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+            tested, labels = settle(tested.union(now.select("a", "b"))), components(links.union(now.filter("linked").select("a", "b")))
+        if done:
+            return rows, labels
+        most *= 16
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -338,3 +358,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return placed.join(least, "comp", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """``docs`` with one row of each group of linked texts: the one with the least id (rows without an id come last).
+
+    Texts without a word link with nothing and all stay. Columns are kept as they are. Only rows of groups are moved;
+    a filter of fixed size tells most others apart where they are read.
+    """
+    rows, labels = similar_sets(docs, id_col, text_col, percent)
+    placed = rows.filter("n > 0").join(labels, rows.fp == labels.node, "left").select("id", "fp", F.coalesce("label", "fp").alias("comp"))
+    first = F.struct(F.col("id").isNull().alias("x"), F.col("id").alias("id"), F.col("fp").alias("fp"))
+    groups = placed.groupBy("comp").agg(F.count("fp").alias("n"), F.min(first).alias("first")).filter("n > 1")
+    groups = settle(groups.select("comp", F.col("first.id").alias("first_id"), F.col("first.fp").alias("first_fp")))
+    crowd = settle(placed.join(groups, "comp").select(F.col("fp").alias("__fp"), "first_id", "first_fp").distinct())
+    words = bit_filter(crowd.select("__fp"))
+
+    def run(batches):
+        for batch in batches:
+            fp = [fingerprint(s) for _, s in shingle_sets(batch.column(1))]
+            may = [bool(x) and bool(passes(words, x)) for x in fp]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64()), pa.array(may, pa.bool_())],
+                                             names=["__row", "__fp", "__may"])
+
+    whole = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).cast("string").alias("__text"))
+    schema = whole.select("__row").schema.add("__fp", "long").add("__may", "boolean")
+    marked = in_batches(whole).mapInArrow(run, schema)
+    apart = marked.filter("NOT __may").select("__row.*")
+    met = marked.filter("__may").join(crowd, "__fp", "left")
+    alone = met.filter("first_fp IS NULL").select("__row.*")
+    kept = met.filter((F.col("__fp") == F.col("first_fp")) & F.col("__row")[id_col].cast("long").eqNullSafe(F.col("first_id")))
+    return apart.union(alone).union(kept.dropDuplicates(["__fp"]).select("__row.*"))
