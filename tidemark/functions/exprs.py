@@ -107,6 +107,7 @@ def parse_date(x) -> Column:
     """A day in any of the accepted spellings, as DATE; null when none fits."""
     x = F.trim(c(x))
     # The accepted formats, tried in this order.
+    # fixed values: the date patterns in the order they are tried
     formats = ["yyyy-MM-dd", "d MMM yyyy", "d MMMM yyyy", "d/M/yyyy", "M/d/yyyy"]
     return F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in formats]).cast("date")
 

@@ -156,6 +156,7 @@ def flow_labels(scored: DataFrame) -> DataFrame:
         {
             "pct_label": F.when(
                 p.isNotNull(),
+                # fixed values: limits and labels
                 ladder((p < 10, "más bullish que casi todas"), (p > 90, "más bearish que casi todas"), otherwise="rango típico"),
             ),
             "vol_label": F.when(r.isNotNull(), ladder((r >= 5, "material"), (r >= 1, "perceptible"), otherwise="marginal")),
@@ -277,6 +278,7 @@ def reserve_narrative(eth, stable) -> Column:
     return F.when(
         e.isNotNull() & s.isNotNull(),
         ladder(
+            # fixed values: limits and labels
             ((e < -1) & (s > 1), "ACUMULACION PROBABLE"), ((e > 1) & (s < -1), "DISTRIBUCION PROBABLE"),
             ((e > 1) & (s > 1), "CAPITALIZACION"), ((e < -1) & (s < -1), "DESAPALANCAMIENTO"), otherwise="NEUTRAL",
         ),

@@ -163,6 +163,7 @@ def vol_percentile(bars: DataFrame, keys: Sequence[str], n: int = 24, min_days:
         .groupBy(*keys, "rv_now")
         .agg(F.count("rv").alias("days"), F.when(F.count("rv") >= min_days, p).alias("percentile"))
         .withColumn(
+            # fixed values: limits and labels
             "label",
             F.when(
                 pct.isNotNull(),
@@ -592,6 +593,7 @@ def money_quality_verdict(mq: DataFrame, keys: Sequence[str]) -> DataFrame:
         .withColumn(
             "verdict",
             ladder(
+                # fixed values: limits and labels
                 (score > 0.4, "ALCISTA con plata nueva"), (score > 0.15, "Alcista débil / covering"),
                 (score < -0.4, "BAJISTA con plata nueva"), (score < -0.15, "Bajista débil / covering"),
                 otherwise="Lateral / rotación",
@@ -603,6 +605,7 @@ def money_quality_verdict(mq: DataFrame, keys: Sequence[str]) -> DataFrame:
 def funding_context(rate) -> Column:
     r = F.col(rate)
     return ladder(
+        # fixed values: limits and labels
         (r < -0.00005, "Funding negativo — shorts cargados"), (r > 0.00008, "Funding positivo — longs cargados"),
         (r.isNotNull(), "Funding neutro"),
     )

@@ -334,12 +334,14 @@ def k5_labels(signatures: DataFrame, keys: Sequence[str], names: Sequence[str])
     """
     v, r = F.col("realized_vol"), F.col("log_return")
     label = ladder(
+        # fixed values: limits and labels
         ((v > 1) & (r > 0), "STRESS"), (v > 1, "CRASH"),
         ((v > 0) & (r < -0.005), "MID_BEAR"), ((v > 0) & (r <= 0.005), "MID_NEUTRAL"), (v > 0, "MID_BULL"),
         (F.abs(r) < 0.005, "CHOP"), (r > 0, "UP"), otherwise="DOWN",
     )
     top = F.greatest(*[F.abs(x) for x in names])
     w = Window.partitionBy(*keys).orderBy("max_mean", "state")
+    # fixed values: what an artefact looks like
     bad = (F.col("max_mean") < 0.25) | (F.col("share") < 0.05) | (F.col("dwell") < 8)
     return signatures.withColumns({"label": label, "max_mean": top}).withColumns(
         {"weakest": F.row_number().over(w) == 1, "artefact": bad}
@@ -598,6 +600,7 @@ def seed_stability(models: DataFrame, keys: Sequence[str], names: Sequence[str])
     best = models.withColumn("__b", F.max("loglik").over(w))
     near = best.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("seeds"), F.max("loglik").alias("best"), F.min("loglik").alias("worst"),
+        # fixed value: how near the best likelihood counts as equal
         F.avg(F.when(F.abs(F.col("loglik") - F.col("__b")) / F.abs("__b") < 0.05, 1.0).otherwise(0.0)).alias("near_best"),
     )
     labelled = canonical_labels(model_states(models, keys, names), [*keys, "seed"])

@@ -134,6 +134,7 @@ def named(**parts: Column) -> Column:
     return F.named_struct(*[x for n, c in parts.items() for x in (F.lit(n), c)])
 
 
+# Upper-case words in a header that are no fund.
 NOT_TICKERS = ["TOTAL", "DATE", "ETF", "USD"]
 
 
