@@ -272,13 +272,16 @@ def _cell_pairs(node, comp, band, own, n, bits, within: bool, percent: int, most
     begin = np.flatnonzero(new)
     place = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
     keep = order[place < most]
-    return list(zip(a[keep].tolist(), b[keep].tolist())), len(keep) < len(order)
+    return list(zip(a[keep].tolist(), b[keep].tolist(), x[keep].tolist(), y[keep].tolist())), len(keep) < len(order)
 
 
 def _between(open_tiles: DataFrame, sets: DataFrame, percent: int, most: int) -> DataFrame:
     """(a, b, tile): pairs between components of a tile, and tiles (with no pair) that held some back.
 
-    A tile of many nodes is cut into blocks of about ``BLOCK`` nodes, and each pair of blocks is a cell of its own.
+    A tile of many nodes is cut into blocks of about ``BLOCK`` nodes, and each pair of blocks is a cell of its own. The
+    tiles of a crowd, which have the same least component ``lo``, send the same cell to the same group, so that two
+    components get their ``most`` pairs once and not in every tile. A group holds two blocks of as many tiles as a set
+    has shingles in its prefix, however large the crowd.
     """
     blocks = open_tiles.groupBy("tile").agg(F.ceil(F.count("node") / BLOCK).alias("blocks"))
     cells = (
@@ -286,19 +289,25 @@ def _between(open_tiles: DataFrame, sets: DataFrame, percent: int, most: int) ->
         .withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-        .withColumn("g", F.pmod(F.xxhash64("tile", "x", "y"), F.lit(CELL_GROUPS)))
+        .withColumn("g", F.pmod(F.xxhash64("lo", "x", "y"), F.lit(CELL_GROUPS)))
         .select("g", "tile", "x", "y", "node", "comp", "band", "own", "n", "bits")
     )
 
     def run(key, table):
-        found, cut = set(), set()
+        found: dict[tuple[int, int], set[tuple[int, int]]] = {}
+        cut = set()
         for (tile, x, y), c in table.to_pandas().groupby(["tile", "x", "y"], sort=False):
             arrays = (c[k].to_numpy() for k in ("node", "comp", "band", "own", "n", "bits"))
             pairs, more = _cell_pairs(*arrays, x == y, percent, most)
-            found.update(pairs)
+            for a, b, c1, c2 in pairs:
+                sent = found.setdefault((c1, c2), set())
+                if len(sent) < most:
+                    sent.add((a, b))
+                elif (a, b) not in sent:
+                    more = True
             if more:
                 cut.add(tile)
-        rows = [(a, b, None) for a, b in found] + [(None, None, t) for t in cut]
+        rows = [(a, b, None) for sent in found.values() for a, b in sent] + [(None, None, t) for t in cut]
         return pa.table({k: pa.array(x, pa.int64()) for k, x in zip(("a", "b", "tile"), list(zip(*rows)) or [()] * 3)})
 
     return cells.groupBy("g").applyInArrow(run, "a long, b long, tile long").distinct()
@@ -326,7 +335,7 @@ def similar_sets(docs: DataFrame, id_col: str, text_col: str, percent: int = 75)
     while True:
         comp = tiles.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
         spread = comp.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-        left = settle(comp.join(spread.select("tile"), "tile", "left_semi"))
+        left = settle(comp.join(spread.select("tile", "lo"), "tile"))
         found = settle(_between(left, sets, percent, most))
         pairs = settle(found.filter("tile IS NULL").select("a", "b").join(tested, ["a", "b"], "left_anti"))
         # a tile that sent all its pairs is settled by their tests; joining components makes no new pair
