@@ -201,6 +201,11 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return in_batches(rows).mapInArrow(run, "a long, b long")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(fp) of every set in a pair, once; each side is made distinct before the two meet."""
+    return pairs.select(F.col("a").alias("fp")).distinct().union(pairs.select(F.col("b").alias("fp")).distinct()).distinct()
+
+
 def _texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     """(fp, text) of the wanted fingerprints, one text of each.
 
@@ -328,8 +333,7 @@ def similar_sets(docs: DataFrame, id_col: str, text_col: str, percent: int = 75)
         .select(F.col("h.node").alias("a"), F.col("node").alias("b")).distinct()
     )
     pairs = settle(_bounded(pairs, sets, percent))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    now = settle(_verified(pairs, _texts(docs, text_col, ends), percent))
+    now = settle(_verified(pairs, _texts(docs, text_col, _ends(pairs)), percent))
     tested, labels = now.select("a", "b"), components(now.filter("linked").select("a", "b"))
     texts, most = None, FIRST_PAIRS
     while True:
@@ -343,8 +347,7 @@ def similar_sets(docs: DataFrame, id_col: str, text_col: str, percent: int = 75)
         done = tiles.isEmpty()
         if not pairs.isEmpty():
             if texts is None:  # later rounds only meet nodes of tiles that held pairs back
-                ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).union(tiles.select("node")).distinct()
-                texts = settle(_texts(docs, text_col, ends))
+                texts = settle(_texts(docs, text_col, _ends(pairs).union(tiles.select("node")).distinct()))
             now = settle(_verified(pairs, texts, percent))
             links = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
             tested, labels = settle(tested.union(now.select("a", "b"))), components(links.union(now.filter("linked").select("a", "b")))
