@@ -174,7 +174,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, total // BUCKET_BYTES)
-    flagged = rows.join(marks, "id", "left").select("id", "text", F.coalesce("aim", F.lit(False)).alias("aim"))
+    # the same join at every size, whether the marks could be broadcast or not
+    flagged = rows.join(marks.hint("merge"), "id", "left").select("id", "text", F.coalesce("aim", F.lit(False)).alias("aim"))
     flagged = flagged.sortWithinPartitions("id", F.xxhash64("text"))  # the same order each time it is read
     answers = settle(_answered(_asked(flagged, buckets)))
     sums = np.zeros(3, np.int64)
