@@ -373,6 +373,27 @@ def test_randomness_battery(spark):
     assert not any("random" in got[len(keys) + i] for i in range(len(natural)))
 
 
+def test_random_values_of_names_and_without_digits(spark):
+    """The value after name= is judged by itself, with or without a digit; words, names and their assignments stay."""
+    rng = random.Random(13)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    keys = ["".join(rng.choices(letters + "0123456789" * (i % 2), k=rng.choice([20, 24, 32, 40, 64]))) for i in range(200)]
+    fronts = ["AWS_SECRET_ACCESS_KEY=", "https://x.test/y?sig=", "see ", "a=b&key="]
+    natural = ["internationalization", "Datenschutzgrundverordnung", "getElementsByTagNameAndAttributeValue", "x=incomprehensibilities",
+               "the-quick-brown-fox-jumps-over-the-lazy-dog", "some/path/of/the/source/tree/here", "MAXIMUM_NUMBER_OF_CONNECTIONS=none"]
+    rows = [(i, fronts[i % 4] + k + (" here", "&z=1")[i % 2]) for i, k in enumerate(keys)] + [(1000 + i, s) for i, s in enumerate(natural)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.findings(df).collect()}
+    for kind in (0, 1):
+        for front in fronts[kind::2]:
+            mine = [i for i in range(200) if i % 2 == kind and fronts[i % 4] == front]
+            right = sum(f"random:{len(front)}:{len(front) + len(keys[i])}" in got[i].split(",") for i in mine)
+            assert right >= 0.85 * len(mine), (front, right, len(mine))
+    assert not [s for i, s in enumerate(natural) if "random" in got[1000 + i]]
+    clean = {r.doc_id: r.text for r in secrets.redacted(df).collect()}
+    assert sum(keys[i] not in clean[i] for i in range(200)) >= 180
+
+
 def test_redaction(spark):
     rows = [(1, "a password=abcdefgh b"), (2, None), (3, "x " + "0123456789abcdef01234567" + " y"), (4, "plain"), (5, "token=" + "ab12" * 8)]
     got = dict(map(tuple, secrets.redacted(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
