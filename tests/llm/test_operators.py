@@ -297,6 +297,26 @@ def test_cross_entropy_difference(spark, odd, none):
     assert lmscore.cross_entropy_difference(none, target).count() == 0
 
 
+def test_start_of_a_text_counts_the_whole_corpus(spark):
+    """Short texts with a common opening, in one chunk and in many, score as counted again without chunks."""
+    rng = random.Random(14)
+    rows = [(i, f"{rng.choice(['dear', 'dear', 'hello'])} " * (i % 5 > 0) + words(rng, rng.randrange(1, 4), 12)) for i in range(90)]
+    want = model_scores(rows, {i for i, _ in rows if i % 3 == 0})
+    docs = spark.createDataFrame(rows + [(1000, None), (1001, " .")], "doc_id long, text string")
+    marks = docs.filter("doc_id % 3 = 0 AND doc_id < 1000").select("doc_id")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # a partition is a chunk
+    try:
+        for parts in (1, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = {r.doc_id: r for r in lmscore.cross_entropy_difference(docs, marks).collect()}
+            assert len(got) == 92 and got[1000].score == got[1001].score == 0
+            for i, (a, b) in want.items():
+                assert got[i].target_loss == pytest.approx(a) and got[i].corpus_loss == pytest.approx(b)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def model_scores(rows, target):
     """The two losses of each text by counting everything again without it."""
     from collections import Counter

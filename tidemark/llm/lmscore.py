@@ -7,7 +7,8 @@ counts are taken off both. Low scores are close to the target.
 Counting and scoring are one exchange. A chunk of texts sends each distinct word and bigram once, with its two counts,
 to the bucket of its hash; the bucket adds the counts of all chunks and answers in the order it was asked; the chunk looks
 up its tokens. Frequent words are sent once a chunk like any other, so nothing is hot, and what is gathered grows with the
-corpus. The chunks are formed twice (see ``bytebpe``), from texts in a fixed order.
+corpus. The start of a text is a context like a word: its count is the number of texts with words in the whole corpus, in
+both models, however the texts are chunked. The chunks are formed twice (see ``bytebpe``), from texts in a fixed order.
 """
 
 from __future__ import annotations
@@ -31,6 +32,16 @@ START = np.uint64(0x5851F42D4C957F2D)
 PAIR = np.uint64(0xD6E8FEB86659FD93)
 
 
+def _order(keys, buckets: int):
+    """A key's bucket and low bits in one number."""
+    bucket = ((keys >> np.uint64(49)) * np.uint64(buckets) >> np.uint64(15)).astype(np.uint64)
+    return (bucket << np.uint64(48)) | (keys & LOW)
+
+
+def _start_key(buckets: int) -> int:
+    return int(_order(mixed(np.array([START])) << np.uint64(1), buckets)[0])
+
+
 def _tokens(held):
     """(name, ids, target flags, first token of each text, word hashes, bigram hashes) of a chunk."""
     table = pa.Table.from_batches(held).combine_chunks()
@@ -56,14 +67,13 @@ def _coded(held, buckets: int):
     # words take even keys and bigrams odd ones
     keys = np.concatenate([mixed(before), mixed(h), two]) << np.uint64(1)
     keys[2 * len(h) :] |= np.uint64(1)
-    bucket = ((keys >> np.uint64(49)) * np.uint64(buckets) >> np.uint64(15)).astype(np.uint64)
-    order = (bucket << np.uint64(48)) | (keys & LOW)
-    distinct, code = np.unique(order, return_inverse=True)
+    distinct, code = np.unique(_order(keys, buckets), return_inverse=True)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     own = code[len(h) :]  # contexts are words of the text too, counted once
     aim = np.tile(flags[text], 2)
     every = np.bincount(own, minlength=len(distinct))
     target = np.bincount(own[aim], minlength=len(distinct))
+    every[distinct == np.uint64(_start_key(buckets))] = (np.diff(first) > 0).sum()
     return name, ids, flags, first, text, code.reshape(3, -1), distinct, every, target
 
 
@@ -80,8 +90,12 @@ def _asked(rows: DataFrame, buckets: int) -> DataFrame:
     return in_batches(rows).mapInArrow(run, CHUNK)
 
 
-def _answered(asked: DataFrame) -> DataFrame:
-    """Per chunk and bucket the corpus counts of the keys asked for; one row per bucket, without a chunk, has its totals."""
+def _answered(asked: DataFrame, buckets: int) -> DataFrame:
+    """Per chunk and bucket the corpus counts of the keys asked for; one row per bucket, without a chunk, has its totals.
+
+    The totals are the distinct words, all words, those of target texts, and the texts with words.
+    """
+    start_bucket, start = divmod(_start_key(buckets), 1 << 48)
 
     def run(key, table):
         chunks = table.column("chunk").to_pylist()
@@ -94,9 +108,11 @@ def _answered(asked: DataFrame) -> DataFrame:
         distinct, code = np.unique(np.concatenate(keys), return_inverse=True)
         every = np.bincount(code, np.concatenate([g[1] for g in got]), len(distinct)).astype(np.int64)
         target = np.bincount(code, np.concatenate([g[2] for g in got]), len(distinct)).astype(np.int64)
-        word = distinct % 2 == 0
         b = key[0].as_py()
-        out = [(None, b, None, np.array([(word & (every > 0)).sum(), every[word].sum(), target[word].sum()], np.int64).tobytes())]
+        starts = (distinct == start) & (b == start_bucket)
+        word = (distinct % 2 == 0) & ~starts
+        out = [(None, b, None, np.array(
+            [(word & (every > 0)).sum(), every[word].sum(), target[word].sum(), every[starts].sum()], np.int64).tobytes())]
         at = np.cumsum([0] + [len(k) for k in keys])
         for c, ok, lo, hi in zip(chunks, first, at[:-1], at[1:]):
             if ok:
@@ -126,7 +142,7 @@ def _own(text, code, n: int):
     return count[back]
 
 
-def _scored(both: DataFrame, words: int, every_n: int, target_n: int) -> DataFrame:
+def _scored(both: DataFrame, words: int, every_n: int, target_n: int, texts_n: int) -> DataFrame:
     def run(key, table):
         rows = sorted(zip(*(table.column(c).to_pylist() for c in ("bucket", "id", "data"))), key=lambda r: r[0])
         twins = sum(r[0] == -1 for r in rows)
@@ -150,7 +166,6 @@ def _scored(both: DataFrame, words: int, every_n: int, target_n: int) -> DataFra
         for counts, total, seen in ((every, every_n, np.ones(len(text), bool)), (target, target_n, flags[text])):
             c1, c2 = counts[one] - own1 * seen, counts[two] - own2 * seen
             own_before = np.concatenate(([0], own1[:-1])) if len(one) else own1
-            texts_n = n  # a text starts once; its start is a context like a word
             before = np.where(starts, texts_n, counts[context] - own_before * seen)
             base = (c1 + 1) / (total - length * seen + words + 1)
             loss.append(-np.log2((c2 + STRENGTH * base) / (np.maximum(before, c2) + STRENGTH)))
@@ -177,8 +192,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
     # the same join at every size, whether the marks could be broadcast or not
     flagged = rows.join(marks.hint("merge"), "id", "left").select("id", "text", F.coalesce("aim", F.lit(False)).alias("aim"))
     flagged = flagged.sortWithinPartitions("id", F.xxhash64("text"))  # the same order each time it is read
-    answers = settle(_answered(_asked(flagged, buckets)))
-    sums = np.zeros(3, np.int64)
+    answers = settle(_answered(_asked(flagged, buckets), buckets))
+    sums = np.zeros(4, np.int64)
     for r in answers.filter("chunk IS NULL").select("data").toLocalIterator():  # a row per bucket
         sums += np.frombuffer(r.data, np.int64)
     both = answers.filter("chunk IS NOT NULL").union(_kept(flagged, buckets))
