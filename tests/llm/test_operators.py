@@ -74,6 +74,10 @@ def test_query_equals_sql(spark, name):
 # -- 1: near duplicates
 
 
+def test_links_query_equals_sql(spark):
+    assert diff(catalog.QUERIES["op1_ngram_jaccard_links"](spark, SF), connect(SF), catalog.ORACLES["op1_ngram_jaccard_links"]) is None
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     assert result(jaccard.near_duplicates(odd), "doc_id", "n_shingles", "component_id") == ordered(brute.near(odd_rows()))
     assert jaccard.near_duplicates(none).count() == 0
@@ -98,6 +102,38 @@ def test_near_duplicates_of_crowds(spark, monkeypatch):
     assert got == brute.near(rows)
 
 
+def test_links_of_crowds_and_odd_rows(spark, odd_links, none, monkeypatch):
+    """Every link is counted: inside crowds, across blocks, in chains, of copies and of rows without an id."""
+    for rows, block in odd_links:
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        sets = [brute.shingles(t) for _, t in rows]
+        linked = lambda x, y: bool(x & y) and 100 * len(x & y) >= 75 * len(x | y)
+        n_links = [sum(linked(x, y) for y in sets) - bool(x) for x in sets]
+        assert max(n_links) > 2
+        want = ordered((d, len(x), k) for (d, _), x, k in zip(rows, sets, n_links))
+        got = jaccard.link_counts(docs).cache()
+        assert result(got, "doc_id", "n_shingles", "n_links") == want
+        assert result(got, "doc_id", "n_shingles", "component_id") == ordered(brute.near(rows))
+    assert jaccard.link_counts(none).count() == 0
+
+
+@pytest.fixture(scope="module")
+def odd_links():
+    rng = random.Random(15)
+    crowd = []
+    for g in range(3):
+        base = words(rng, 90).split()
+        for _ in range(30):
+            w = list(base)
+            for _ in range(rng.randrange(5)):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(50)}"
+            crowd += [" ".join(w)] * rng.choice([1, 1, 1, 3])
+    chain = words(rng, 300, 5000).split()  # each links with its nearest only
+    crowd += [" ".join(chain[4 * i : 4 * i + 60]) for i in range(50)]
+    return [(list(enumerate(crowd)), 8), (odd_rows() + [(None, None), (20, "a b c d e")], 1024)]
+
+
 def test_bitmaps_bound_the_overlap():
     rng = np.random.default_rng(0)
     for _ in range(200):

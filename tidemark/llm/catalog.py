@@ -55,6 +55,15 @@ def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+# the contract's SQL of op1_ngram_jaccard_join has no column for the links, so they are a query of their own
+@query("op1_ngram_jaccard_links", NEAR_SQL.replace(
+    "SELECT n.doc_id, n.n AS n_shingles, min(r.other) AS component_id FROM",
+    "SELECT n.doc_id, n.n AS n_shingles, min(r.other) AS component_id, "
+    "(SELECT count(*) FROM links l WHERE l.a = n.doc_id) AS n_links FROM"))
+def ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_counts(table(spark, sf_dir, "documents"))
+
+
 TOP_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0

@@ -13,7 +13,11 @@ Two texts link when their sets of distinct 5-word shingles have a Jaccard simila
    is settled, so a crowd of near copies costs one comparison each. In the others the pairs *between* components are
    compared, the most promising first, until no untested pair can join two components. Large tiles are cut into blocks.
 
-No pair that could join two components is left out; only pairs inside a component that is known already are.
+No pair that could join two components is left out here; only pairs inside a component that is known already are.
+
+5. Where links are asked for, each component's pairs are then compared in full: in its tiles, or all with all where that
+   is less work. Pairs the bitmaps allow are made distinct and verified in cells of two blocks, to which each set is sent
+   once. The links of a set are multiplied out by the copies of the sets it links with.
 """
 
 from __future__ import annotations
@@ -243,10 +247,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return in_batches(rows.select("a", "b", "ta", "tb")).mapInArrow(run, "a long, b long, linked boolean")
 
 
-def _cell_pairs(node, comp, band, own, n, bits, within: bool, percent: int, most: int) -> tuple[list, bool]:
-    """Pairs whose bitmaps allow a link between two components, and whether some were held back.
+def _allowed(node, comp, band, own, n, bits, within: bool, percent: int):
+    """Positions i, j of the pairs of different components whose bitmaps allow a link, and their least difference.
 
-    Of each two components the ``most`` likeliest pairs are given: one link joins them. within: a block with itself.
+    within: a block with itself.
     """
     lists = []
     width = np.array([len(x) // 8 for x in bits])
@@ -268,7 +272,15 @@ def _cell_pairs(node, comp, band, own, n, bits, within: bool, percent: int, most
             may = 100 * common >= percent * union
             j = at[ok[may]]
             lists.append(np.stack([np.full(len(j), i), j, (union - common)[may]]))
-    i, j, far = np.concatenate(lists, axis=1) if lists else np.zeros((3, 0), np.int64)
+    return np.concatenate(lists, axis=1) if lists else np.zeros((3, 0), np.int64)
+
+
+def _cell_pairs(node, comp, band, own, n, bits, within: bool, percent: int, most: int) -> tuple[list, bool]:
+    """Pairs whose bitmaps allow a link between two components, and whether some were held back.
+
+    Of each two components the ``most`` likeliest pairs are given: one link joins them.
+    """
+    i, j, far = _allowed(node, comp, band, own, n, bits, within, percent)
     a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
     x, y = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
     order = np.lexsort((b, a, far, y, x))
@@ -318,14 +330,97 @@ def _between(open_tiles: DataFrame, sets: DataFrame, percent: int, most: int) ->
     return cells.groupBy("g").applyInArrow(run, "a long, b long, tile long").distinct()
 
 
-def similar_sets(docs: DataFrame, id_col: str, text_col: str, percent: int = 75) -> tuple[DataFrame, DataFrame]:
-    """(described, labels): per row id, n and fp; per fingerprint with a link, the label of its component."""
+def _candidates(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, comp), distinct: pairs of a component that share a tile and whose bitmaps allow a link.
+
+    members: (tile, comp, node, band), each node with the tiles its pairs are made in. Cells are cut as in ``_between``;
+    the tiles of a component send the same cell to the same group, which sends a pair once.
+    """
+    blocks = members.groupBy("tile", "comp").agg(F.count("node").alias("c")).filter("c > 1").select(
+        "tile", "comp", F.ceil(F.col("c") / BLOCK).alias("blocks"))
+    cells = (
+        members.join(sets.select(F.col("fp").alias("node"), "n", "bits"), "node").join(blocks, ["tile", "comp"])
+        .withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+        .withColumn("g", F.pmod(F.xxhash64("comp", "x", "y"), F.lit(CELL_GROUPS)))
+        .select("g", "tile", "comp", "x", "y", "node", "band", "own", "n", "bits")
+    )
+
+    def run(key, table):
+        found = []
+        for (comp, _, x, y), c in table.to_pandas().groupby(["comp", "tile", "x", "y"], sort=True):
+            node, band, own, n, bits = (c[k].to_numpy() for k in ("node", "band", "own", "n", "bits"))
+            i, j, _ = _allowed(node, node, band, own, n, bits, x == y, percent)
+            ends = np.stack([np.full(len(i), comp), np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1)
+            found.append(ends)
+            if sum(map(len, found[1:])) > len(found[0]):  # copies of a pair are dropped as they come
+                found = [np.unique(np.concatenate(found), axis=0)]
+        comp, a, b = np.unique(np.concatenate(found), axis=0).T
+        return pa.table({"a": pa.array(a), "b": pa.array(b), "comp": pa.array(comp)})
+
+    return cells.groupBy("g").applyInArrow(run, "a long, b long, comp long").distinct()
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs that link, by exact intersection in cells of two blocks of a component."""
+    sizes = labels.groupBy(F.col("label").alias("comp")).agg(F.ceil(F.count("node") / BLOCK).alias("blocks"))
+    placed = pairs.join(sizes, "comp").select("a", "b", F.xxhash64(
+        "comp", F.pmod(F.xxhash64("a"), "blocks"), F.pmod(F.xxhash64("b"), "blocks")).alias("cell"))
+    placed = settle(placed)
+    ends = placed.select("cell", F.col("a").alias("fp")).distinct().union(placed.select("cell", F.col("b").alias("fp")).distinct())
+    held = ends.distinct().join(texts, "fp").select(F.col("cell").alias("place"), "fp", "text")
+
+    def run(left, right):
+        a, b = (left.column(k).to_numpy() for k in ("a", "b"))
+        fp, sets = right.column("fp").to_numpy(), [s for _, s in shingle_sets(right.column("text"))]
+        size = np.array([len(s) for s in sets])
+        _, code = np.unique(np.concatenate(sets), return_inverse=True)
+        codes = np.split(code, np.cumsum(size)[:-1])
+        order = np.argsort(fp)
+        i, j = (order[np.searchsorted(fp, v, sorter=order)] for v in (a, b))
+        by = np.argsort(i, kind="stable")
+        common, mark = np.zeros(len(a), np.int64), np.zeros(code.max() + 1, np.int64)
+        at = starts_of(i[by])
+        for lo, hi in zip(at[:-1], at[1:]):
+            first = codes[i[by[lo]]]
+            mark[first] = 1
+            for k in range(lo, hi, BLOCK):
+                some = by[k : min(k + BLOCK, hi)]
+                others = j[some]
+                common[some] = np.add.reduceat(mark[np.concatenate([codes[o] for o in others])], np.cumsum(size[others]) - size[others])
+            mark[first] = 0
+        ok = 100 * common >= percent * (size[i] + size[j] - common)
+        return pa.table({"a": pa.array(a[ok]), "b": pa.array(b[ok])})
+
+    return placed.groupBy("cell").cogroup(held.groupBy("place")).applyInArrow(run, "a long, b long")
+
+
+def set_links(docs: DataFrame, described: DataFrame, tiles: DataFrame, labels: DataFrame, text_col: str, percent: int = 75) -> DataFrame:
+    """(a, b), a < b: every two different sets (fingerprints) that link, once; the arguments are those of ``similar_sets``."""
+    sets = described.filter("bits IS NOT NULL").groupBy("fp").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits"))
+    members = tiles.join(labels, "node").select("tile", F.col("label").alias("comp"), "node", "band")
+    inner = members.groupBy("comp", "tile").agg(F.count("node").alias("c"))
+    work = inner.groupBy("comp").agg(F.sum(F.col("c") * F.col("c")).alias("work"))
+    size = labels.groupBy(F.col("label").alias("comp")).agg(F.count("node").alias("size"))
+    whole = settle(work.join(size, "comp").select("comp", (F.col("size") * F.col("size") <= F.col("work")).alias("whole")))
+    members = members.join(whole, "comp").select(
+        F.when(F.col("whole"), F.col("comp")).otherwise(F.col("tile")).alias("tile"), "comp", "node", "band").distinct()
+    pairs = settle(_candidates(members, sets, percent))
+    return _linked(pairs, settle(_texts(docs, text_col, _ends(pairs))), labels, percent)
+
+
+def similar_sets(docs: DataFrame, id_col: str, text_col: str, percent: int = 75) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows, labels, described, tiles): per row id, n and fp; per fingerprint with a link, the label of its component.
+
+    described and tiles are what the links of the components can be made from, see ``set_links``.
+    """
     described = settle(_described(docs, id_col, text_col))
     rows = described.filter("fp IS NOT NULL").select("id", "n", "fp")
     sets = described.filter("bits IS NOT NULL").groupBy("fp").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits"))
     total = described.agg(F.sum("n")).first()[0] or 0
     buckets = max(16, int(total * (100 - percent) / 100 / BUCKET_ROWS))
-    tiles = settle(_tiles(_postings(docs, text_col, _crowding(described), percent, buckets)))
+    tiles = every = settle(_tiles(_postings(docs, text_col, _crowding(described), percent, buckets)))
 
     hubs = tiles.groupBy("tile").agg(F.min(F.struct("node", "band")).alias("h"))
     pairs = (
@@ -352,24 +447,43 @@ def similar_sets(docs: DataFrame, id_col: str, text_col: str, percent: int = 75)
             links = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
             tested, labels = settle(tested.union(now.select("a", "b"))), components(links.union(now.filter("linked").select("a", "b")))
         if done:
-            return rows, labels
+            return rows, labels, described, every
         most *= 16
 
 
+def _placed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per row id, n, fp and component_id."""
+    placed = rows.join(labels, rows.fp == labels.node, "left").select("id", "n", "fp", F.coalesce("label", "fp").alias("comp"))
+    least = placed.filter("n > 0").groupBy("comp").agg(F.min("id").alias("least"))
+    return placed.join(least, "comp", "left").select(
+        "id", "n", "fp", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """Per row of ``docs``: id, n_shingles and component_id, the least id reachable by links, its own included.
 
     Null and empty texts, and texts of white space only, have no shingles and link with nothing. Texts below five
     words are one shingle. Repeated rows stay, each with its component. A row without an id takes part in links; its
     component_id is the least id of the others, null if none has one. An empty table gives an empty table. Columns other
-    than the two named are not read.
+    than the two named are not read. The links themselves are counted by ``link_counts``.
     """
-    rows, labels = similar_sets(docs, id_col, text_col, percent)
-    placed = rows.join(labels, rows.fp == labels.node, "left").select("id", "n", "fp", F.coalesce("label", "fp").alias("comp"))
-    least = placed.filter("n > 0").groupBy("comp").agg(F.min("id").alias("least"))
-    return placed.join(least, "comp", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    rows, labels, _, _ = similar_sets(docs, id_col, text_col, percent)
+    return _placed(rows, labels).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """``near_duplicates`` with n_links: how many other rows of ``docs`` each row links with, its copies included.
+
+    Every link is counted, those inside a component too. Rows without an id count.
+    """
+    rows, labels, described, tiles = similar_sets(docs, id_col, text_col, percent)
+    links = settle(set_links(docs, described, tiles, labels, text_col, percent))
+    copies = settle(rows.filter("n > 0").groupBy("fp").agg(F.count(F.lit(1)).alias("copies")))
+    both = links.union(links.select("b", "a")).toDF("fp", "other")
+    near = both.join(copies.select(F.col("fp").alias("other"), "copies"), "other").groupBy("fp").agg(F.sum("copies").alias("near"))
+    counts = copies.join(near, "fp", "left").select("fp", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    return _placed(rows, labels).join(counts, "fp", "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -378,7 +492,7 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Texts without a word link with nothing and all stay. Columns are kept as they are. Only rows of groups are moved;
     a filter of fixed size tells most others apart where they are read.
     """
-    rows, labels = similar_sets(docs, id_col, text_col, percent)
+    rows, labels, _, _ = similar_sets(docs, id_col, text_col, percent)
     placed = rows.filter("n > 0").join(labels, rows.fp == labels.node, "left").select("id", "fp", F.coalesce("label", "fp").alias("comp"))
     first = F.struct(F.col("id").isNull().alias("x"), F.col("id").alias("id"), F.col("fp").alias("fp"))
     groups = placed.groupBy("comp").agg(F.count("fp").alias("n"), F.min(first).alias("first")).filter("n > 1")
