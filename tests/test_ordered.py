@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import indicators as ind
 from tidemark.plans import ordered as od
+from tidemark.plans.pieces import piece_of
 from tidemark.plans.settle import settle
 
 T0 = dt.datetime(2024, 1, 1)
@@ -167,3 +168,62 @@ def test_no_look_ahead(bars, make):
     at = T0 + dt.timedelta(days=60)
     early = bars.filter(F.col("ts") <= F.lit(at))
     assert rows_of(make(early)) == rows_of(make(bars).filter(F.col("ts") <= F.lit(at)))
+
+
+@pytest.fixture(scope="module")
+def crowd(spark):
+    """One symbol has nine tenths of the rows, all inside one hour; half of those share one instant."""
+    rng, rows = random.Random(11), []
+    for i in range(4000):
+        hot = rng.random() < 0.9
+        at = T0 + (dt.timedelta(microseconds=rng.randrange(3_600_000_000)) if hot else dt.timedelta(hours=rng.randrange(900)))
+        rows.append(("hot" if hot else rng.choice("abc"), T0 if hot and rng.random() < 0.5 else at, i, rng.choice([None, float(i)]), rng.randrange(9)))
+    return settle(spark.createDataFrame(rows, "sym string, ts timestamp, seq int, v double, w long"))
+
+
+@pytest.fixture
+def small_pieces(monkeypatch):
+    monkeypatch.setattr("tidemark.plans.pieces.PIECE_ROWS", 100)
+
+
+def test_pieces_are_even_and_ordered(crowd, small_pieces):
+    by = [F.col("sym"), F.col("ts"), F.col("seq")]
+    cut = crowd.withColumn("p", piece_of(crowd, by))
+    sizes = [r["count"] for r in cut.groupBy("p").count().collect()]
+    assert 30 <= len(sizes) <= 41 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+    falls = cut.withColumn("was", F.lag("p").over(Window.orderBy("sym", "ts", "seq"))).filter("p < was").count()
+    assert falls == 0
+    odd = crowd.withColumns({"sym": F.when(F.col("sym") != "a", F.col("sym")), "v": F.when(F.col("w") > 0, F.col("v"))})
+    odd = odd.withColumn("p", piece_of(odd, [F.col("sym"), F.col("v"), F.col("seq")]))  # nulls come first, as Spark sorts
+    assert odd.withColumn("was", F.lag("p").over(Window.orderBy("sym", "v", "seq"))).filter("p < was").count() == 0
+    assert crowd.filter("false").withColumn("p", piece_of(crowd.filter("false"), by)).count() == 0
+
+
+def test_prefix_sums_of_a_crowd(crowd, small_pieces):
+    got = od.prefix_sums(crowd, ["sym"], ["ts", "seq"], {"before": F.col("w")}, {"all": F.col("w")})
+    w = Window.partitionBy("sym").orderBy("ts", "seq")
+    want = crowd.withColumns({
+        "before": F.coalesce(F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "all": F.sum("w").over(Window.partitionBy("sym"))})
+    assert rows_of(got) == rows_of(want)
+    assert rows_of(od.numbered(crowd, ["sym"], ["ts", "seq"])) == rows_of(plain_numbered(crowd, ["sym"], ["ts", "seq"]))
+
+
+def test_running_last_of_a_crowd(crowd, small_pieces):
+    got = od.running_last(crowd, ["sym"], ["ts", "seq"], {"x": F.col("v")})
+    assert rows_of(got) == rows_of(plain_last(crowd, ["sym"], ["ts", "seq"], {"x": F.col("v")}))
+
+
+def test_asof_and_nearest_of_a_crowd(spark, crowd, small_pieces):
+    quotes = [(s, T0 + dt.timedelta(seconds=120 * i + 1), float(i)) for s in ("hot", "a") for i in range(-2, 40)]
+    right = spark.createDataFrame(quotes, "sym string, ts timestamp, q double")
+    as_of = {r.seq: r.q for r in od.asof_join(crowd, right, ["sym"], ["q"]).collect()}
+    close = {r.seq: r.q for r in od.nearest_join(crowd, right, ["sym"], ["ts", "seq"], "q", 45).collect()}
+    rows = crowd.collect()
+    assert len(as_of) == len(close) == len(rows)
+    for r in rows:
+        own = [(t, q) for s, t, q in quotes if s == r.sym]
+        past = [x for x in own if x[0] <= r.ts]
+        assert as_of[r.seq] == (max(past)[1] if past else None)
+        near = sorted((abs(t - r.ts), t, q) for t, q in own if abs(t - r.ts) <= dt.timedelta(seconds=45))
+        assert close[r.seq] == (near[0][2] if near else None)

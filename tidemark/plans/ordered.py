@@ -4,14 +4,15 @@
 pieces first and move only what a frame needs across the cuts:
 
 * ``row_frames``   fixed ROWS frames: blocks of consecutive rows plus a halo of neighbours (exact, gaps allowed);
-* ``numbered``     global row numbers and row counts per key, from per-slice counts;
-* ``running_last`` last non-null value so far: one value per (key, time slice) is carried into the next slices;
+* ``prefix_sums``  sums over the earlier rows of a key: the totals of the pieces before, plus those inside the piece;
+* ``numbered``     global row numbers and row counts per key, from per-piece counts;
+* ``running_last`` last non-null value so far: one value per (key, piece) is carried into the next pieces;
 * ``asof_join`` / ``nearest_join``  built on the above.
 
-The plan is the same for every size of the input.
-
-A *slice* is a fixed stretch of time, so the only per-key windows left run over one row per (key, slice), a number
-fixed by the calendar and not by the row count. Key columns must not be null.
+A *piece* is a range of (key, order) that holds about as many rows as any other (``pieces.piece_of``), so one hot key
+or one crowded hour is cut like everything else. The only per-key windows left run over one row per (key, piece).
+Where ``slice_seconds`` is given, pieces are fixed stretches of time instead: no row is sampled, which suits series on
+a grid (bars, days), whose rows per stretch the calendar bounds. Key columns must not be null.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .pieces import piece_of
+
 DAY = 86400
 BAR_SLICE = 30 * DAY
 BLOCK_ROWS = 8192
@@ -31,33 +34,52 @@ def slice_of(ts: str | Column, seconds: int) -> Column:
     return F.floor(F.unix_seconds(F.col(ts) if isinstance(ts, str) else ts) / F.lit(seconds))
 
 
-def numbered(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_seconds: int = BAR_SLICE
+def _pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_seconds: int | None) -> Column:
+    if slice_seconds:
+        return slice_of(order[0], slice_seconds)
+    return piece_of(df, [F.col(c) for c in (*keys, *order)])
+
+
+def prefix_sums(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], before: dict[str, Column],
+    whole: dict[str, Column] | None = None, slice_seconds: int | None = None,
 ) -> DataFrame:
-    """Add ``__rn`` (1-based row number in the key's order) and ``__n`` (rows of the key).
+    """Add each name in ``before``: the sum of its column over the earlier rows of the key (0 for the first).
 
-    ``order[0]`` is the timestamp, the rest are tie-breaks.
+    Each name in ``whole`` is the sum over all rows of the key. ``order`` should tell rows apart: which of two rows that
+    are alike in all of it comes first is left open, and such rows share a piece.
     """
-    keys = list(keys)
-    by_key = Window.partitionBy(*keys)
-    sliced = df.withColumn("__s", slice_of(order[0], slice_seconds))
-    counts = sliced.groupBy(*keys, "__s").agg(F.count(F.lit(1)).alias("__c"))
-    before = by_key.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        *keys,
-        "__s",
-        F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__o"),
-        F.sum("__c").over(by_key).alias("__n"),
+    keys, whole = list(keys), whole or {}
+    by_key, places = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("__s")
+    sliced = df.withColumn("__s", _pieces(df, keys, order, slice_seconds))
+    sums = {f"__b{i}": c for i, c in enumerate(before.values())} | {f"__w{i}": c for i, c in enumerate(whole.values())}
+    totals = sliced.groupBy(*keys, "__s").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    past = places.rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(
+        *keys, "__s",
+        *[F.coalesce(F.sum(f"__b{i}").over(past), F.lit(0)).alias(f"__b{i}") for i in range(len(before))],
+        *[F.sum(f"__w{i}").over(by_key).alias(f"__w{i}") for i in range(len(whole))],
     )
-    inside = Window.partitionBy(*keys, "__s").orderBy(*order)
+    inside = Window.partitionBy(*keys, "__s").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = {f"__o{i}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for i, c in enumerate(before.values())}
     return (
-        sliced.withColumn("__i", F.row_number().over(inside))
+        sliced.withColumns(own)
         .join(starts, [*keys, "__s"])
-        .withColumn("__rn", F.col("__o") + F.col("__i"))
-        .drop("__s", "__o", "__i")
+        .withColumns({n: F.col(f"__b{i}") + F.col(f"__o{i}") for i, n in enumerate(before)})
+        .withColumns({n: F.col(f"__w{i}") for i, n in enumerate(whole)})
+        .drop("__s", *sums, *own)
     )
 
 
+def numbered(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_seconds: int | None = None
+) -> DataFrame:
+    """Add ``__rn`` (1-based row number in the key's order) and ``__n`` (rows of the key)."""
+    one = F.lit(1).cast("bigint")
+    rows = prefix_sums(df, keys, order, {"__rn": one}, {"__n": one}, slice_seconds)
+    return rows.withColumn("__rn", F.col("__rn") + 1)
+
+
 def row_frames(
     df: DataFrame,
     keys: Sequence[str],
@@ -66,7 +88,7 @@ def row_frames(
     *,
     back: int = 0,
     ahead: int = 0,
-    slice_seconds: int = BAR_SLICE,
+    slice_seconds: int | None = None,
     block_rows: int = BLOCK_ROWS,
     keep_number: bool = False,
 ) -> DataFrame:
@@ -105,23 +127,16 @@ def running_last(
     keys: Sequence[str],
     order: Sequence[str],
     values: dict[str, Column],
-    slice_seconds: int = BAR_SLICE,
-    slice_ends: DataFrame | None = None,
+    slice_seconds: int | None = None,
 ) -> DataFrame:
-    """Add each name in ``values``: its last non-null value at or before the row in the key's order.
-
-    ``slice_ends`` may bring the last value of every (key, slice) when the caller knows a cheaper way to it.
-    """
+    """Add each name in ``values``: its last non-null value at or before the row in the key's order."""
     keys, names = list(keys), list(values)
     v, e = {n: f"__v{i}" for i, n in enumerate(names)}, {n: f"__e{i}" for i, n in enumerate(names)}
-    rows = df.withColumn("__s", slice_of(order[0], slice_seconds)).withColumns({v[n]: values[n] for n in names})
+    rows = df.withColumn("__s", _pieces(df, keys, order, slice_seconds)).withColumns({v[n]: values[n] for n in names})
     rank = F.struct(*[F.col(c) for c in order])
-    if slice_ends is None:
-        ends = rows.groupBy(*keys, "__s").agg(
-            *[F.max_by(v[n], F.when(F.col(v[n]).isNotNull(), rank)).alias(e[n]) for n in names]
-        )
-    else:
-        ends = slice_ends.withColumnsRenamed({n: e[n] for n in names})
+    ends = rows.groupBy(*keys, "__s").agg(
+        *[F.max_by(v[n], F.when(F.col(v[n]).isNotNull(), rank)).alias(e[n]) for n in names]
+    )
     before = Window.partitionBy(*keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(*keys, "__s", *[F.last(e[n], ignorenulls=True).over(before).alias(e[n]) for n in names])
     inside = (
@@ -144,32 +159,27 @@ def asof_join(
     left_ts: str = "ts",
     right_ts: str = "ts",
     right_time_as: str | None = None,
-    slice_seconds: int = BAR_SLICE,
+    slice_seconds: int | None = None,
 ) -> DataFrame:
     """Left join on the last right row at or before the left time, per key.
 
     Several right sides, given as (frame, values), are matched in the same pass. A right side holds at most one row
-    per key and time. ``keys`` may be empty: a series shared by all left rows.
+    per key and time. ``keys`` may be empty: a series shared by all left rows. Left rows of one instant are told apart
+    by a hash, so that an instant that most rows share is cut as well.
     """
     keys = list(keys)
     sides = [(rights, values)] if isinstance(rights, DataFrame) else list(rights)
     lcols = list(left.columns)
     both = left.select(
-        *keys, F.col(left_ts).alias("__ts"), F.lit(len(sides)).alias("__side"), F.struct(*lcols).alias("__l")
+        *keys, F.col(left_ts).alias("__ts"), F.lit(len(sides)).alias("__side"), F.xxhash64(*lcols).alias("__tie"),
+        F.struct(*lcols).alias("__l"),
     )
-    # last right row per slice, from the right sides alone; of the left side only its slices are needed
-    ends = left.select(*keys, slice_of(left_ts, slice_seconds).alias("__s")).distinct()
     for i, (right, names) in enumerate(sides):
         packed = F.struct(F.col(right_ts).alias("__rts"), *[F.col(n) for n in names])
         rhs = right.select(*keys, F.col(right_ts).alias("__ts"), F.lit(i).alias("__side"), packed.alias(f"__r{i}"))
         both = both.unionByName(rhs, allowMissingColumns=True)
-        last = right.groupBy(*keys, slice_of(right_ts, slice_seconds).alias("__s")).agg(
-            F.max_by(packed, right_ts).alias(f"__m{i}")
-        )
-        ends = ends.unionByName(last, allowMissingColumns=True)
     found_cols = {f"__m{i}": F.col(f"__r{i}") for i in range(len(sides))}
-    ends = ends.groupBy(*keys, "__s").agg(*[F.any_value(m, ignoreNulls=True).alias(m) for m in found_cols])
-    found = running_last(both, keys, ["__ts", "__side"], found_cols, slice_seconds, ends)
+    found = running_last(both, keys, ["__ts", "__side", "__tie"], found_cols, slice_seconds)
     out = [F.col(f"__l.{c}").alias(c) for c in lcols]
     if right_time_as:
         out.append(F.col("__m0.__rts").alias(right_time_as))
@@ -225,23 +235,32 @@ def nearest_join(
     """For every left row the right ``value`` nearest in ``ts`` within the tolerance (inclusive, ties: earlier).
 
     ``left_id`` (with ``keys``) identifies a left row. ``extra_keys`` are right columns that each get their own match.
-    Both sides are cut into buckets of the tolerance; a left row only meets the three buckets around it.
+    The candidates are the last right row at or before and the first one after; both come from one running pass, so a
+    crowded stretch of time is neither sorted in one task nor paired row by row.
     """
     keys, left_id, extra = list(keys), list(left_id), list(extra_keys)
-    tol = F.lit(int(tolerance_s * 1_000_000))
-    us = F.unix_micros("ts")
-    bucket = F.floor(us / tol)
-    lhs = left.select(
-        *keys, *left_id, us.alias("__lt"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("__k")
-    )
-    rhs = right.select(*keys, *extra, us.alias("__rt"), bucket.alias("__k"), F.col(value).alias("__v"))
-    dt = F.abs(F.col("__lt") - F.col("__rt"))
-    hits = (
-        lhs.join(rhs, [*keys, "__k"])
-        .filter(dt <= tol)
-        .groupBy(*keys, *left_id, *extra)
-        .agg(F.min_by("__v", F.struct(dt, F.col("__rt"))).alias(value))
-    )
+    us = lambda: F.unix_micros("ts")
+    each = [*keys, *extra]
+    sides = left.select(*keys, *left_id, us().alias("__t"))
+    if extra:  # a left row asks for the extra keys that occur in its bucket of the tolerance or in one beside it
+        bucket = lambda t: F.floor(t / F.lit(int(tolerance_s * 1_000_000) + 1))
+        kinds = right.select(*each, bucket(us()).alias("__k")).distinct()
+        b = bucket(F.col("__t"))
+        sides = sides.withColumn("__k", F.explode(F.array(b - 1, b, b + 1))).join(kinds, [*keys, "__k"]).drop("__k")
+    sides = sides.distinct()
+    marks = sides.select(*each, "__t", F.lit(1).alias("__side"), F.xxhash64(*left_id).alias("__tie"), F.struct(*left_id).alias("__l"))
+    seen = right.select(*each, us().alias("__t"), F.lit(0).alias("__side"), F.struct(us().alias("t"), F.col(value).alias("v")).alias("__r"))
+    both = marks.unionByName(seen, allowMissingColumns=True)
+    past = running_last(both, each, ["__t", "__side", "__tie"], {"__p": F.col("__r")})
+    # the same backwards; a right row at the very time has been found already
+    turned = past.withColumns({"__t": -F.col("__t"), "__side": -F.col("__side")})
+    found = running_last(turned, each, ["__t", "__side", "__tie"], {"__q": F.col("__r")}).filter("__l IS NOT NULL")
+    at = -F.col("__t")
+    back, ahead = at - F.col("__p.t"), F.col("__q.t") - at
+    near = F.when(ahead < F.coalesce(back, ahead + 1), F.struct(ahead.alias("d"), F.col("__q.v").alias("v"))).otherwise(
+        F.struct(back.alias("d"), F.col("__p.v").alias("v")))
+    hits = found.withColumn("__m", near).filter(F.col("__m.d") <= int(tolerance_s * 1_000_000)).select(
+        *each, *[F.col(f"__l.{c}").alias(c) for c in left_id], F.col("__m.v").alias(value))
     if how == "matches":
         return hits
     return left.join(hits, [*keys, *left_id], "left")
