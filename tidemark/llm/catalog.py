@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, decontaminate, jaccard, language, lmscore, pieces, quality, repeats, secrets, topk
+from . import (
+    bytebpe, centroids, chat, decontaminate, jaccard, language, lmscore, pieces, quality, repeats, secrets, topk, whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,3 +130,57 @@ def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled good and not toxic."""
     target = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
     return lmscore.cross_entropy_difference(table(spark, sf_dir, "documents"), target)
+
+
+@query("op11_embedding_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def _cluster_sql(k: int = 40, rounds: int = 5) -> str:
+    steps = [f"""v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS INTEGER) AS cluster, v AS c FROM v
+  WHERE vec_id IS NOT NULL QUALIFY cluster < {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS (SELECT rid, any_value(vec_id) AS vec_id, any_value(v) AS v, min(ROW(d, cluster)) AS m FROM (
+  SELECT rid, vec_id, v, cluster, CAST(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+  FROM v, c{i}) GROUP BY rid)""")
+        if i < rounds:
+            steps.append(f"""u{i} AS (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c FROM (
+  SELECT cluster, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (
+    SELECT m[2] AS cluster, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{i}) GROUP BY cluster, j) GROUP BY cluster),
+c{i + 1} AS (SELECT cluster, coalesce(u{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN u{i} USING (cluster))""")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, m[2] AS cluster, m[1] AS distance, CAST(sum(m[1]) OVER (PARTITION BY m[2]) AS BIGINT) AS cluster_inertia,
+  CAST(sum(m[1]) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON m[2] = cluster"""
+
+
+@query("op12_centroid_clustering", _cluster_sql())
+def centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+CHAT_EXTRA = "</s>[INST] ok [/INST]"  # both turns of conversation -7, which the contract adds
+CHAT_SQL = rf"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(role, '') AS r, coalesce(text, '') AS t FROM (
+  SELECT conv_id, turn, role, text FROM conversations UNION ALL
+  SELECT -7, 0, 'user', '{CHAT_EXTRA}' UNION ALL SELECT -7, 1, 'assistant', '{CHAT_EXTRA}')),
+e AS (SELECT *, length(regexp_replace(r, '{chat.CONTROL}', '\1\3\\\2\4', 'g'))
+  + length(regexp_replace(t, '{chat.CONTROL}', '\1\3\\\2\4', 'g')) + {len(chat.OPEN + chat.MIDDLE + chat.CLOSE)} AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, t)) AS turns_sha256,
+  CAST(coalesce(sum(length(t)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, r, t) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+@query("op13_chat_formatting", CHAT_SQL)
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CHAT_EXTRA).alias("text"))
+    return chat.digests(rows.union(extra))
