@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from ..functions.exprs import BETA_TERMS
 from ..operators import research as op
 from ..operators.regimes import split_windows
 from ..plans.settle import settle
@@ -179,7 +180,29 @@ def _(spark, d):
     return scored(Views(spark, d))
 
 
+# two-sided p-value of column t with df degrees of freedom: the same continued fraction, folded from its last term
+_STEPS = f"list_transform(range({BETA_TERMS + 1}, 0, -1), lambda k: k::DOUBLE)"  # the first is only where the fold starts
+
+
+def _fraction_sql(x, a, b):
+    return f"""list_reduce({_STEPS}, lambda u, k: 1 + CASE WHEN k % 2 = 0
+      THEN floor(k / 2) * ({b} - floor(k / 2)) * {x} / (({a} + 2 * floor(k / 2) - 1) * ({a} + 2 * floor(k / 2)))
+      ELSE -({a} + floor(k / 2)) * ({a} + {b} + floor(k / 2)) * {x} / (({a} + 2 * floor(k / 2)) * ({a} + 2 * floor(k / 2) + 1)) END / u, 1.0::DOUBLE)"""
+
+
+def _p_sql(src):
+    front = "exp(a * ln(x) + 0.5 * ln(1 - x) + lgamma(a + 0.5) - lgamma(a) - lgamma(0.5))"
+    return f"""SELECT * EXCLUDE (a, x), CASE WHEN abs(ic) >= 1 THEN 0.0e0 WHEN x <= 0 THEN 0.0e0 WHEN x >= 1 THEN 1.0e0
+      WHEN x < (a + 1) / (a + 2.5) THEN {front} / (a * {_fraction_sql("x", "a", "0.5e0")})
+      ELSE 1 - {front} / (0.5 * {_fraction_sql("(1 - x)", "0.5e0", "a")}) END AS p
+      FROM (SELECT *, (n - 2) / 2.0e0 AS a, (n - 2) / (n - 2 + t_stat * t_stat) AS x FROM ({src}))"""
+
+
 def _ic_sql(src, by, x, y, n):
+    return _p_sql(_t_sql(src, by, x, y, n))
+
+
+def _t_sql(src, by, x, y, n):
     return f"""SELECT {by}, n, CASE WHEN n >= {n} THEN ic END AS ic, CASE WHEN n >= {n} AND abs(ic) < 1 THEN ic * sqrt((n - 2) / (1 - ic * ic)) END AS t_stat FROM (
       SELECT {by}, count(*) AS n, corr(rx, ry) AS ic FROM (
         SELECT {by}, rank() OVER (PARTITION BY {by} ORDER BY {x}) + (count(*) OVER (PARTITION BY {by}, {x}) - 1) / 2.0e0 AS rx,
@@ -190,7 +213,7 @@ def _ic_sql(src, by, x, y, n):
 VIEWS["ic"] = _ic_sql("slong", "sym, h", "score", "ret", 10)
 
 
-@query("rank_ic", "sym h:i n:i ic:f6 t_stat:f6 inverted:f6", "SELECT *, -ic AS inverted FROM ic")
+@query("rank_ic", "sym h:i n:i ic:f6 t_stat:f6 p:f9 inverted:f6", "SELECT *, -ic AS inverted FROM ic")
 def _(spark, d):
     return op.rank_ic(slong(Views(spark, d)), ["sym"]).withColumn("inverted", -F.col("ic"))
 
@@ -236,7 +259,7 @@ VIEWS["lead_rows"] = " UNION ALL ".join(
 )
 
 
-@query("issuance_lead_ic", "label kind h:i n:i ic:f6 t_stat:f6", _ic_sql("lead_rows", "label, kind, h", "x", "ret", 20))
+@query("issuance_lead_ic", "label kind h:i n:i ic:f6 t_stat:f6 p:f9", _ic_sql("lead_rows", "label, kind, h", "x", "ret", 20))
 def _(spark, d):
     from .flows import issuance
 
