@@ -200,11 +200,11 @@ def test_pieces_are_even_and_ordered(crowd, small_pieces):
 
 
 def test_prefix_sums_of_a_crowd(crowd, small_pieces):
-    got = od.prefix_sums(crowd, ["sym"], ["ts", "seq"], {"before": F.col("w")}, {"all": F.col("w")})
+    got = od.prefix_sums(crowd, ["sym"], ["ts", "seq"], {"before": F.col("w")}, {"all": F.col("w")}, {"next": F.col("v")})
     w = Window.partitionBy("sym").orderBy("ts", "seq")
     want = crowd.withColumns({
         "before": F.coalesce(F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "all": F.sum("w").over(Window.partitionBy("sym"))})
+        "all": F.sum("w").over(Window.partitionBy("sym")), "next": F.lead("v").over(w)})
     assert rows_of(got) == rows_of(want)
     assert rows_of(od.numbered(crowd, ["sym"], ["ts", "seq"])) == rows_of(plain_numbered(crowd, ["sym"], ["ts", "seq"]))
 
@@ -227,3 +227,26 @@ def test_asof_and_nearest_of_a_crowd(spark, crowd, small_pieces):
         assert as_of[r.seq] == (max(past)[1] if past else None)
         near = sorted((abs(t - r.ts), t, q) for t, q in own if abs(t - r.ts) <= dt.timedelta(seconds=45))
         assert close[r.seq] == (near[0][2] if near else None)
+
+
+def test_dedup_of_very_many_blocks(spark):
+    """A hundred thousand blocks of one key and side, a few of another; the kept ones against a plain walk."""
+    rng = random.Random(4)
+    hot, at = [], -50
+    for _ in range(150_000):
+        at += rng.choice([1, 2, 3, 5, 9])
+        hot.append(at)
+    few = sorted(rng.sample(range(10**6), 30))
+    rows = [("hot", "up", p) for p in hot] + [("few", "down", p) for p in few]
+    t = spark.createDataFrame(rows, "sym string, side string, pos long")
+    got = {}
+    for r in ind.dedup_triggers(t, ["sym"], 4, block=5).collect():
+        got.setdefault(r.sym, []).append(r.pos)
+    for sym, ps in (("hot", hot), ("few", few)):
+        want, last = [], -(10**9)
+        for p in ps:
+            if p - last >= 4:
+                want.append(p)
+                last = p
+        assert sorted(got[sym]) == want
+    assert ind.dedup_triggers(t.filter("false"), ["sym"], 4).count() == 0

@@ -135,9 +135,45 @@ def _(spark, d):
     return op.transition_drift(Views(spark, d).states(), KEY, 3, FIRST, LENGTH, STEP)
 
 
-@query("block_bootstrap", "sym i:i j:i lo:f6 mid:f6 hi:f6 draws:i")
+BLOCK, DRAWS, BOOT_SEED = 20, 200, 42
+
+
+def _draw_sql(m: str) -> str:
+    """``counter_draw`` + 1 for the block of number ``m`` of a resample."""
+    x = f"CAST('0x' || substr(md5('{BOOT_SEED}:' || sym), 1, 7) AS BIGINT)"
+    steps, at = [], "x0"
+    for part in ("draw", m):
+        steps.append((f"({at} + {part})", f"y{len(steps)}"))
+        at = steps[-1][1]
+        for mix in op.MIXERS:
+            steps.append((f"((xor({at}, {at} >> 13) * {mix} + 12345) % {op.PRIME})", f"y{len(steps)}"))
+            at = steps[-1][1]
+    inner = f"SELECT {x} AS x0"
+    for expr, name in steps:
+        inner = f"SELECT *, {expr} AS {name} FROM ({inner})"
+    return f"(SELECT {at} % (n - {BLOCK}) + 1 FROM ({inner}))"
+
+
+@query(
+    "block_bootstrap",
+    "sym i:i j:i lo:f6 mid:f6 hi:f6 draws:i",
+    f"""WITH nums AS (SELECT sym, state, row_number() OVER (PARTITION BY sym ORDER BY ts) AS rn, count(*) OVER (PARTITION BY sym) AS n FROM states),
+       sizes AS (SELECT sym, any_value(n) AS n FROM nums GROUP BY sym HAVING any_value(n) > {BLOCK}),
+       slots AS (SELECT sym, n, d.draw, b.m FROM sizes, range(1, {DRAWS + 1}) AS d(draw), range(1, 100000) AS b(m) WHERE b.m <= n // {BLOCK}),
+       plan AS (SELECT *, {_draw_sql("m")} AS start, {_draw_sql("m + 1")} AS following FROM slots),
+       steps AS (
+         SELECT p.sym, p.draw, a.state AS i, b.state AS j FROM plan p JOIN nums a ON a.sym = p.sym AND a.rn BETWEEN p.start AND p.start + {BLOCK - 2}
+           JOIN nums b ON b.sym = p.sym AND b.rn = a.rn + 1
+         UNION ALL SELECT p.sym, p.draw, a.state, b.state FROM plan p JOIN nums a ON a.sym = p.sym AND a.rn = p.start + {BLOCK - 1}
+           JOIN nums b ON b.sym = p.sym AND b.rn = p.following WHERE p.m < p.n // {BLOCK}),
+       c AS (SELECT sym, draw, i, j, count(*) AS n FROM steps GROUP BY ALL),
+       g AS (SELECT s.sym, d.draw, a.i, b.j, coalesce(c.n, 0) AS n FROM sizes s CROSS JOIN range(1, {DRAWS + 1}) AS d(draw) CROSS JOIN range(0, 3) AS a(i)
+         CROSS JOIN range(0, 3) AS b(j) LEFT JOIN c ON c.sym = s.sym AND c.draw = d.draw AND c.i = a.i AND c.j = b.j),
+       p AS (SELECT *, (n + 1.0e0) / (sum(n) OVER (PARTITION BY sym, draw, i) + 3) AS p FROM g)
+       SELECT sym, i, j, quantile_cont(p, 0.025) AS lo, quantile_cont(p, 0.5) AS mid, quantile_cont(p, 0.975) AS hi, count(*) AS draws FROM p GROUP BY sym, i, j""",
+)
 def _(spark, d):
-    return op.block_bootstrap(settle(Views(spark, d).states()), KEY, 3, 200)
+    return op.block_bootstrap(settle(Views(spark, d).states()), KEY, 3, DRAWS, BLOCK, seed=BOOT_SEED)
 
 
 # the quarter (or fifth) of the day stands in for a state

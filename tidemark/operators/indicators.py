@@ -387,43 +387,49 @@ def forward_return(bars: DataFrame, keys: Sequence[str], horizons: Sequence[int]
     return row_frames(bars, keys, ["ts"], add, ahead=max(horizons), keep_number=keep_number)
 
 
+FAN = 64  # blocks, or groups of them, whose transfer tables one composition takes together
+
+
 def dedup_triggers(triggers: DataFrame, keys: Sequence[str], gap: int, block: int = 4096) -> DataFrame:
     """Greedy thinning per key and side: keep a trigger when it lies ``gap`` bars past the last kept one.
 
     The rule is sequential, but a block of bars sees the past only through one number: how many of its first bars are
-    still blocked (0 .. gap-1). Each block works out the outcome for every such number, one short list per key then
-    chains the blocks, and each block replays its triggers from the right start. A block holds at most one trigger per
-    bar and the list one entry per block, so nothing grows with the number of triggers of a key.
+    still blocked (0 .. gap-1). Its transfer table says, for every such number, which trigger is the last kept. Tables of
+    FAN neighbours are composed into one, those again, and so on up to one per key; then the state before each group is
+    handed down the same way, and every block replays its triggers from the right start. A block holds at most one
+    trigger per bar, a composition FAN tables, and the rounds grow with the logarithm of the number of blocks.
     """
     by = [*keys, "side"]
     size = max(block, gap)
-    triggers = settle(triggers)  # read for the blocks, the chain of blocks and the result
-    blk = F.floor(F.col("pos") / size)
-    blocks = triggers.groupBy(*by, blk.alias("blk")).agg(F.sort_array(F.collect_list("pos")).alias("ps"))
-    start = F.col("blk") * size
-
-    def last_kept(first_last):
-        return F.aggregate("ps", first_last, lambda last, p: F.when(p - last >= gap, p).otherwise(last))
-
-    ends = F.transform(F.sequence(F.lit(0), F.lit(gap - 1)), lambda a: last_kept(start + a - F.lit(gap).cast("bigint")))
-    chain = blocks.select(*by, F.struct("blk", start.alias("start"), ends.alias("ends")).alias("b")).groupBy(*by).agg(
-        F.sort_array(F.collect_list("b")).alias("bs")
-    )
-    zero = F.struct(
-        F.lit(-(2**60)).cast("bigint").alias("last"),
-        F.array().cast("array<struct<blk:bigint,a:bigint>>").alias("out"),
-    )
-
-    def step(acc, b):
-        a = F.greatest(acc["last"] + gap - b["start"], F.lit(0).cast("bigint"))
-        entry = F.struct(b["blk"].alias("blk"), a.alias("a"))
-        return F.struct(
-            F.get(b["ends"], a.cast("int")).alias("last"), F.concat(acc["out"], F.array(entry)).alias("out")
-        )
-
-    entries = chain.select(*by, F.inline(F.aggregate("bs", zero, step)["out"]))
-    none = F.array().cast("array<bigint>")
-    first = F.struct((start + F.col("a") - gap).cast("bigint").alias("last"), none.alias("kept"))
+    triggers = settle(triggers)  # read for the blocks, for their range and for the result
+    span = triggers.agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).first()
+    base, hi = (span.lo or 0) // size, (span.hi or 0) // size - (span.lo or 0) // size
+    blk = F.floor(F.col("pos") / size) - base  # counted from the first, so that groups of groups end in one
+    blocks = settle(triggers.groupBy(*by, blk.alias("g")).agg(F.sort_array(F.collect_list("pos")).alias("ps")))
+    start = (F.col("g") + base) * size
+    ends = F.transform(
+        F.sequence(F.lit(0), F.lit(gap - 1)),
+        lambda a: F.aggregate("ps", start + a - F.lit(gap).cast("bigint"),
+                              lambda last, p: F.when(p - last >= gap, p).otherwise(last)))
+    tables = [settle(blocks.select(*by, "g", start.alias("start"), ends.alias("ends")))]
+    over = lambda last, b: F.greatest(last + gap - b["start"], F.lit(0)).cast("int")  # noqa: E731  bars of b still blocked
+    while hi:
+        parts = tables[-1].groupBy(*by, F.floor(F.col("g") / FAN).alias("g")).agg(
+            F.sort_array(F.collect_list(F.struct("g", "start", "ends"))).alias("bs"))
+        through = F.aggregate(F.slice("bs", 2, FAN), F.col("bs")[0]["ends"],
+                              lambda acc, b: F.transform(acc, lambda last: F.get(b["ends"], over(last, b))))
+        tables.append(settle(parts.select(*by, "g", F.col("bs")[0]["start"].alias("start"), through.alias("ends"))))
+        hi //= FAN
+    before = tables.pop().select(*by, "g", F.lit(-(2**60)).cast("bigint").alias("last"))
+    for below in reversed(tables):
+        parts = below.groupBy(*by, F.floor(F.col("g") / FAN).alias("g")).agg(
+            F.sort_array(F.collect_list(F.struct("g", "start", "ends"))).alias("bs"))
+        zero = F.struct(F.col("last"), F.array().cast("array<struct<g:bigint,last:bigint>>").alias("out"))
+        walk = F.aggregate("bs", zero, lambda acc, b: F.struct(
+            F.get(b["ends"], over(acc["last"], b)).alias("last"),
+            F.concat(acc["out"], F.array(F.struct(b["g"].alias("g"), acc["last"].alias("last")))).alias("out")))
+        before = settle(parts.join(before, [*by, "g"]).select(*by, F.inline(walk["out"])))
+    first = F.struct(F.greatest(F.col("last"), start - gap).alias("last"), F.array().cast("array<bigint>").alias("kept"))
     replay = F.aggregate(
         "ps",
         first,
@@ -431,7 +437,7 @@ def dedup_triggers(triggers: DataFrame, keys: Sequence[str], gap: int, block: in
             p - acc["last"] >= gap, F.struct(p.alias("last"), F.concat(acc["kept"], F.array(p)).alias("kept"))
         ).otherwise(acc),
     )
-    kept = blocks.join(entries, [*by, "blk"]).select(*by, F.explode(replay["kept"]).alias("pos"))
+    kept = blocks.join(before, [*by, "g"]).select(*by, F.explode(replay["kept"]).alias("pos"))
     return triggers.join(kept, [*by, "pos"], "left_semi")
 
 

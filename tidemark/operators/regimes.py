@@ -6,7 +6,9 @@ until a hidden Markov model is fitted or decoded.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import div, ladder
-from ..plans.ordered import row_frames, running_last, top_k
+from ..plans.ordered import numbered, row_frames, running_last, top_k
 from ..plans.settle import settle
 from ..plans.ranks import exact_quantiles
 from .indicators import last_rows
@@ -42,9 +44,7 @@ def split_windows(rows: DataFrame, train_end: str, val_end: str) -> DataFrame:
 
 def transitions(states: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Each row with the next row's state as ``nxt`` (null at the end); numbers kept."""
-    return row_frames(
-        states, keys, ["ts"], lambda r, w: r.withColumn("nxt", F.lead("state").over(w)), ahead=1, keep_number=True
-    )
+    return numbered(states, keys, ["ts"], following={"nxt": F.col("state")})
 
 
 def grid(keys_df: DataFrame, k: int) -> DataFrame:
@@ -140,20 +140,42 @@ def homogeneity_g2(states: DataFrame, keys: Sequence[str], k: int, periods: int
     for c in cuts:
         ends = ends | (F.col("__rn") == c)
     pairs = rows.withColumn("period", period).filter(F.col("nxt").isNotNull() & ~ends)
-    n = pairs.groupBy(*keys, "period", F.col("state").alias("i"), F.col("nxt").alias("j")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    # the rest works on at most periods x K x K rows per key
-    row_p, row_all = Window.partitionBy(*keys, "period", "i"), Window.partitionBy(*keys, "i")
-    cell_all = Window.partitionBy(*keys, "i", "j")
-    pooled = F.sum("n").over(cell_all) / F.sum("n").over(row_all)
-    e = n.withColumn("__e", F.sum("n").over(row_p) * pooled)
+    # one row per key: every count is a column, the rest is arithmetic on it
+    seen = pairs.groupBy(*keys).agg(*[
+        F.count_if((F.col("period") == p) & (F.col("state") == i) & (F.col("nxt") == j)).alias(f"n_{p}_{i}_{j}")
+        for p in range(periods) for i in range(k) for j in range(k)])
+    n = lambda p, i, j: F.col(f"n_{p}_{i}_{j}")
+    total = lambda cells: reduce(lambda a, b: a + b, cells)
+    every = {(i, j): total(n(p, i, j) for p in range(periods)) for i in range(k) for j in range(k)}
+    parts = []
+    for i in range(k):
+        pooled = total(every[i, j] for j in range(k))
+        for p in range(periods):
+            own = total(n(p, i, j) for j in range(k))
+            for j in range(k):
+                e = own * every[i, j] / F.nullif(pooled, F.lit(0))
+                parts.append(F.when(n(p, i, j) > 0, 2 * n(p, i, j) * F.log(n(p, i, j) / e)).otherwise(0.0))
     dof = (periods - 1) * k * (k - 1)
-    return (
-        e.groupBy(*keys)
-        .agg(F.sum(2 * F.col("n") * F.log(F.col("n") / F.col("__e"))).alias("g2"))
-        .withColumns({"dof": F.lit(dof), "p": chi2_tail(F.col("g2"), dof)})
-    )
+    return seen.select(*keys, total(parts).alias("g2")).withColumns({"dof": F.lit(dof), "p": chi2_tail(F.col("g2"), dof)})
+
+
+PRIME = 2**31 - 1
+MIXERS = (48271, 69621, 16807)  # primitive roots of PRIME
+
+
+def counter_draw(seed: int, keys: Sequence[str], counters: Sequence[Column], below: Column) -> Column:
+    """A number from 0 to ``below`` - 1 that depends on the seed, the row's key and the counters alone.
+
+    Every step stays under 2^62 in whole numbers, so another engine that has md5 and integers draws the same: the key's
+    digest and the counters are taken in one by one, each spread by a multiplication modulo a prime.
+    """
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in keys]))
+    x = F.conv(F.substring(key, 1, 7), 16, 10).cast("bigint")
+    for part in counters:
+        x = x + part.cast("bigint")
+        for m in MIXERS:
+            x = (x.bitwiseXOR(F.shiftright(x, 13)) * m + 12345) % PRIME
+    return x % below
 
 
 def block_bootstrap(
@@ -162,7 +184,7 @@ def block_bootstrap(
     """Percentile bands of the transition probabilities over block resamples.
 
     The transitions inside a block are known for every possible start, so a resample is a join of drawn starts with
-    that table; the seam to the following block is drawn by the same hash and joined too. Draws run in parallel.
+    that table; the seam to the following block is drawn by the same numbers and joined too. Draws run in parallel.
     """
     keys = list(keys)
     pairs = [(i, j) for i in range(k) for j in range(k)]
@@ -181,7 +203,7 @@ def block_bootstrap(
         *keys, F.col("__rn").alias("at"), F.col("state").alias("first_state"), "last_state", *inner
     )
     sizes = table.groupBy(*keys).agg(F.max("__n").alias("n"))
-    draw = lambda m: F.pmod(F.xxhash64(F.lit(seed), *keys, "draw", m), F.col("n") - block) + 1
+    draw = lambda m: counter_draw(seed, keys, [F.col("draw"), m], F.col("n") - block) + 1
     plan = (
         sizes.filter(F.col("n") > block)
         .withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
@@ -264,22 +286,36 @@ def rolling_windows(rows: DataFrame, first: str, length_s: int, step_s: int) ->
 def transition_drift(states: DataFrame, keys: Sequence[str], k: int, first: str, length_s: int, step_s: int) -> DataFrame:
     """How much each transition probability moves over rolling windows that are filled to their end.
 
-    A transition belongs to a window when both its ends do.
+    A transition belongs to a window when both its ends do. Rows are read once, into counts per pane, a stretch that
+    window starts and ends are multiples of; windows are sums of panes, so what is repeated for overlapping windows is
+    a few counts and no row.
     """
     keys = list(keys)
 
     def add(rows, w):
         return rows.withColumns({"nxt": F.lead("state").over(w), "nxt_ts": F.lead("ts").over(w)})
 
+    pane_s = math.gcd(length_s, step_s)
+    origin = F.unix_seconds(F.lit(first).cast("timestamp"))
+    pane = lambda ts: F.floor((F.unix_seconds(ts) - origin) / pane_s)
     rows = row_frames(states, keys, ["ts"], add, ahead=1)
-    spans = rows.groupBy(*keys).agg(F.max("ts").alias("last_ts"))
-    win = rolling_windows(rows, first, length_s, step_s).join(spans, keys)
-    end = F.unix_seconds(F.lit(first).cast("timestamp")) + F.col("window") * step_s + length_s
-    win = settle(win.filter(F.unix_seconds("last_ts") >= end))
+    panes = settle(
+        rows.groupBy(*keys, pane("ts").alias("p0"), pane("nxt_ts").alias("p1"), F.col("state").alias("i"), F.col("nxt").alias("j"))
+        .agg(F.count(F.lit(1)).alias("c"), F.max("ts").alias("last_ts")))
+    spans = panes.groupBy(*keys).agg(F.max("last_ts").alias("last_ts"))
+    age = F.col("p0") * pane_s
+    oldest = F.greatest(F.lit(0).cast("bigint"), F.floor((age - length_s) / step_s) + 1)
+    win = (
+        panes.drop("last_ts").filter(age >= 0)
+        .withColumn("window", F.explode(F.sequence(oldest, F.floor(age / step_s))))
+        .join(spans, keys)
+    )
+    end = F.col("window") * step_s + length_s
+    win = settle(win.filter(F.unix_seconds("last_ts") - origin >= end))
     n = (
-        win.filter(F.unix_seconds("nxt_ts") < end)
-        .groupBy(*keys, "window", F.col("state").alias("i"), F.col("nxt").alias("j"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        win.filter((F.col("p1") + 1) * pane_s <= end)
+        .groupBy(*keys, "window", "i", "j")
+        .agg(F.sum("c").alias("n"))
     )
     full = grid(win.select(*keys, "window").distinct(), k).join(n, [*keys, "window", "i", "j"], "left").na.fill(0, ["n"])
     p = transition_probs(full, [*keys, "window"], k)
@@ -447,17 +483,18 @@ def _em(x: np.ndarray, k: int, seeds: Sequence[int], n_iter: int, tol: float, fl
 
 def hmm_fit_grid(
     features: DataFrame, keys: Sequence[str], names: Sequence[str], ks: Sequence[int], seeds: Sequence[int],
-    n_iter: int = 200, tol: float = 1e-4, min_rows: int = 1000, months: int = 18,
+    n_iter: int = 200, tol: float = 1e-4, min_rows: int = 1000, months: int | None = 18,
 ) -> DataFrame:
     """Model table: one row per key, number of states and seed.
 
     Each key is fitted on its newest ``months``, so a group is never longer than that window (18 months of 4h bars:
-    3,285 rows). Windows, keys and state counts fit in parallel, restarts of one group side by side in numpy. Training
+    3,285 rows); with None on all its rows, for callers that have cut them to a window already. Windows, keys and state counts fit in parallel, restarts of one group side by side in numpy. Training
     rows are standardized by their own mean and sample deviation.
     """
     keys, names, seeds = list(keys), list(names), list(seeds)
-    newest = features.groupBy(*keys).agg(F.max("ts").alias("__last"))
-    features = features.join(newest, keys).filter(F.col("ts") >= F.add_months("__last", -months)).drop("__last")
+    if months is not None:
+        newest = features.groupBy(*keys).agg(F.max("ts").alias("__last"))
+        features = features.join(newest, keys).filter(F.col("ts") >= F.add_months("__last", -months)).drop("__last")
     grid_rows = features.select(*keys, "ts", *names).withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
     fields = [f for f in features.schema.fields if f.name in keys]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sorted(fields, key=lambda f: keys.index(f.name)))
@@ -496,12 +533,12 @@ def hmm_rolling(
     features: DataFrame, keys: Sequence[str], names: Sequence[str], k: int, seeds: Sequence[int], first: str,
     length_s: int, step_s: int, min_rows: int = 1000,
 ) -> DataFrame:
-    """Best model per key and rolling window; only windows the key's data fills to the end."""
+    """Best model per key and rolling window, fitted on all its rows; only windows the key's data fills to the end."""
     spans = features.groupBy(*keys).agg(F.max("ts").alias("__last"))
     end = F.unix_seconds(F.lit(first).cast("timestamp")) + F.col("window") * step_s + length_s
     rows = rolling_windows(features, first, length_s, step_s).join(spans, list(keys))
     rows = rows.filter(F.unix_seconds("__last") >= end).drop("__last")
-    return best_models(hmm_fit_grid(rows, [*keys, "window"], names, [k], seeds, min_rows=min_rows), [*keys, "window"])
+    return best_models(hmm_fit_grid(rows, [*keys, "window"], names, [k], seeds, min_rows=min_rows, months=None), [*keys, "window"])
 
 
 def _viterbi(logb: np.ndarray, pi: np.ndarray, a: np.ndarray) -> np.ndarray:

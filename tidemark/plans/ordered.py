@@ -42,41 +42,52 @@ def _pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_seco
 
 def prefix_sums(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], before: dict[str, Column],
-    whole: dict[str, Column] | None = None, slice_seconds: int | None = None,
+    whole: dict[str, Column] | None = None, following: dict[str, Column] | None = None, slice_seconds: int | None = None,
 ) -> DataFrame:
     """Add each name in ``before``: the sum of its column over the earlier rows of the key (0 for the first).
 
-    Each name in ``whole`` is the sum over all rows of the key. ``order`` should tell rows apart: which of two rows that
-    are alike in all of it comes first is left open, and such rows share a piece.
+    Each name in ``whole`` is the sum over all rows of the key, each in ``following`` the next row's value (null for the
+    last). Rows are shuffled once; what crosses the cuts is one row per key and piece. ``order`` should tell rows apart:
+    which of two rows that are alike in all of it comes first is left open, and such rows share a piece.
     """
-    keys, whole = list(keys), whole or {}
+    keys, whole, following = list(keys), whole or {}, following or {}
     by_key, places = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("__s")
     sliced = df.withColumn("__s", _pieces(df, keys, order, slice_seconds))
-    sums = {f"__b{i}": c for i, c in enumerate(before.values())} | {f"__w{i}": c for i, c in enumerate(whole.values())}
-    totals = sliced.groupBy(*keys, "__s").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    rank = F.struct(*[F.col(c) for c in order])
+    sums = {f"__b{i}": F.sum(c) for i, c in enumerate(before.values())} | {f"__w{i}": F.sum(c) for i, c in enumerate(whole.values())}
+    heads = {f"__f{i}": F.min_by(F.struct(c.alias("v")), rank) for i, c in enumerate(following.values())}
+    totals = sliced.groupBy(*keys, "__s").agg(*[a.alias(n) for n, a in (sums | heads).items()])
     past = places.rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
         *keys, "__s",
         *[F.coalesce(F.sum(f"__b{i}").over(past), F.lit(0)).alias(f"__b{i}") for i in range(len(before))],
         *[F.sum(f"__w{i}").over(by_key).alias(f"__w{i}") for i in range(len(whole))],
+        *[F.lead(n).over(places).alias(n) for n in heads],
     )
-    inside = Window.partitionBy(*keys, "__s").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    own = {f"__o{i}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for i, c in enumerate(before.values())}
+    inside = Window.partitionBy(*keys, "__s").orderBy(*order)
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    own = {f"__o{i}": F.coalesce(F.sum(c).over(earlier), F.lit(0)) for i, c in enumerate(before.values())}
+    own |= {f"__n{i}": F.lead(F.struct(c.alias("v"))).over(inside) for i, c in enumerate(following.values())}
     return (
         sliced.withColumns(own)
         .join(starts, [*keys, "__s"])
         .withColumns({n: F.col(f"__b{i}") + F.col(f"__o{i}") for i, n in enumerate(before)})
         .withColumns({n: F.col(f"__w{i}") for i, n in enumerate(whole)})
-        .drop("__s", *sums, *own)
+        .withColumns({n: F.coalesce(f"__n{i}", f"__f{i}")["v"] for i, n in enumerate(following)})
+        .drop("__s", *sums, *heads, *own)
     )
 
 
 def numbered(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_seconds: int | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_seconds: int | None = None,
+    following: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Add ``__rn`` (1-based row number in the key's order) and ``__n`` (rows of the key)."""
+    """Add ``__rn`` (1-based row number in the key's order) and ``__n`` (rows of the key).
+
+    Each name in ``following`` is the next row's value of its column.
+    """
     one = F.lit(1).cast("bigint")
-    rows = prefix_sums(df, keys, order, {"__rn": one}, {"__n": one}, slice_seconds)
+    rows = prefix_sums(df, keys, order, {"__rn": one}, {"__n": one}, following, slice_seconds)
     return rows.withColumn("__rn", F.col("__rn") + 1)
 
 
