@@ -6,6 +6,8 @@ Batches are walked in slices of whole texts so that the temporary arrays stay sm
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,52 @@ def in_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def release() -> None:
+    """Give memory that is free inside this process back to the system.
+
+    A Python worker stays for later tasks, also while only the JVM computes, and all that it keeps counts against the
+    executor's limit. Arrow's pool and the C library's heap keep freed arrays for themselves unless told otherwise.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: nothing to trim
+        pass
+
+
+def lean(run):
+    """``run`` of mapInArrow, with ``release`` when the task's rows have been taken."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
+RELEASE_BYTES = 32 << 20
+_taken = 0
+
+
+def lean_groups(run):
+    """``run`` of applyInArrow, with ``release`` after every RELEASE_BYTES of groups."""
+
+    @functools.wraps(run)
+    def whole(first, second):  # a key and its table, or two tables
+        global _taken
+        out = run(first, second)
+        _taken += sum(t.nbytes for t in (first, second) if isinstance(t, pa.Table))
+        if _taken >= RELEASE_BYTES:
+            _taken = 0
+            release()
+        return out
+
+    return whole
+
+
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text column, and the offset of each text (one more than there are texts)."""
     if isinstance(column, pa.ChunkedArray):

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import in_batches, span_hashes, text_bytes
+from .arrays import in_batches, lean, lean_groups, span_hashes, text_bytes
 from .merging import PairTable, merge_sequences
 
 CHUNK_BYTES = 12 << 20
@@ -158,6 +158,7 @@ def _row(rows):
 
 
 def _words(rows: DataFrame, pattern: str, buckets: int) -> DataFrame:
+    @lean
     def run(batches):
         split = regex.compile(pattern)
         for held in _chunks(batches):
@@ -169,6 +170,7 @@ def _words(rows: DataFrame, pattern: str, buckets: int) -> DataFrame:
 
 
 def _positions(rows: DataFrame, pattern: str, buckets: int) -> DataFrame:
+    @lean
     def run(batches):
         split = regex.compile(pattern)
         for held in _chunks(batches):
@@ -183,6 +185,7 @@ def _positions(rows: DataFrame, pattern: str, buckets: int) -> DataFrame:
 def _encoded(words: DataFrame, path: str) -> DataFrame:
     """The ids of each chunk's words of a bucket, in the order the chunk sent the words."""
 
+    @lean_groups
     def run(key, table):
         chunks = table.column("chunk").to_pylist()
         lists = [unpack_words(x) for x in table.column("data").to_pylist()]
@@ -203,6 +206,7 @@ def _encoded(words: DataFrame, path: str) -> DataFrame:
 def _assembled(both: DataFrame, path: str) -> DataFrame:
     """Ids of each text by position, and its bytes decoded from them."""
 
+    @lean_groups
     def run(key, table):
         _, _, token_bytes, token_begin = vocabulary(path)
         rows = sorted(zip(*(table.column(c).to_pylist() for c in ("bucket", "id", "data"))), key=lambda r: r[0])

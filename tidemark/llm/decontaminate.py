@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER_BYTE, in_batches, mixed, slices, span_hashes, word_spans
+from .arrays import LOWER_BYTE, in_batches, lean, mixed, slices, span_hashes, word_spans
 
 RADIUS = 11
 BLOCKS, BITS = 4, 16
@@ -200,6 +200,7 @@ def with_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", item
     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64())]))
     for part in _passes(items, item_id, item_text):
 
+        @lean
         def run(batches, part=part):
             index = Index(part)
             for batch in batches:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.settle import settle
-from .arrays import fingerprint, in_batches, mixed, shingle_sets, starts_of
+from .arrays import fingerprint, in_batches, lean, lean_groups, mixed, shingle_sets, starts_of
 from .filters import bit_filter, passes
 from .graph import components
 
@@ -73,6 +73,7 @@ def may_reach(na: int, nb: int, differing: int, percent: int) -> bool:
 def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per row its id, set size, fingerprint and bitmap, and per task the pieces of its count sketch."""
 
+    @lean
     def run(batches):
         counts = np.zeros(SKETCH, np.int64)
         for batch in batches:
@@ -103,6 +104,7 @@ def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _crowding(described: DataFrame) -> np.ndarray:
     """For each sketch counter 0, or for one far above the mean the bit length of its count: a fixed 1 MB."""
 
+    @lean
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -139,6 +141,7 @@ def _postings(docs: DataFrame, text_col: str, level: np.ndarray, percent: int, b
                 pa.array([x[lo:hi].tobytes() for lo, hi in cut], pa.binary()) for x in (token, node, band))],
             names=["bucket", "token", "node", "band"])
 
+    @lean
     def run(batches):
         seen: set[int] = set()
         held, rows = [], 0
@@ -167,6 +170,7 @@ def _postings(docs: DataFrame, text_col: str, level: np.ndarray, percent: int, b
 def _tiles(postings: DataFrame) -> DataFrame:
     """(tile, node, band): the nodes of each token that more than one node has; a tile is named by its nodes."""
 
+    @lean_groups
     def run(key, table):
         token, node, band = (
             np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()])
@@ -193,6 +197,7 @@ def _tiles(postings: DataFrame) -> DataFrame:
 def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose bitmaps allow the similarity."""
 
+    @lean
     def run(batches):
         for batch in batches:
             a, b, na, nb, ba, bb = (batch.column(i).to_pylist() for i in range(6))
@@ -217,6 +222,7 @@ def _texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     """
     words = bit_filter(wanted)
 
+    @lean
     def run(batches):
         sent: set[int] = set()
         for batch in batches:
@@ -234,6 +240,7 @@ def _texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """(a, b, linked) by exact intersection of the sorted shingle arrays."""
 
+    @lean
     def run(batches):
         for batch in batches:
             ok = []
@@ -310,6 +317,7 @@ def _between(open_tiles: DataFrame, sets: DataFrame, percent: int, most: int) ->
         .select("g", "tile", "x", "y", "node", "comp", "band", "own", "n", "bits")
     )
 
+    @lean_groups
     def run(key, table):
         found: dict[tuple[int, int], set[tuple[int, int]]] = {}
         cut = set()
@@ -347,6 +355,7 @@ def _candidates(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .select("g", "tile", "comp", "x", "y", "node", "band", "own", "n", "bits")
     )
 
+    @lean_groups
     def run(key, table):
         found = []
         for (comp, _, x, y), c in table.to_pandas().groupby(["comp", "tile", "x", "y"], sort=True):
@@ -371,6 +380,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, labels: DataFrame, percent: int)
     ends = placed.select("cell", F.col("a").alias("fp")).distinct().union(placed.select("cell", F.col("b").alias("fp")).distinct())
     held = ends.distinct().join(texts, "fp").select(F.col("cell").alias("place"), "fp", "text")
 
+    @lean_groups
     def run(left, right):
         a, b = (left.column(k).to_numpy() for k in ("a", "b"))
         fp, sets = right.column("fp").to_numpy(), [s for _, s in shingle_sets(right.column("text"))]
@@ -500,6 +510,7 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     crowd = settle(placed.join(groups, "comp").select(F.col("fp").alias("__fp"), "first_id", "first_fp").distinct())
     words = bit_filter(crowd.select("__fp"))
 
+    @lean
     def run(batches):
         for batch in batches:
             fp = [fingerprint(s) for _, s in shingle_sets(batch.column(1))]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import LOWER_BYTE, in_batches, mixed, slices
+from .arrays import LOWER_BYTE, in_batches, lean, lean_groups, mixed, slices
 
 DIMENSION = 1 << 13
 SAMPLE = 4000  # labelled texts a model is fitted on at most, spread evenly over the languages
@@ -84,6 +84,7 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple
     sample = near.withColumn("__place", place).filter(F.col("__place") <= each)
     code = codewords(len(langs))
 
+    @lean_groups
     def run(key, table):
         table = table.sort_by([("lang", "ascending"), ("text", "ascending")])
         x = np.concatenate([x for _, x in _blocks(table.column("text"))])
@@ -117,6 +118,7 @@ def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: s
     keep = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
     rows = docs.select(*keep, F.when(letter, F.col(text_col).cast("string")).alias("__text"))
 
+    @lean
     def run(batches):
         for batch in batches:
             pred, score, vague = [], [], []

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.settle import settle
-from .arrays import in_batches, mixed, slices, starts_of
+from .arrays import in_batches, lean, lean_groups, mixed, slices, starts_of
 from .bytebpe import BUCKET_BYTES, CHUNK, LEAST_BUCKETS, _chunks, _row, pack, unpack
 from .decontaminate import _words
 
@@ -78,6 +78,7 @@ def _coded(held, buckets: int):
 
 
 def _asked(rows: DataFrame, buckets: int) -> DataFrame:
+    @lean
     def run(batches):
         for held in _chunks(batches):
             name, _, _, _, _, _, distinct, every, target = _coded(held, buckets)
@@ -97,6 +98,7 @@ def _answered(asked: DataFrame, buckets: int) -> DataFrame:
     """
     start_bucket, start = divmod(_start_key(buckets), 1 << 48)
 
+    @lean_groups
     def run(key, table):
         chunks = table.column("chunk").to_pylist()
         got = [unpack(x) for x in table.column("data").to_pylist()]
@@ -125,6 +127,7 @@ def _answered(asked: DataFrame, buckets: int) -> DataFrame:
 def _kept(rows: DataFrame, buckets: int) -> DataFrame:
     """A chunk's texts as codes of its distinct keys."""
 
+    @lean
     def run(batches):
         for held in _chunks(batches):
             name, ids, flags, first, text, code, _, _, _ = _coded(held, buckets)
@@ -143,6 +146,7 @@ def _own(text, code, n: int):
 
 
 def _scored(both: DataFrame, words: int, every_n: int, target_n: int, texts_n: int) -> DataFrame:
+    @lean_groups
     def run(key, table):
         rows = sorted(zip(*(table.column(c).to_pylist() for c in ("bucket", "id", "data"))), key=lambda r: r[0])
         twins = sum(r[0] == -1 for r in rows)

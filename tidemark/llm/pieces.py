@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import in_batches, slices, span_hashes
+from .arrays import in_batches, lean, slices, span_hashes
 from .merging import PairTable, merge_sequences, spans_flat
 
 SPACE_MARK = "▁"
@@ -125,6 +125,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     one. Columns other than the two named are not read. ``path`` must be readable on every executor.
     """
 
+    @lean
     def run(batches):
         counter = None
         for batch in batches:

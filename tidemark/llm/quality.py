@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import LOWER_BYTE, in_batches, mixed, slices, word_hashes
+from .arrays import LOWER_BYTE, in_batches, lean, lean_groups, mixed, slices, word_hashes
 from .decontaminate import _words
 
 DIMENSION = 1 << 16
@@ -97,6 +97,7 @@ def fit(rated: DataFrame, docs: DataFrame, id_col: str, text_col: str, grade_col
     chosen = near.withColumn("place", place).filter(F.col("place") <= each).drop("place")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
 
+    @lean_groups
     def run(key, table):
         table = table.sort_by([("id", "ascending"), ("text", "ascending")])
         n, parts = 0, []
@@ -123,6 +124,7 @@ def graded(docs: DataFrame, model, text_col: str = "text", best: int | None = No
     keep = [c for c in docs.columns if c not in ("expected_grade", "tail_prob")]
     top = len(t) if best is None else best
 
+    @lean
     def run(batches):
         for batch in batches:
             s = _scores(batch.column(batch.num_columns - 1), weights)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.settle import settle
-from .arrays import in_batches, mixed, slices, span_hashes, starts_of, text_bytes
+from .arrays import in_batches, lean, lean_groups, mixed, slices, span_hashes, starts_of, text_bytes
 from .filters import bit_filter, passes
 
 SPAN = 400
@@ -94,6 +94,7 @@ def _shared_anchors(texts: DataFrame, buckets: int) -> DataFrame:
     repeated in very many texts do not meet in one task.
     """
 
+    @lean
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
@@ -136,6 +137,7 @@ def _shared_anchors(texts: DataFrame, buckets: int) -> DataFrame:
                 [pa.array([], t) for t in (pa.int64(), pa.int64(), *[pa.binary()] * 4)],
                 names=["bucket", "key", "h", "keys", "places", "many"])
 
+    @lean_groups
     def meet(_, table):
         direct = table.filter(pc.is_valid(table.column("key")))
         sent = table.filter(pc.is_null(table.column("key")))
@@ -164,6 +166,7 @@ def _chosen_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(key, text), once per key, of the keys in ``wanted``; a filter of fixed size keeps most others from the shuffle."""
     words = bit_filter(wanted.select("key").distinct())
 
+    @lean
     def run(batches):
         sent: set[int] = set()
         for batch in batches:
@@ -325,6 +328,7 @@ def _splitters(joined: DataFrame, ranges: int, total: int) -> list[tuple[bytes,
     """Bounds between ranges, from a sample of at most SAMPLES suffixes per range, taken by a hash of their place."""
     rate = np.uint64(min(1.0, SAMPLES * ranges / max(total, 1)) * 2**32)
 
+    @lean
     def run(batches):
         for batch in batches:
             found, _ = _entries(batch)
@@ -422,6 +426,7 @@ def covered_ranges(texts: DataFrame, total_bytes: int) -> DataFrame:
     splitters = _splitters(joined, ranges, total)
     bounds = [s[0][:SHARED] for s in splitters]
 
+    @lean
     def cut(batches):
         for batch in batches:
             entries, covered = _entries(batch)
@@ -437,6 +442,7 @@ def covered_ranges(texts: DataFrame, total_bytes: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
                                              names=["range", "run"])
 
+    @lean_groups
     def merge(key, table):
         r, blobs = key[0].as_py(), table.column("run").to_pylist()
         if r < 0:
@@ -469,6 +475,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = _keyed(rows, "text")
     ranges = settle(covered_ranges(texts, total))
 
+    @lean
     def cut(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))

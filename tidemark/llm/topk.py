@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.settle import settle
-from .arrays import in_batches
+from .arrays import in_batches, lean
 
 SLICE = 4096
 BINS = 256
@@ -63,6 +63,7 @@ def _counted(rows: DataFrame, q_id, q_vec, low, shift) -> DataFrame:
     """(q, bin, c): how many scores of each query fall into each bin of its range; BINS counts those above the range."""
     nq = len(q_id)
 
+    @lean
     def run(batches):
         total = np.zeros(nq * (BINS + 1), np.int64)
         for batch in batches:
@@ -90,6 +91,7 @@ def _of_length(q_vec, d: int) -> list[np.ndarray]:
 def _kept(rows: DataFrame, q_id, q_vec, least, k: int) -> DataFrame:
     """(query_id, vec_id, score) at or above each query's k-th score; of ties with it the k least ids of a batch."""
 
+    @lean
     def run(batches):
         for batch in batches:
             for ids, x in _matrix(batch):

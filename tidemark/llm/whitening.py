@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.settle import settle
+from .arrays import lean
 
 LARGEST = float(1 << 43)  # entries below this are exact when scaled by 1024
 BLOCK_BYTES = 1 << 20
@@ -68,6 +69,7 @@ def _packed(rows: DataFrame, d: int) -> DataFrame:
     most = max(1, BLOCK_BYTES // (8 * d))
     id_type = pa.int64()
 
+    @lean
     def run(batches):
         for batch in batches:
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
@@ -83,6 +85,7 @@ def _summed(blocks: DataFrame, size: int, part: Callable[[np.ndarray], np.ndarra
     """The sum over all rows of ``part(rows)``, which has ``size`` numbers: added up in each task, then by Spark."""
     whole = kind == "decimal(38,0)"
 
+    @lean
     def run(batches):
         total = None
         for batch in batches:
@@ -319,6 +322,7 @@ def whitened(blocks: DataFrame, model: Whitening, error: float | None) -> DataFr
     project, on = _projection(model), model.variances > 0
     share = [float(e / model.trace) if model.trace > 0 else None for e in model.variances]
 
+    @lean
     def run(batches):
         for batch in batches:
             for ids, block in zip(batch.column(0), batch.column(1)):
