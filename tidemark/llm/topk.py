@@ -26,16 +26,12 @@ BINS = 256
 
 
 def quantized(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(id, v): floor(scale * x) of every component; rows without an id or a fully finite vector are left out.
-
-    An id that occurs several times counts once, with the least of its vectors.
-    """
+    """(id, v): floor(scale * x) of every component; rows without an id or a fully finite vector are left out."""
     x = F.col(vec_col).cast("array<double>")
     sound = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     return (
         vectors.filter(F.col(id_col).isNotNull() & sound & (F.size(x) > 0))
         .select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e * scale).cast("long")).alias("v"))
-        .groupBy("id").agg(F.min("v").alias("v"))
     )
 
 
@@ -141,7 +137,8 @@ def exact_top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", ve
     ``is_query`` is a condition on the column ``id``. The score is the integer inner product of the vectors with
     components floor(scale * x); ties go to the smaller id; a query with fewer other rows gets all of them. Rows without
     an id, with a null or empty vector or with a null or non-finite component take no part, neither as query nor as
-    candidate; a repeated id counts once; vectors of different lengths are not compared. An empty table gives an empty
+    candidate; vectors of different lengths are not compared. Of a repeated id every row is a candidate of its own, save for
+    queries of that id; if several rows of an id are queries, the best of all their scores are returned under it. An empty table gives an empty
     result. Other columns are not read.
     """
     rows = settle(quantized(vectors, id_col, vec_col, scale))
@@ -151,7 +148,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", ve
     slices = max(1, -(-queries.count() // SLICE))
     parts = []
     for i in range(slices):
-        got = queries.filter(F.pmod(F.xxhash64("id"), F.lit(slices)) == i).orderBy("id").collect()  # about SLICE rows
+        got = queries.filter(F.pmod(F.xxhash64("id", "v"), F.lit(slices)) == i).orderBy("id", "v").collect()  # about SLICE rows
         if got:
             q_id = np.array([r.id for r in got], np.int64)
             parts.append(_slice_result(rows, q_id, [np.array(r.v, np.int64) for r in got], reach, k))
