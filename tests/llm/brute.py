@@ -78,3 +78,17 @@ def top(rows, k=5):
             best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in rows if i != q and len(x) == len(y))[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return sorted(out)
+
+
+def held_share(item, text, k=5):
+    """The largest weighted share of an item's shingles found around any one place of a text: every place is tried."""
+    words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.translate(LOWER))
+    grams = lambda w: {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+    own, here = words(item), words(text)
+    n, weight = len(own), {g: sum(len(x.encode()) for x in g) for g in grams(own)}
+    best = 0.0
+    for begin in range(-n, len(here)):
+        near = here[max(0, begin - n // 4) : max(0, begin + n + n // 4)]
+        if near:
+            best = max(best, sum(w for g, w in weight.items() if g in grams(near)) / sum(weight.values()))
+    return best

@@ -215,9 +215,9 @@ def test_top_k(spark):
     rows = [(i, [rng.choice([-1.0, 0.0, 0.5, 0.999, 2.0]) for _ in range(6)]) for i in range(300)]
     rows += [(300, rows[7][1]), (301, None), (350, [1.0, None] * 3), (400, [float("nan")] * 6), (450, []), (None, rows[3][1]), (7, rows[7][1]), (500, [1.0] * 4)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows if i is not None and v and all(x is not None and x == x for x in v)}
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and x == x for x in v)]
     got = result(topk.exact_top_k(df, F.col("id") % 50 == 0), "query_id", "rank", "vec_id", "score")
-    assert got == brute.top(sorted(whole.items()))
+    assert got == brute.top(whole)  # id 7 has two rows, and both are candidates
     assert topk.exact_top_k(df.filter("false"), F.col("id") % 50 == 0).count() == 0
     few = spark.createDataFrame([(0, [1e9, 1e9]), (50, [1e9, -3.0]), (51, [-1e9, 2e8])], "vec_id long, embedding array<double>")
     whole = [(i, [math.floor(256 * x) for x in v]) for i, v in ((0, [1e9, 1e9]), (50, [1e9, -3.0]), (51, [-1e9, 2e8]))]
@@ -226,6 +226,21 @@ def test_top_k(spark):
     assert got == {(q, i): wrap(s) for q, _, i, s in brute.top(whole)}
 
 
+def test_top_k_of_repeated_ids_equals_sql(spark, tmp_path):
+    """Ids with several different rows, queries among them, and repeated rows; columns named like the operator's own."""
+    rng = random.Random(16)
+    vector = lambda: [rng.choice([-1.0, -0.5, 0.0, 0.5, 2.0]) for _ in range(4)]
+    rows = [(i, vector()) for i in range(120)] + [(7, [3.0] * 4), (7, [3.0] * 4), (50, vector()), (50, vector()), (100, None), (None, [9.0] * 4)]
+    df = spark.createDataFrame([(i, v, 1, 2, 3, "x") for i, v in rows], "vec_id long, embedding array<float>, id int, q int, score int, v string")
+    path = str(tmp_path / "embeddings.parquet")
+    df.coalesce(1).write.parquet(path)
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT vec_id, embedding FROM '{path}/*.parquet' WHERE vec_id IS NOT NULL")
+    assert diff(topk.exact_top_k(spark.read.parquet(path), F.col("id") % 50 == 0), con, catalog.ORACLES["op4_exact_top_k_search"]) is None
+
+
 # -- 5: decontamination
 
 
