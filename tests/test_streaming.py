@@ -1,12 +1,13 @@
 """Streaming runs over files must give what the batch twins give on the same files."""
 
+import datetime as dt
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.sources.views import Views
-from tidemark.streaming import jobs
+from tidemark.streaming import jobs, stateful
 
 SF = "/root/testdata/sf0.001"
 
@@ -94,3 +95,63 @@ def test_asof_enrich(spark, landed, tmp_path):
 
     want = asof_join(t, rate, [], ["rate"]).select("seq", "rate")
     assert rows(spark.read.parquet(out).select("seq", "rate")) == rows(want)
+
+
+def feed(spark, path, batches, schema):
+    """One file per batch, in order; returns the stream over them."""
+    for rows_ in batches:
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def finished(stream, name, mode="append"):
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert q.exception() is None
+    return q
+
+
+def at(minutes):
+    return dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(minutes=minutes)
+
+
+def test_throttle_heartbeat(spark, tmp_path):
+    """A silent key repeats its score every five minutes of event time; another key moves the watermark on."""
+    batches = [[("a", at(0), 1, 7), ("b", at(0), 2, 1)], [("b", at(12), 3, 1)], [("a", at(13), 4, 8)], [("b", at(40), 5, 1)]]
+    stream = feed(spark, str(tmp_path / "in"), batches, "k string, ts timestamp, seq bigint, score int")
+    finished(jobs.throttle_change(stream, "k", 300, heartbeat="0 seconds"), "beats")
+    got = sorted((r.ts.timestamp(), r.seq is None, r.score) for r in spark.table("beats").filter("key = 'a'").collect())
+    times = [int((t - at(0).timestamp()) / 60) for t, _, _ in got]
+    assert [(m, s) for m, (_, _, s) in zip(times, got)][:4] == [(0, 7), (5, 7), (10, 7), (13, 8)]
+    assert [b for _, b, _ in got][:4] == [False, True, True, False]
+    assert times[4:] == [18, 23, 28, 33, 38][: len(times) - 4] and len(times) > 4 and all(s == 8 for _, _, s in got[4:])
+
+
+def test_history_keeps_48(spark, tmp_path):
+    """The 49th summary pushes the first out; a replaced slot counts once."""
+    row = lambda i, px: ("x", at(5 * i), at(5 * i + 4), float(px))
+    batches = [[row(i, i) for i in range(30)] + [("y", at(0), at(1), 9.0)], [row(29, 100)] + [row(i, i) for i in range(30, 48)], [row(48, 48)]]
+    stream = feed(spark, str(tmp_path / "in"), batches, "sym string, slot timestamp, ts timestamp, px double")
+    finished(stateful.depth_history(stream, ["sym"], ["ts", "px"]), "kept", "update")
+    got = spark.table("kept").filter("sym = 'x'")
+    states = {}
+    for r in got.collect():
+        states.setdefault(r.newest, []).append((r.slot, r.px))
+    full, last = (sorted(states[k]) for k in sorted(states)[-2:])
+    assert len(full) == len(last) == 48
+    assert [px for _, px in full] == [*map(float, range(29)), 100.0, *map(float, range(30, 48))]
+    assert [px for _, px in last] == [*map(float, range(1, 29)), 100.0, *map(float, range(30, 49))]
+    assert spark.table("kept").filter("sym = 'y'").count() == 1
+
+
+def test_asof_uses_late_rows(spark, tmp_path):
+    """The rate of minute 10 arrives after the bars of minutes 12 and 20, and is the one they get."""
+    bars = [[("s", at(5), 1.0), ("t", at(6), 2.0)], [("s", at(12), 3.0), ("s", at(20), 4.0)], [("s", at(61), 5.0)], [("s", at(500), 6.0), ("t", at(500), 7.0)]]
+    rates = [[("s", at(0), 0.1)], [("s", at(60), 0.6)], [("s", at(10), 0.2)], [("s", at(499), 0.9), ("t", at(499), 0.5)]]
+    left = feed(spark, str(tmp_path / "bars"), bars, "sym string, ts timestamp, close double")
+    right = feed(spark, str(tmp_path / "rates"), rates, "sym string, ts timestamp, rate double")
+    finished(stateful.stream_asof(left, right, ["sym"], ["rate"], "5 minutes", "2 hours"), "joined")
+    got = {(r.sym, r.close): r.rate for r in spark.table("joined").collect()}
+    assert {k: v for k, v in got.items() if k[1] < 6} == {
+        ("s", 1.0): 0.1, ("t", 2.0): None, ("s", 3.0): 0.2, ("s", 4.0): 0.2, ("s", 5.0): 0.6}

@@ -137,6 +137,18 @@ def _(spark, d):
     return jobs.depth_summary(Views(spark, d).ticks(), ["sym"], ["px", "qty"])
 
 
+@query(
+    "st_depth_history",
+    "sym slot:t ts:t px:f6 qty:f2",
+    """SELECT * FROM (
+         SELECT *, make_timestamp(CAST(epoch_us(ts) // 300000000 AS BIGINT) * 300000000) AS slot FROM ticks
+         QUALIFY row_number() OVER (PARTITION BY sym, epoch_us(ts) // 300000000 ORDER BY ts DESC, px DESC, qty DESC) = 1)
+       QUALIFY row_number() OVER (PARTITION BY sym ORDER BY slot DESC) <= 48""",
+)
+def _(spark, d):
+    return jobs.last_summaries(Views(spark, d).ticks(), ["sym"], ["px", "qty"])
+
+
 @query(
     "st_minute_dedup",
     "sym minute:t seq:i px:f6",

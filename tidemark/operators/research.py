@@ -323,6 +323,13 @@ def factor_signs() -> dict[str, Column]:
     }
 
 
+def middle(values: Column) -> Column:
+    """The median of an array of numbers, halfway between the two in the middle if there are two; null if it is empty."""
+    v, n = F.sort_array(values), F.size(values)
+    lower, upper = F.get(v, F.floor((n - 1) / 2).cast("int")), F.get(v, F.floor(n / 2).cast("int"))
+    return lower + (upper - lower) * 0.5
+
+
 def factor_inputs(
     bars: DataFrame, funding: DataFrame, bench: DataFrame, keys: Sequence[str], slow: Stoch, fast: Stoch,
     horizons: Sequence[int] = (1,), day: int = 24, med: int = 90,
@@ -343,7 +350,9 @@ def factor_inputs(
         rows = add_stoch(rows, w, fast, "fast_k", "fast_d")
         rows = add_ret(add_vwap(rows, w, day), w)
         short, long = rv(w, 2, 1.0), rv(w, 24, 1.0)
-        half = F.percentile("volume", F.lit(0.5)).over(last_n(w, med))
+        # the window only gathers the volumes; their median is a projection, which Spark evaluates after later filters,
+        # so that it is sorted out for the few rows that are events and not for every bar
+        half = middle(F.collect_list("volume").over(last_n(w, med)))
         return rows.withColumns(
             {
                 "vol_ratio": F.when(long > 0, short / long),

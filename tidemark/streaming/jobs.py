@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..plans.ordered import asof_join, row_frames, slice_of
+from ..plans.ordered import asof_join, row_frames, slice_of, top_k
 from ..plans.settle import settle
+from .stateful import throttle
 
 
 def tumbling_bars(ticks: DataFrame, keys: Sequence[str], length: str = "1 hour", delay: str = "90 minutes") -> DataFrame:
@@ -57,6 +56,11 @@ def depth_summary(snaps: DataFrame, keys: Sequence[str], columns: Sequence[str],
     )
 
 
+def last_summaries(snaps: DataFrame, keys: Sequence[str], columns: Sequence[str], keep: int = 48, every: str = "5 minutes") -> DataFrame:
+    """Batch twin of ``stateful.depth_history``: the newest ``keep`` summaries of every key."""
+    return top_k(depth_summary(snaps, keys, columns, every), keys, [F.desc("slot")], keep).drop("rank")
+
+
 def minute_dedup(rows: DataFrame, keys: Sequence[str], delay: str = "10 minutes") -> DataFrame:
     """First arrived row per key and minute; state older than the watermark is dropped."""
     minute = rows.withColumn("minute", F.date_trunc("minute", "ts"))
@@ -73,33 +77,14 @@ def first_per_minute(rows: DataFrame, keys: Sequence[str], order: Sequence[str])
 
 
 HOUR = 3600
-THROTTLE = "key string, ts timestamp, seq bigint, score int"
 
 
-def throttle_change(rows: DataFrame, key: str, seconds: int = 300) -> DataFrame:
+def throttle_change(rows: DataFrame, key: str, seconds: int = 300, heartbeat: str | None = None) -> DataFrame:
     """Emit a row when its score differs from the last emitted one or more than ``seconds`` have passed since.
 
-    The state is two numbers per key; rows of a batch arrive in chunks and are walked in time order. Input: key, ts,
-    seq, score, in order of time across batches.
+    With ``heartbeat``, a watermark delay, a silent key repeats its score after ``seconds`` as well; see ``stateful``.
     """
-
-    def walk(k: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        score, last = state.get if state.exists else (None, None)
-        keep = []
-        rows = pd.concat(list(chunks)).sort_values(["ts", "seq"])
-        for ts, seq, s in zip(rows["ts"], rows["seq"], rows["score"]):
-            us = ts.value // 1000
-            if score is None or s != score or us - last > seconds * 1_000_000:
-                keep.append((k[0], ts, int(seq), int(s)))
-                score, last = int(s), us
-        if score is not None:
-            state.update((score, last))
-        yield pd.DataFrame(keep, columns=["key", "ts", "seq", "score"])
-
-    picked = rows.select(F.col(key).alias("key"), "ts", F.col("seq").cast("bigint"), F.col("score").cast("int"))
-    return picked.groupBy("key").applyInPandasWithState(
-        walk, THROTTLE, "score int, last bigint", "append", GroupStateTimeout.NoTimeout
-    )
+    return throttle(rows, key, seconds, heartbeat)
 
 
 def throttle_batch(rows: DataFrame, keys: Sequence[str], seconds: int = 300) -> DataFrame:
