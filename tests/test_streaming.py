@@ -155,3 +155,34 @@ def test_asof_uses_late_rows(spark, tmp_path):
     got = {(r.sym, r.close): r.rate for r in spark.table("joined").collect()}
     assert {k: v for k, v in got.items() if k[1] < 6} == {
         ("s", 1.0): 0.1, ("t", 2.0): None, ("s", 3.0): 0.2, ("s", 4.0): 0.2, ("s", 5.0): 0.6}
+
+
+def test_batches_appear_once(spark, landed, tmp_path):
+    """A stream whose sink fails after writing replays its batch; a broken attempt and a second driver leave no rows."""
+    from tidemark.sources import sinks
+
+    path, t = landed
+    out, seen = str(tmp_path / "out"), []
+
+    def write(batch, batch_id):
+        sinks.write_batch(batch.select("sym", "ts", "seq", "px"), out, f"q-{batch_id}")
+        seen.append(batch_id)
+        if seen == [0, 1]:
+            raise RuntimeError("lost after the write")
+
+    def go():
+        stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        q = stream.writeStream.option("checkpointLocation", str(tmp_path / "state")).foreachBatch(write).trigger(availableNow=True).start()
+        try:
+            q.awaitTermination(120)
+        except Exception:  # noqa: BLE001  the failure planted above
+            assert seen == [0, 1]
+
+    go()
+    go()
+    assert seen.count(1) == 2 and max(seen) == 5
+    spark.range(3).selectExpr("'z' sym", "timestamp'2024-01-01' ts", "-1L seq", "1.0D px", "date'2024-01-01' day", "'half' attempt").write.mode(
+        "append").partitionBy("day", "attempt").parquet(f"{out}/rows")
+    spark.range(1).selectExpr("'q-0' batch", "'half' attempt", "current_timestamp() at").write.mode("append").parquet(f"{out}/ledger")
+    got = sinks.read_batches(spark, out)
+    assert rows(got.select("sym", "ts", "seq", "px")) == rows(t.select("sym", "ts", "seq", "px"))

@@ -43,6 +43,16 @@ def _(spark, d):
     return sinks.read_daily(spark, path)
 
 
+@query("sink_batches", "sym ts:t seq:i px:f6 day:t", "SELECT sym, ts, seq, px, date_trunc('day', ts) AS day FROM ticks")
+def _(spark, d):
+    """Two micro-batches; the first is replayed."""
+    t = Views(spark, d).ticks().select("sym", "ts", "seq", "px")
+    path = scratch(spark, "batches")
+    for batch in (0, 0, 1):
+        sinks.write_batch(t.filter(F.pmod("seq", F.lit(2)) == batch), path, f"ticks-{batch}")
+    return sinks.read_batches(spark, path)
+
+
 @query(
     "sink_micro",
     "snap:t mid:f4 total_bid:f2 total_ask:f2 n_bids:i n_asks:i best_bid_qty:f2 n_bid_walls:i n_ask_walls:i",

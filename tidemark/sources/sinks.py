@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -51,6 +52,45 @@ def read_daily(spark, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(path)
 
 
+LEDGER = "batch string, attempt string, at timestamp"
+
+
+def _ledger(spark, path: str) -> DataFrame:
+    """The attempt that counts for each batch: the first that was entered."""
+    entries = f"{path}/ledger"
+    place = spark._jvm.org.apache.hadoop.fs.Path(entries)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], LEDGER).select("batch", "attempt")
+    entered = spark.read.schema(LEDGER).parquet(entries)
+    return entered.groupBy("batch").agg(F.min_by("attempt", F.struct("at", "attempt")).alias("attempt"))
+
+
+def write_batch(df: DataFrame, path: str, batch: str, ts: str = "ts", format: str = "parquet") -> None:
+    """Append ``df`` by UTC day as the batch of that name; a batch that is written again appears once.
+
+    Rows go to a folder of this attempt's own, and only when all are there is the attempt entered in the ledger beside
+    them. So a batch that a restarted stream replays, one written by two drivers, and one that broke off half-way are
+    all read once or not at all. A batch that has been entered is not written again.
+    """
+    if not _ledger(df.sparkSession, path).filter(F.col("batch") == batch).isEmpty():
+        return
+    attempt = uuid.uuid4().hex
+    rows = df.withColumns({"day": F.to_date(ts), "attempt": F.lit(attempt)})
+    (
+        rows.repartition(F.col("day"), F.hour(ts)).write.mode("append").option("compression", "zstd" if format == "parquet" else "gzip")
+        .partitionBy("day", "attempt").format(format).save(f"{path}/rows")
+    )
+    entry = df.sparkSession.range(1).select(F.lit(batch).alias("batch"), F.lit(attempt).alias("attempt"), F.current_timestamp().alias("at"))
+    entry.coalesce(1).write.mode("append").parquet(f"{path}/ledger")
+
+
+def read_batches(spark, path: str, schema: str | None = None, format: str = "parquet") -> DataFrame:
+    """The rows of all batches in the ledger, with their ``day``; other attempts' folders are not opened."""
+    reader = spark.read.format(format).option("mergeSchema", "true")
+    rows = (reader.schema(f"{schema}, day date, attempt string") if schema else reader).load(f"{path}/rows")
+    return rows.join(_ledger(spark, path).select("attempt"), "attempt", "left_semi").drop("attempt")
+
+
 def micro_rows(summary: DataFrame, levels: DataFrame, walls: DataFrame, keys: Sequence[str], n: int = 30) -> DataFrame:
     """Order-book summary rows with the best levels and the walls of each side as JSON text."""
     keys = list(keys)
