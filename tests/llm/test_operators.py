@@ -321,6 +321,12 @@ def test_byte_bpe(odd, none):
     got = result(bytebpe.encoded_digests(odd, RANKS, public_tokenizers.PATTERN), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
     assert got == ordered(want)
     assert bytebpe.encoded_digests(none, RANKS, public_tokenizers.PATTERN).count() == 0
+    whole = bytebpe.encoded(odd, RANKS, public_tokenizers.PATTERN).filter("doc_id IN (1, 2, 5, 12)").collect()
+    texts = dict(odd_rows())
+    for r in whole:
+        ids = list(struct.unpack(f"<{len(r.ids) // 4}I", r.ids))
+        assert ids == encoding.encode_ordinary(texts[r.doc_id] or "") and r.decoded.decode() == (texts[r.doc_id] or "")
+    assert len(whole) == 4
 
 
 def test_merging_in_rank_order():

@@ -226,7 +226,7 @@ def _assembled(both: DataFrame, path: str) -> DataFrame:
         raw = zstandard.decompress(id_blob)
         count = len(sizes)
         values, null = np.frombuffer(raw, np.int64, count), np.frombuffer(raw, bool, count, 8 * count)
-        total, shas, back = [], [], []
+        coded, back = [], []
         at = 0
         for size in sizes.tolist():
             c = codes[at : at + size]
@@ -235,21 +235,21 @@ def _assembled(both: DataFrame, path: str) -> DataFrame:
             x = ids[np.repeat(begin[c] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
             w = width[x]
             text = token_bytes[np.repeat(token_begin[x] - (np.cumsum(w) - w), w) + np.arange(w.sum())]
-            total.append(len(x))
-            shas.append(hashlib.sha256(x.astype("<u4").tobytes()).hexdigest())
-            back.append(hashlib.sha256(text.tobytes()).hexdigest())
-        out = pa.table({"id": pa.array(values, pa.int64(), mask=null), "n_tokens": pa.array(total, pa.int64()),
-                        "ids_sha256": shas, "decoded_sha256": back})
+            coded.append(x.astype("<u4").tobytes())
+            back.append(text.tobytes())
+        out = pa.table({"id": pa.array(values, pa.int64(), mask=null), "ids": pa.array(coded, pa.binary()),
+                        "decoded": pa.array(back, pa.binary())})
         return pa.concat_tables([out] * twins)  # chunks with the very same rows have the same name
 
-    return both.groupBy("chunk").applyInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return both.groupBy("chunk").applyInArrow(run, "id long, ids binary, decoded binary")
 
 
-def encoded_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: id, n_tokens, and SHA-256 of its ids (little-endian 32-bit) and of the decoded bytes.
+def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``docs``: id, ``ids`` (its tokens as little-endian 32-bit integers) and ``decoded`` (the bytes they stand for).
 
-    ``pattern`` splits the text; each match is encoded on its own by the ranks in ``path``, with no special tokens. Null
-    and empty texts have no tokens and the digest of nothing. Repeated rows are encoded one by one; an id may be null;
+    ``pattern`` splits the text; each match is encoded on its own by the ranks in ``path``, with no special tokens. The
+    ids are decoded where they are put together, by look-up in the vocabulary's token bytes (a table of fixed size that
+    every task has anyway for encoding). Null and empty texts have no tokens and no bytes. Repeated rows are encoded one by one; an id may be null;
     an empty table gives an empty one. Columns other than the two named are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -258,3 +258,10 @@ def encoded_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc
     words = _encoded(_words(rows, pattern, buckets), path)
     both = words.union(_positions(rows, pattern, buckets))
     return _assembled(both, path).withColumnRenamed("id", id_col)
+
+
+def encoded_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``encoded``: id, n_tokens, and SHA-256 of the ids and of the decoded bytes."""
+    return encoded(docs, path, pattern, id_col, text_col).select(
+        id_col, F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
