@@ -250,3 +250,22 @@ def test_dedup_of_very_many_blocks(spark):
                 last = p
         assert sorted(got[sym]) == want
     assert ind.dedup_triggers(t.filter("false"), ["sym"], 4).count() == 0
+
+
+def test_settle_names_a_shared_folder(spark):
+    """On a cluster whose warehouse is a local folder, there is no silent choice."""
+    from types import SimpleNamespace
+
+    from tidemark.plans.settle import shared_folder
+
+    def session(master, **conf):
+        get = lambda k, default=None: conf.get(k.replace(".", "_"), default)
+        return SimpleNamespace(sparkContext=SimpleNamespace(master=master), conf=SimpleNamespace(get=get, set=lambda *_: None))
+
+    local = {"spark_sql_warehouse_dir": "file:/tmp/w"}
+    assert shared_folder(session("local[8]", **local)) == "file:/tmp/w/_settled"
+    assert shared_folder(session("spark://x:1", spark_sql_warehouse_dir="hdfs://n/w")) == "hdfs://n/w/_settled"
+    assert shared_folder(session("spark://x:1", spark_checkpoint_dir="file:/shared/", **local)) == "file:/shared"
+    for place in ("file:/tmp/w", "/tmp/w"):
+        with pytest.raises(ValueError):
+            shared_folder(session("spark://x:1", spark_sql_warehouse_dir=place))

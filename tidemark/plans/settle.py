@@ -14,11 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where the session names none, one inside its warehouse.
 
-    Both are shared by all executors of a cluster. Nothing is ever put in a machine's own temporary folder.
+    Executors on other machines must see it. So on a cluster a warehouse on a machine's own disk, which is Spark's default,
+    is an error and not a silent choice.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_settled"
+        if not spark.sparkContext.master.startswith("local[") and base.split(":", 1)[0] in ("file", base):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share: the warehouse is on a local disk")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
