@@ -8,7 +8,8 @@ Counting and scoring are one exchange. A chunk of texts sends each distinct word
 to the bucket of its hash; the bucket adds the counts of all chunks and answers in the order it was asked; the chunk looks
 up its tokens. Frequent words are sent once a chunk like any other, so nothing is hot, and what is gathered grows with the
 corpus. The start of a text is a context like a word: its count is the number of texts with words in the whole corpus, in
-both models, however the texts are chunked. The chunks are formed twice (see ``bytebpe``), from texts in a fixed order.
+both models, however the texts are chunked. The texts meet the target's marks once and are settled with their flags, and
+both readings that form the chunks (see ``bytebpe``) are of that table.
 """
 
 from __future__ import annotations
@@ -193,9 +194,11 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, total // BUCKET_BYTES)
-    # the same join at every size, whether the marks could be broadcast or not
-    flagged = rows.join(marks.hint("merge"), "id", "left").select("id", "text", F.coalesce("aim", F.lit(False)).alias("aim"))
-    flagged = flagged.sortWithinPartitions("id", F.xxhash64("text"))  # the same order each time it is read
+    # the same join at every size, whether the marks could be broadcast or not; rows without an id cannot be marked, and
+    # would all meet in one task of an outer join
+    named = rows.filter("id IS NOT NULL").join(marks.hint("merge"), "id", "left")
+    flagged = settle(named.select("id", "text", F.coalesce("aim", F.lit(False)).alias("aim")).union(
+        rows.filter("id IS NULL").withColumn("aim", F.lit(False))))
     answers = settle(_answered(_asked(flagged, buckets), buckets))
     sums = np.zeros(4, np.int64)
     for r in answers.filter("chunk IS NULL").select("data").toLocalIterator():  # a row per bucket
