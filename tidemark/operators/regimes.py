@@ -1,7 +1,7 @@
 """Regimes: Markov chains as tables and small matrices, and Gaussian hidden Markov models fitted in parallel groups.
 
-A K x K matrix is an array of arrays in one row per key, multiplied with higher-order functions; no Python is involved
-until a hidden Markov model is fitted or decoded.
+A K x K matrix is an array of arrays in one row per key, multiplied with higher-order functions; Python runs only where hidden
+Markov models are fitted. They are decoded in ``decoding``.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from ..functions.exprs import div, ladder
 from ..plans.ordered import numbered, row_frames, running_last, top_k
 from ..plans.settle import settle
 from ..plans.ranks import exact_quantiles
-from .indicators import last_rows
+from .decoding import emit, hmm_decode  # noqa: F401
 
 # -- Markov chains -------------------------------------------------------------------------------------------------
 
@@ -411,12 +411,6 @@ MODEL_SCHEMA = (
 )
 
 
-def _emit(x: np.ndarray, mu: np.ndarray, var: np.ndarray) -> np.ndarray:
-    """Log densities, (..., T, K), of diagonal Gaussians."""
-    d = x[..., :, None, :] - mu[..., None, :, :]
-    return -0.5 * (np.log(2 * np.pi * var).sum(-1)[..., None, :] + (d * d / var[..., None, :, :]).sum(-1))
-
-
 def _smooth(logb: np.ndarray, pi: np.ndarray, a: np.ndarray):
     """Scaled forward-backward over R models at once: (R,T,K), (R,K), (R,K,K) -> loglik, posteriors, pair sums."""
     r, t, k = logb.shape
@@ -463,7 +457,7 @@ def _em(x: np.ndarray, k: int, seeds: Sequence[int], n_iter: int, tol: float, fl
     xb = np.broadcast_to(x, (r, t, d))
     last, used = np.full(r, -np.inf), np.zeros(r, int)
     for _ in range(n_iter):
-        ll, post, pairs = _smooth(_emit(xb, mu, var), pi, a)
+        ll, post, pairs = _smooth(emit(xb, mu, var), pi, a)
         live = np.abs(ll - last) > tol
         if not live.any():
             break
@@ -477,7 +471,7 @@ def _em(x: np.ndarray, k: int, seeds: Sequence[int], n_iter: int, tol: float, fl
         pi = np.where(on, post[:, 0] / post[:, 0].sum(-1, keepdims=True), pi)
         mu, var = np.where(on[..., None], m, mu), np.where(on[..., None], v, var)
         a = np.where(on[..., None], p, a)
-    ll, _, _ = _smooth(_emit(xb, mu, var), pi, a)
+    ll, _, _ = _smooth(emit(xb, mu, var), pi, a)
     return ll, used, pi, a, mu, var
 
 
@@ -541,72 +535,6 @@ def hmm_rolling(
     return best_models(hmm_fit_grid(rows, [*keys, "window"], names, [k], seeds, min_rows=min_rows, months=None), [*keys, "window"])
 
 
-def _viterbi(logb: np.ndarray, pi: np.ndarray, a: np.ndarray) -> np.ndarray:
-    t, k = logb.shape
-    la = np.log(a + 1e-300)
-    score = np.log(pi + 1e-300) + logb[0]
-    back = np.zeros((t, k), int)
-    for i in range(1, t):
-        step = score[:, None] + la
-        back[i] = step.argmax(0)
-        score = step.max(0) + logb[i]
-    path = np.empty(t, int)
-    path[-1] = int(score.argmax())
-    for i in range(t - 2, -1, -1):
-        path[i] = back[i + 1][path[i + 1]]
-    return path
-
-
-def _label_order(mu: np.ndarray) -> list[str]:
-    """Canonical names of a four-state model's states by (realized_vol, log_return) means, columns 1 and 0."""
-    by_vol = sorted(range(4), key=lambda s: (-mu[s, 1], s))
-    out = [""] * 4
-    for pair, names in ((by_vol[:2], ("STRESS", "CRASH")), (by_vol[2:], ("UP", "CHOP"))):
-        hi, lo = sorted(pair, key=lambda s: (-mu[s, 0], s))
-        out[hi], out[lo] = names
-    return out
-
-
-DECODE_SCHEMA = (
-    "ts timestamp, state int, label string, smoothed int, confidence double, entropy double, posterior array<double>"
-)
-
-
-def hmm_decode(
-    features: DataFrame, models: DataFrame, keys: Sequence[str], names: Sequence[str], bars: int | None = None
-) -> DataFrame:
-    """Viterbi state and smoothed posterior per bar under each key's model; with ``bars``, of its newest rows only."""
-    keys, names = list(keys), list(names)
-    fields = {f.name: f.dataType.simpleString() for f in features.schema.fields}
-    schema = ", ".join(f"{c} {fields[c]}" for c in keys) + ", " + DECODE_SCHEMA
-
-    def decode(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        cols = [*keys, *[c.split()[0] for c in DECODE_SCHEMA.split(", ")]]
-        if not len(rows) or not len(model):
-            return pd.DataFrame(columns=cols)
-        rows, m = rows.sort_values("ts"), model.iloc[0]
-        mat = lambda c: np.array([list(x) for x in m[c]], float)
-        mean, std = np.array(list(m["feature_mean"])), np.array(list(m["feature_std"]))
-        x = (rows[names].to_numpy(float) - mean) / std
-        pi, a, mu, var = np.array(list(m["start"])), mat("trans"), mat("means"), mat("vars")
-        logb = _emit(x, mu, var)
-        _, post, _ = _smooth(logb[None], pi[None], a[None])
-        post = post[0] / post[0].sum(1, keepdims=True)
-        path = _viterbi(logb, pi, a)
-        labels = _label_order(mu) if len(mu) == 4 else [f"S{i}" for i in range(len(mu))]
-        best = post.argmax(1)
-        out = rows[[*keys, "ts"]].copy()
-        out["state"], out["label"] = path, [labels[s] for s in path]
-        out["smoothed"], out["confidence"] = best, post.max(1)
-        out["entropy"] = -(post * np.log(post + 1e-12)).sum(1)
-        out["posterior"] = list(post)
-        return out[cols]
-
-    parts = 4 * features.sparkSession.sparkContext.defaultParallelism
-    left = (features if bars is None else last_rows(features, keys, bars)).select(*keys, "ts", *names).repartition(parts, *keys)
-    return left.groupBy(*keys).cogroup(models.repartition(parts, *keys).groupBy(*keys)).applyInPandas(decode, schema)
-
-
 def current_regime(decoded: DataFrame, models: DataFrame, keys: Sequence[str], k: int, horizons=(1, 6, 24, 48)) -> DataFrame:
     """The newest bar's state with expected dwell and the chain's forecast (one array of probabilities per horizon)."""
     keys = list(keys)
