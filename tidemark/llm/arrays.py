@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 
 SLICE_BYTES = 1 << 20
 BATCH_ROWS = 500
+BATCH_BYTES = 16 << 20
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 0x9E3779B97F4A7C15 | 1
@@ -25,7 +26,11 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def in_batches(df: DataFrame) -> DataFrame:
-    """``df``, after bounding how many texts an Arrow batch of its session holds."""
+    """``df``, after bounding what an Arrow batch of its session holds, in texts and in bytes (and one text at least).
+
+    The bounds are read when the plan runs, so they stay set.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df
 

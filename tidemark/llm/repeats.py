@@ -459,44 +459,81 @@ def covered_ranges(texts: DataFrame, total_bytes: int) -> DataFrame:
     return sure.union(late)
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of the bytes left.
+WHOLE = "array<struct<low:bigint,high:bigint>>"
 
-    Every byte inside a 400-byte string that also starts anywhere else, in the same text or another, is removed, judged
-    on the input. Null texts are empty. A repeated row is another place, so a text of 400 bytes or more that occurs twice
-    loses everything. Texts below 400 bytes lose nothing. An id may be null; an empty table gives an empty one.
-    """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-    about = settle(rows.select("id", F.xxhash64("text").alias("key"), F.octet_length("text").cast("long").alias("n_bytes"),
-                               F.sha2(F.encode("text", "UTF-8"), 256).alias("sha")))
-    total = about.agg(F.sum("n_bytes")).first()[0] or 0
-    copies = about.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
-    texts = _keyed(rows, "text")
-    ranges = settle(covered_ranges(texts, total))
+
+def _cut_texts(texts: DataFrame, per_text: DataFrame) -> DataFrame:
+    """(key, removed, kept) of the texts with ranges: the maximal removed spans, in order, and the bytes that are left."""
 
     @lean
     def cut(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            removed, spans, shas = [], [], []
+            removed, kept = [], []
             for i, got in enumerate(batch.column(2).to_pylist()):
                 body = data[offsets[i] : offsets[i + 1]]
-                gone = np.zeros(len(body) + 1, np.int32)
+                depth = np.zeros(len(body) + 1, np.int32)
                 for r in got:
-                    gone[r["low"]] += 1
-                    gone[r["high"]] -= 1
-                out = np.cumsum(gone[:-1]) > 0
-                removed.append(int(out.sum()))
-                spans.append(int(out[:1].sum() + (out[1:] & ~out[:-1]).sum()))
-                shas.append(hashlib.sha256(body[~out].tobytes()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas)],
-                                             names=["key", "removed", "spans", "kept"])
+                    depth[r["low"]] += 1
+                    depth[r["high"]] -= 1
+                gone = np.cumsum(depth[:-1]) > 0
+                edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
+                removed.append([{"low": lo, "high": hi} for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist())])
+                kept.append(body[~gone].tobytes())
+            spans = pa.array(removed, pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), spans, pa.array(kept, pa.binary())], names=["key", "removed", "kept"])
+
+    both = _chosen_texts(texts, per_text).join(per_text, "key").select("key", "text", "ranges")
+    return in_batches(both).mapInArrow(cut, f"key long, removed {WHOLE}, kept binary")
+
 
+def _judged(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of (id, text): (id, key, n_bytes, sha) per row, ``times`` per key, and the cuts of texts that occur once."""
+    about = settle(rows.select("id", F.xxhash64("text").alias("key"), F.octet_length("text").cast("long").alias("n_bytes"),
+                               F.sha2(F.encode("text", "UTF-8"), 256).alias("sha")))
+    total = about.agg(F.sum("n_bytes")).first()[0] or 0
+    copies = about.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
+    texts = _keyed(rows, "text")
+    ranges = settle(covered_ranges(texts, total))
     per_text = ranges.join(copies.filter("times = 1").select("key"), "key", "left_semi").groupBy("key").agg(
         F.collect_list(F.struct("low", "high")).alias("ranges"))
-    changed = in_batches(_chosen_texts(texts, per_text).join(per_text, "key").select("key", "text", "ranges")).mapInArrow(
-        cut, "key long, removed long, spans long, kept string")
+    return about, copies, _cut_texts(texts, per_text)
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``docs``: id, ``removed`` (the maximal removed spans in bytes, end exclusive) and ``kept``, the bytes left.
+
+    What is removed is told at ``without_repeats``, which gives counts and digests of the same cuts. ``kept`` is binary, as
+    a cut may part a character. Only the id and text columns are read; others may have any name.
+    """
+    rows = _named(docs, id_col, text_col)
+    _, copies, cuts = _judged(rows)
+    size = F.octet_length("text").cast("long")
+    all_gone = (F.col("times") > 1) & (size >= SPAN)
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("low"), size.alias("high")))
+    out = rows.withColumn("key", F.xxhash64("text")).join(copies, "key").join(cuts, "key", "left")
+    return out.select(
+        F.col("id").alias(id_col),
+        F.when(all_gone, whole).otherwise(F.coalesce("removed", F.array().cast(WHOLE))).alias("removed"),
+        F.when(all_gone, F.lit(b"")).otherwise(F.coalesce("kept", F.encode("text", "UTF-8"))).alias("kept"))
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``docs``: id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of the bytes left.
+
+    Every byte inside a 400-byte string that also starts anywhere else, in the same text or another, is removed, judged
+    on the input. Null texts are empty. A repeated row is another place, so a text of 400 bytes or more that occurs twice
+    loses everything. Texts below 400 bytes lose nothing. An id may be null; an empty table gives an empty one. Only the
+    id and text columns are read; others may have any name. ``deduplicated`` gives the spans and bytes themselves.
+    """
+    about, copies, cuts = _judged(_named(docs, id_col, text_col))
+    # digests, not bytes, meet the rows
+    width = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["high"] - s["low"])
+    changed = cuts.select("key", width.alias("removed"), F.size("removed").alias("spans"), F.sha2("kept", 256).alias("kept"))
     all_gone = (F.col("times") > 1) & (F.col("n_bytes") >= SPAN)
     out = about.join(copies, "key").join(changed, "key", "left")
     return out.select(
