@@ -77,11 +77,17 @@ def _fit(text, feature, value, grade: np.ndarray, grades: int, rated: np.ndarray
     return w, t
 
 
+def _texts_of(chosen: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, grade, text) of the ``chosen`` ids, SAMPLE at most: they travel to the texts, and no other text is shuffled."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
+    return texts.join(F.broadcast(chosen), "id")
+
+
 def fit(rated: DataFrame, docs: DataFrame, id_col: str, text_col: str, grade_col: str, grades: int):
     """(weights, thresholds) from at most ``SAMPLE`` rated texts.
 
     The ids to learn from are drawn from the ratings by hash, equally many of each grade where there are enough; only
-    then are their texts joined. One task fits the model on them, so its input does not grow with the corpus.
+    then are they sent to the texts. One task fits the model on them, so its input does not grow with the corpus.
     """
     ids = rated.select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("grade")).filter(
         f"id IS NOT NULL AND grade BETWEEN 0 AND {grades - 1}").groupBy("id").agg(F.min("grade").alias("grade"))
@@ -95,7 +101,7 @@ def fit(rated: DataFrame, docs: DataFrame, id_col: str, text_col: str, grade_col
     near = ids.filter(F.pmod(order, F.lit(1_000_000)) < share[F.col("grade")] * 1_000_000)
     place = F.row_number().over(Window.partitionBy("grade").orderBy(order))
     chosen = near.withColumn("place", place).filter(F.col("place") <= each).drop("place")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
+    texts = _texts_of(chosen, docs, id_col, text_col)
 
     @lean_groups
     def run(key, table):
@@ -107,7 +113,7 @@ def fit(rated: DataFrame, docs: DataFrame, id_col: str, text_col: str, grade_col
         w, t = _fit(*(np.concatenate(x) for x in zip(*parts)), np.array(table.column("grade").to_pylist()), grades, rated_n)
         return pa.table({"w": pa.array([np.concatenate([w, t]).tobytes()], pa.binary())})
 
-    row = texts.join(chosen, "id").select(F.lit(0).alias("g"), "id", "text", "grade").groupBy("g").applyInArrow(run, "w binary").first()
+    row = texts.select(F.lit(0).alias("g"), "id", "text", "grade").groupBy("g").applyInArrow(run, "w binary").first()
     if row is None:
         return np.zeros(DIMENSION), np.arange(grades - 1) - (grades - 2) / 2.0
     both = np.frombuffer(row.w)
