@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordered import asof_join, row_frames, slice_of, top_k
+from ..plans.ordered import asof_join, row_frames, running_last, top_k
 from ..plans.settle import settle
 from .stateful import throttle
 
@@ -76,9 +76,6 @@ def first_per_minute(rows: DataFrame, keys: Sequence[str], order: Sequence[str])
     return out.select(*keys, "minute", "x.*")
 
 
-HOUR = 3600
-
-
 def throttle_change(rows: DataFrame, key: str, seconds: int = 300, heartbeat: str | None = None) -> DataFrame:
     """Emit a row when its score differs from the last emitted one or more than ``seconds`` have passed since.
 
@@ -88,48 +85,40 @@ def throttle_change(rows: DataFrame, key: str, seconds: int = 300, heartbeat: st
 
 
 def throttle_batch(rows: DataFrame, keys: Sequence[str], seconds: int = 300) -> DataFrame:
-    """Batch twin of ``throttle_change`` on any number of rows per key.
-
-    A row whose score differs from its predecessor's is always emitted, and so is one that follows a longer pause.
-    Rows are numbered in slices of an hour, so a key with very many rows a day spreads over many tasks.
-    Between those heads, an emitted row's successor is the first one more than ``seconds`` later, at most two such
-    spans away. Emitted rows are those reached from the heads; doubling the jump length finds them in a number of
-    joins that grows with the logarithm of the longest chain.
+    """Batch twin of ``throttle_change`` on any number of rows per key, hour or instant.
+
+    A row whose score differs from its predecessor's is always emitted, and so is one that follows a longer pause. From
+    such a head to the next one is a run. Of its other rows only those more than ``seconds`` after the head can be emitted,
+    of those of one instant the first. An emitted row's successor is the first such row more than ``seconds`` later, found
+    for all in one pass over the run in falling time. Emitted rows are those reached from the heads; doubling the jump
+    length finds them in a number of joins that grows with the logarithm of the longest chain. Rows without a time are
+    left out.
     """
     keys = list(keys)
     us, gap = F.unix_micros("ts"), seconds * 1_000_000
-    base = rows.select(*keys, "ts", "seq", "score", us.alias("us"))
+    base = settle(rows.select(*keys, "ts", "seq", "score", us.alias("us")).filter("ts IS NOT NULL"))
 
     def add(r, w):
         return r.withColumns({"__s": F.lag("score").over(w), "__t": F.lag("us").over(w)})
 
-    marked = row_frames(base, keys, ["ts", "seq"], add, back=1, slice_seconds=HOUR, keep_number=True)
     head = F.col("__s").isNull() | (F.col("__s") != F.col("score")) | (F.col("us") - F.col("__t") > gap)
-    marked = settle(marked.withColumn("head", head).select(*keys, "__rn", "us", "head"))
-    # first row more than a span later, looked for in hour-sized blocks with a halo of two spans
-    hour = max(3600, 4 * seconds)
-    ts = F.timestamp_micros("us")
-    home = slice_of(ts, hour)
-    spread = marked.withColumn("__h", home).withColumn(
-        "__b", F.explode(F.array_distinct(F.array(home, slice_of(F.timestamp_micros(F.col("us") - 2 * gap), hour))))
-    )
-    w = Window.partitionBy(*keys, "__b").orderBy("us").rangeBetween(gap + 1, 2 * gap)
-    nxt = F.min(F.struct("__rn", "head")).over(w)
-    links = spread.withColumn("n", nxt).filter(F.col("__b") == F.col("__h"))
-    # a chain ends where the next head starts; number the heads up to each row with the same slices
-    hops = links.filter("n IS NOT NULL").select(*keys, F.col("__rn").alias("at"), F.col("n.__rn").alias("to"))
-    nexts = marked.filter("head").select(*keys, F.col("__rn").alias("to"))
-    hops = hops.join(nexts, [*keys, "to"], "left_anti")
-    from ..plans.ordered import running_last
-
-    runs = running_last(
-        marked.withColumn("__ts", ts), keys, ["__ts", "__rn"], {"run": F.when(F.col("head"), F.col("__rn"))}, HOUR
-    ).select(*keys, F.col("__rn").alias("rn"), "run")
-    a, b = runs.withColumnsRenamed({"rn": "at", "run": "ra"}), runs.withColumnsRenamed({"rn": "to", "run": "rb"})
-    hops = hops.join(a, [*keys, "at"]).join(b, [*keys, "to"]).filter("ra = rb").select(*keys, "at", "to")
-    kept = reach(marked.filter("head").select(*keys, F.col("__rn").alias("at")), hops, keys)
-    numbered = row_frames(base, keys, ["ts", "seq"], lambda r, w: r, slice_seconds=HOUR, keep_number=True)
-    return numbered.join(kept.withColumnRenamed("at", "__rn"), [*keys, "__rn"], "left_semi").select(*keys, "ts", "seq", "score")
+    marked = row_frames(base, keys, ["ts", "seq"], add, back=1, keep_number=True)
+    marked = settle(marked.withColumn("head", F.coalesce(head, F.lit(False))).drop("__s", "__t", "__n"))
+    start = F.when(F.col("head"), F.struct(F.col("__rn").alias("run"), F.col("us").alias("since")))
+    late = settle(running_last(marked, keys, ["__rn"], {"at": start}).filter(F.col("us") - F.col("at.since") > gap).select(
+        *keys, "__rn", "ts", "seq", "score", "us", "at.run", "at.since"))
+    heads = late.select(*keys, "run", F.col("since").alias("us"), F.col("run").alias("__rn")).distinct()
+    firsts = late.groupBy(*keys, "run", "us").agg(F.min("__rn").alias("__rn"))
+    # falling time; a row at the very end of a span is not yet more than ``seconds`` later, so the span's end comes first
+    ends = heads.unionByName(firsts).select(
+        *keys, "run", (-F.col("us") - gap).alias("t"), F.lit(0).alias("side"), F.col("__rn").alias("at"))
+    seen = firsts.select(*keys, "run", (-F.col("us")).alias("t"), F.lit(1).alias("side"), F.col("__rn").alias("found"))
+    both = settle(ends.unionByName(seen, allowMissingColumns=True))
+    hops = running_last(both, [*keys, "run"], ["t", "side"], {"to": F.col("found")}).filter("side = 0 AND to IS NOT NULL")
+    kept = reach(heads.select(*keys, F.col("__rn").alias("at")), hops.select(*keys, "at", "to"), keys)
+    later = late.join(kept.withColumnRenamed("at", "__rn"), [*keys, "__rn"], "left_semi")
+    out = [*keys, "ts", "seq", "score"]
+    return marked.filter("head").select(*out).unionByName(later.select(*out))
 
 
 def reach(start: DataFrame, hops: DataFrame, keys: Sequence[str]) -> DataFrame:
