@@ -260,13 +260,18 @@ def iv_rv_spread(term: DataFrame, rv: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def symbol_parts(symbols: DataFrame, name: str = "instrument") -> DataFrame:
-    """'ETH-29DEC24-3000-C' to underlying, expiry (08:00), strike and side; dated futures have no strike."""
+    """'ETH-29DEC24-3000-C' to underlying, expiry (08:00), strike and side; dated futures have no strike.
+
+    Each symbol is matched once, by a generator: Spark moves a filter on what a generator makes no further down, so symbols
+    that were made distinct or grouped before are not parsed again for every row they came from.
+    """
     pat = r"^([A-Z]+)-(\d{1,2}[A-Z]{3}\d{2})(?:-(\d+(?:\.\d+)?)-([CP]))?$"
-    s = F.col(name)
-    part = lambda i: F.nullif(F.regexp_extract(s, pat, i), F.lit(""))
-    day = F.try_to_timestamp(F.initcap(F.lower(part(2))), F.lit("dMMMyy"))
+    whole = F.regexp_extract(F.col(name), pat, 0)  # empty without a match; its parts hold no hyphen
+    rows = symbols.select("*", F.inline(F.array(F.struct(F.split(whole, "-").alias("__p")))))
+    part = lambda i: F.nullif(F.get("__p", F.lit(i)), F.lit(""))
+    day = F.try_to_timestamp(F.initcap(F.lower(part(1))), F.lit("dMMMyy"))
     day = F.when(F.year(day) > 2068, F.add_months(day, -1200).cast("timestamp")).otherwise(day)  # 69 to 99 are 19xx
-    expiry = F.when(part(2).isNotNull(), day + F.expr("INTERVAL 8 HOURS"))
-    return symbols.withColumns(
-        {"und": part(1), "expiry": expiry, "strike": part(3).try_cast("double"), "is_call": part(4) == "C"}
-    ).filter("expiry IS NOT NULL")
+    expiry = F.when(part(1).isNotNull(), day + F.expr("INTERVAL 8 HOURS"))
+    return rows.withColumns(
+        {"und": part(0), "expiry": expiry, "strike": part(2).try_cast("double"), "is_call": part(3) == "C"}
+    ).filter("expiry IS NOT NULL").drop("__p")
