@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog import options
+from tidemark.catalog import options, sources
 from tidemark.operators import options as op
 from tidemark.sources.views import Views
 
@@ -68,3 +68,12 @@ def test_symbols_of_rows(spark, tmp_path):
     parsed = op.symbol_parts(made)
     assert parsed.count() == len(want)
     assert "regexp_extract" not in below_aggregate(parsed)
+
+
+def test_union_groups_the_table_once(spark, tmp_path):
+    v = lineitem(spark, tmp_path)
+    made = sources.unioned(v)
+    assert made.count() > 0
+    parsed = op.symbol_parts(made)
+    assert "lineitem" not in "".join(parsed.inputFiles())  # one settled table of groups serves all listing schemes
+    assert parsed.count() == made.filter("instrument IS NOT NULL").count() == v.options().filter("expiry IS NOT NULL AND strike IS NOT NULL").count()

@@ -89,7 +89,7 @@ INST = """concat(CASE WHEN und = 'u0' THEN 'ETH-' ELSE 'BTC-' END, upper(strftim
 
 
 def unioned(v: Views):
-    o = v.options().withColumn("coin", F.when(F.col("und") == "u0", "ETH").otherwise("BTC"))
+    o = v.kept("options").withColumn("coin", F.when(F.col("und") == "u0", "ETH").otherwise("BTC"))
     cp = F.when(F.col("is_call"), "C").otherwise("P")
     k = F.col("strike").cast("bigint").cast("string")
     day = F.upper(F.date_format("expiry", "ddMMMyy"))
