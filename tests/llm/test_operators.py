@@ -526,5 +526,8 @@ def test_query_gives_a_row_per_document(spark, name):
     got = catalog.QUERIES[name](spark, SF)
     if name.startswith("op5"):
         assert got.count() > 0
+    elif name.startswith("op11"):  # a row per vector and component
+        kept = spark.read.parquet(f"{SF}/embeddings.parquet").filter("embedding IS NOT NULL").count()
+        assert got.select("vec_id", "component").distinct().count() == 8 * kept == got.count()
     else:
         assert got.select("doc_id").distinct().count() == spark.read.parquet(f"{SF}/documents.parquet").count() == got.count()
